@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from vigilake.llm.bpe_codec import op6_byte_bpe_codec
+from vigilake.llm.chat_grammar import OP10_SQL, op10_chat_format
+from vigilake.llm.contamination import OP8_SQL, op8_benchmark_decontamination
+from vigilake.llm.license_scan import op9_license_scan
 from vigilake.llm.quality_ledger import OP7_SQL, op7_quality_rules
 from vigilake.llm.token_count import op2_token_counts
 
@@ -10,4 +13,7 @@ QUERIES = {
     "op2_token_counts": (op2_token_counts, None),
     "op6_byte_bpe_codec": (op6_byte_bpe_codec, None),
     "op7_quality_rules": (op7_quality_rules, OP7_SQL),
+    "op8_benchmark_decontamination": (op8_benchmark_decontamination, OP8_SQL),
+    "op9_license_scan": (op9_license_scan, None),
+    "op10_chat_format": (op10_chat_format, OP10_SQL),
 }
