@@ -7,10 +7,12 @@ from vigilake.llm.chat_grammar import OP10_SQL, op10_chat_format
 from vigilake.llm.contamination import OP8_SQL, op8_benchmark_decontamination
 from vigilake.llm.license_scan import op9_license_scan
 from vigilake.llm.quality_ledger import OP7_SQL, op7_quality_rules
+from vigilake.llm.suffix_dedup import OP4_SQL, op4_substring_dedup
 from vigilake.llm.token_count import op2_token_counts
 
 QUERIES = {
     "op2_token_counts": (op2_token_counts, None),
+    "op4_substring_dedup": (op4_substring_dedup, OP4_SQL),
     "op6_byte_bpe_codec": (op6_byte_bpe_codec, None),
     "op7_quality_rules": (op7_quality_rules, OP7_SQL),
     "op8_benchmark_decontamination": (op8_benchmark_decontamination, OP8_SQL),
