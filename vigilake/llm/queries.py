@@ -7,11 +7,13 @@ from vigilake.llm.chat_grammar import OP10_SQL, op10_chat_format
 from vigilake.llm.contamination import OP8_SQL, op8_benchmark_decontamination
 from vigilake.llm.license_scan import op9_license_scan
 from vigilake.llm.line_neighbourhood import op3_line_dedup
+from vigilake.llm.order_minhash import op1_minhash_near_dedup
 from vigilake.llm.quality_ledger import OP7_SQL, op7_quality_rules
 from vigilake.llm.suffix_dedup import OP4_SQL, op4_substring_dedup
 from vigilake.llm.token_count import op2_token_counts
 
 QUERIES = {
+    "op1_minhash_near_dedup": (op1_minhash_near_dedup, None),
     "op2_token_counts": (op2_token_counts, None),
     "op3_line_dedup": (op3_line_dedup, None),
     "op4_substring_dedup": (op4_substring_dedup, OP4_SQL),
