@@ -33,9 +33,21 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def slim(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The id and the text alone, under names of ours, so that other columns can't clash."""
-    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+def slim(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The id and the text alone, and columns to carry along, under names of ours, so that other columns can't clash."""
+    more = (F.col(f"`{name}`").alias(f"carry_{k}") for k, name in enumerate(carry))
+    return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)
+
+
+def unslim(df: DataFrame, id_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The id and carried columns under their own names again; carried ones come last, and the id is left out if it is carried itself."""
+    made = [F.col("id").alias(id_col)] if id_col not in carry else []
+    made += [F.col(name) for name in df.columns if name != "id" and not name.startswith("carry_")]
+    return df.select(*made, *(F.col(f"carry_{k}").alias(name) for k, name in enumerate(carry)))
+
+
+def with_carried(schema: str, df: DataFrame) -> str:
+    return ",".join([schema, *(f"{x.name} {x.dataType.simpleString()}" for x in df.schema.fields if x.name.startswith("carry_"))])
 
 
 def raw(column: pa.Array) -> list[bytes | None]:
@@ -50,18 +62,19 @@ def decoded(data: bytes) -> str:
 def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[bytes], tuple]]) -> DataFrame:
     """A row for each row of slim(): its id, and what a function makes of its bytes (none if null).
 
-    make() runs once in each task and returns that function; the schema names the id first.
+    make() runs once in each task and returns that function; the schema names the id first. Carried columns follow.
     """
+    kinds = to_arrow(schema)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, names = make(), [x.split()[0] for x in schema.split(",")]
+        one = make()
         for batch in batches:
             if batch.num_rows:
-                made = [one(data or b"") for data in raw(batch.column(1))]
-                columns = [batch.column(0), *(list(x) for x in zip(*made, strict=True))]
-                yield pa.RecordBatch.from_pydict(dict(zip(names, columns, strict=True)), schema=to_arrow(schema))
+                made = zip(*(one(data or b"") for data in raw(batch.column(1))), strict=True)
+                arrays = [batch.column(0), *(pa.array(list(x), kind.type) for x, kind in zip(made, list(kinds)[1:], strict=True)), *batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kinds.names, *batch.schema.names[2:]])
 
-    return df.mapInArrow(rows, schema)
+    return df.mapInArrow(rows, with_carried(schema, df))
 
 
 def to_arrow(schema: str) -> pa.Schema:

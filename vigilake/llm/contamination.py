@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import raw, slim, table, to_arrow
+from vigilake.llm.common import raw, slim, table, to_arrow, unslim, with_carried
 from vigilake.llm.words import plain_words
 
 WINDOW = 10
@@ -87,11 +87,11 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str) -> list[DataFrame]
     return [plain.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) for k in range(n)] if n > 1 else [plain]
 
 
-def contamination(docs: DataFrame, items: DataFrame, *, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(id, n_words, spans, items): for each row the hit spans as a flat array of starts and ends, and the ids of occurring items, sorted."""
+def contamination(docs: DataFrame, items: DataFrame, *, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_words, spans, items, carried columns): for each row the hit spans as a flat array of starts and ends, and the ids of occurring items, sorted."""
     schema = "id long,text string,n_words long,spans array<int>,items array<string>"
-    found = slim(docs, id_col, text_col)
-    plain = found
+    found, plain = slim(docs, id_col, text_col, carry), slim(docs, id_col, text_col)
+    full = with_carried(schema, found)
     blocks = item_blocks(items, item_col, item_text_col)
     for k, block in enumerate(blocks):
         read = [(row.id, plain_words((row.text or "").encode())) for row in block.collect()]
@@ -111,10 +111,12 @@ def contamination(docs: DataFrame, items: DataFrame, *, size: int = WINDOW, id_c
                     spans.append([*old, *(x for span in new for x in span)])
                     names.append(sorted({*known, *(x for x in owners if x is not None)}))
                 text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column(1)
-                yield pa.RecordBatch.from_pydict({"id": batch.column(0), "text": text, "n_words": n, "spans": spans, "items": names}, schema=to_arrow(schema))
+                kinds, carried = to_arrow(schema), 2 if first else 5
+                arrays = [batch.column(0), text, *(pa.array(x, kind.type) for x, kind in zip((n, spans, names), list(kinds)[2:], strict=True)), *batch.columns[carried:]]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*kinds.names, *batch.schema.names[carried:]])
 
-        found = found.mapInArrow(step, schema)
-    return found.select(F.col("id").alias(id_col), "n_words", "spans", "items")
+        found = found.mapInArrow(step, full)
+    return unslim(found.drop("text"), id_col, carry)
 
 
 def _covered(spans) -> int:

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import map_texts, slim, table
+from vigilake.llm.common import map_texts, slim, table, unslim
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -85,12 +85,12 @@ def measure(data: bytes) -> tuple[int, ...]:
     )
 
 
-def ledger(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, measurements, failed: bit k is set where rule k fails)."""
+def ledger(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, measurements, failed: bit k is set where rule k fails, carried columns)."""
     schema = "id long," + ",".join(f"{name} long" for name in MEASURES)
-    measured = map_texts(slim(df, id_col, text_col), schema, lambda: measure)
+    measured = map_texts(slim(df, id_col, text_col, carry), schema, lambda: measure)
     bits = " | ".join(f"CASE WHEN {rule} THEN {1 << k}L ELSE 0L END" for k, rule in enumerate(RULES.values()))
-    return measured.selectExpr(f"id AS `{id_col}`", *MEASURES, f"{bits} AS failed")
+    return unslim(measured.withColumn("failed", F.expr(bits)), id_col, carry)
 
 
 def keeps(policy: Policy):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from vigilake.llm.bpe_codec import op6_byte_bpe_codec
 from vigilake.llm.chat_grammar import OP10_SQL, op10_chat_format
 from vigilake.llm.contamination import OP8_SQL, op8_benchmark_decontamination
+from vigilake.llm.html_diff import op5_html_text
 from vigilake.llm.license_scan import op9_license_scan
 from vigilake.llm.line_neighbourhood import op3_line_dedup
 from vigilake.llm.order_minhash import op1_minhash_near_dedup
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_token_counts": (op2_token_counts, None),
     "op3_line_dedup": (op3_line_dedup, None),
     "op4_substring_dedup": (op4_substring_dedup, OP4_SQL),
+    "op5_html_text": (op5_html_text, None),
     "op6_byte_bpe_codec": (op6_byte_bpe_codec, None),
     "op7_quality_rules": (op7_quality_rules, OP7_SQL),
     "op8_benchmark_decontamination": (op8_benchmark_decontamination, OP8_SQL),
