@@ -1,8 +1,69 @@
-"""A corpus pipeline in five stages."""
+"""A corpus pipeline: documents through five stages, each written and read again by whoever runs it.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of
+documents, with n_chars following the text. Nulls: a null text counts as empty and is rejected by the rules; null ids pass as they are.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vigilake.llm.bpe_codec import RANKS, round_trip
+from vigilake.llm.common import shared_checkpoint
+from vigilake.llm.contamination import contamination
+from vigilake.llm.line_neighbourhood import dedup_lines
+from vigilake.llm.order_minhash import near_classes
+from vigilake.llm.quality_ledger import POLICY, keeps, ledger
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the current policy rejects go."""
+    book = ledger(docs, carry=COLUMNS)
+    return book.where(keeps(POLICY)).select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines go; a document goes if all its lines with words do."""
+    out = dedup_lines(docs, carry=("lang", "source"))
+    return out.where("n_lines = 0 OR n_removed < n_lines").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class the row with the smallest id stays."""
+    classes = near_classes(docs).where("doc_id IS NULL AND class_id IS NULL OR doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(classes, docs.doc_id.eqNullSafe(classes.kept_id), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=COLUMNS)
+    return found.where(F.size("spans") == 0).select(*COLUMNS)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token counts and digests of what is left."""
+    return round_trip(docs, public_tokenizers.path(RANKS))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("near_dedup", near_dedup),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("byte_bpe", byte_bpe),
+]
+
+#: Line dedup and near-dedup have no SQL form; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, with a shared checkpoint after each but the last."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    for name, stage in STAGES[:-1]:
+        docs = shared_checkpoint(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
