@@ -208,6 +208,7 @@ def removed(ids: np.ndarray, keys: np.ndarray, of: np.ndarray, starts: np.ndarra
 
 def repeats(docs: DataFrame, *, size: int = SIZE, prefix: int = PREFIX, block_words: int = BLOCK_WORDS, part_bytes: int = PART_BYTES, least_parts: int = LEAST_PARTS) -> DataFrame:
     """(id, key, data) over rows (id, key, text): spans of words to remove, int32 starts and ends; several rows for a document, spans may overlap."""
+    prefix = min(prefix, max(1, size // 2))
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(least_parts, 1 + n_bytes // part_bytes)
 
