@@ -639,3 +639,134 @@ def trace_hostnames_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     connects = A.trace(spark, sf_dir).where("addr IS NOT NULL").select("event_id", "ts", "addr")
     dns = connects.where("event_id % 2 = 0").select(F.col("addr").alias("ip"), (F.col("ts") - F.expr("INTERVAL 1 MINUTE")).alias("ts"), F.concat(F.lit("h"), (F.col("event_id") % 50).cast("string")).alias("host"))
     return trace.with_hostnames_as_of(connects, dns).select("event_id", "hostname")
+
+
+# --- content ---------------------------------------------------------------------------------------------------------
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and pages as files of packages."""
+    docs = A.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("scan_id"), F.lit("npm").alias("ecosystem"), F.lit("index.js").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    pages = A.read(spark, sf_dir, "pages").select((-F.col("page_id") - 1).alias("scan_id"), F.lit("npm").alias("ecosystem"), F.lit("lib/page.js").alias("path"), F.concat_ws("\n", "url", "html").alias("text"))
+    return docs.unionByName(pages).withColumn("size", F.octet_length("text"))
+
+
+@query("static_rules")
+def static_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All static rules. No SQL twin: their patterns use lookarounds, and their goldens are in the tests."""
+    from vigilake.operators.file_rules import static_findings
+
+    return static_findings(_sources(spark, sf_dir))
+
+
+@query("content_signatures")
+def content_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in signatures. No SQL twin; goldens in the tests."""
+    from vigilake.operators.signatures import BUILT_IN, parse, signature_findings
+
+    return signature_findings(_sources(spark, sf_dir).select("scan_id", "path", F.col("text").cast("binary").alias("content")), parse(BUILT_IN))
+
+
+@query("hidden_layers")
+def hidden_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hidden layers of files. No SQL twin: a bounded search; goldens in the tests."""
+    from vigilake.functions.decode import layers
+
+    return layers(_sources(spark, sf_dir).select("scan_id", "path", F.col("text").cast("binary").alias("content"))).drop("layer")
+
+
+@query("fuzzy_hashes")
+def fuzzy_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both fuzzy hashes and the byte entropy of files. No SQL twin; properties in the tests."""
+    from vigilake.functions.fuzzy import byte_entropy, ctph_hash, tlsh_hash
+
+    files = _sources(spark, sf_dir).where("size BETWEEN 64 AND 20971520").select("scan_id", F.col("text").cast("binary").alias("content"))
+    return files.select("scan_id", ctph_hash("content").alias("ssdeep"), tlsh_hash("content").alias("tlsh"), F.round(byte_entropy("content"), 6).alias("entropy"))
+
+
+@query(
+    "url_classes",
+    """WITH u AS (SELECT page_id, lower(split_part(regexp_replace(regexp_extract(url, '^https?://([^/?#]+)', 1), ':[0-9]*$', ''), '@', -1)) AS host FROM pages)
+    SELECT page_id, host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, regexp_matches(host, '(^|\\.)example\\.(com|org|net)$') AS reserved FROM u""".replace("\\\\", "\\"),
+)
+def url_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = T.url_host(F.col("url"))
+    pages = A.read(spark, sf_dir, "pages").select("page_id", host.alias("host"))
+    return pages.select("page_id", "host", T.registrable(F.col("host")).alias("domain"), T.under_any(F.col("host"), ("example.com", "example.org", "example.net")).alias("reserved"))
+
+
+@query(
+    "confusion_versions",
+    r"""WITH v AS (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN '99.99.9' WHEN 1 THEN (o_orderkey % 2000) || '.1.0' WHEN 2 THEN (o_orderkey % 13) || '.' || (o_orderkey % 13) || '.' || (o_orderkey % 13) ELSE '1.' || o_orderkey END AS version FROM orders),
+    p AS (SELECT o_orderkey, version, list_transform(string_split(version, '.'), lambda x: x::INT) AS n, string_split(version, '.') AS s FROM v)
+    SELECT o_orderkey, version, list_bool_and(list_transform(s, lambda x: regexp_matches(x, '^9+$'))) OR (len(list_distinct(n)) = 1 AND n[1] >= 9) OR (n[1] >= 99 AND n[1] < 1900) AS confusing,
+      list_bool_and(list_transform(s, lambda x: regexp_matches(x, '^9+$'))) OR (len(list_distinct(n)) = 1 AND n[1] >= 9) OR n[1] >= 99 AS suspicious FROM p""",
+)
+def confusion_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    part = (key % 13).cast("string")
+    version = F.when(key % 6 == 0, "99.99.9").when(key % 6 == 1, F.concat((key % 2000).cast("string"), F.lit(".1.0"))).when(key % 6 == 2, F.concat_ws(".", part, part, part)).otherwise(F.concat(F.lit("1."), key.cast("string")))
+    told = A.read(spark, sf_dir, "orders").select("o_orderkey", version.alias("version"))
+    return told.select("o_orderkey", "version", gates.confusion_version(F.col("version")).alias("confusing"), gates.suspicious_version(F.col("version")).alias("suspicious"))
+
+
+@query(
+    "detonation_gate",
+    _LLM + "SELECT scan_id, CASE WHEN scan_id % 20 = 0 OR scan_id % 9 = 0 THEN true WHEN verdict = 'malicious' AND scan_id % 5 = 0 THEN false ELSE verdict IN ('suspicious', 'malicious') END AS detonate FROM base",
+)
+def detonation_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("scan_id")
+    return judged_scans(spark, sf_dir).select("scan_id", gates.detonates(F.col("verdict"), key % 20 == 0, key % 9 == 0, key % 5 == 0).alias("detonate"))
+
+
+@query(
+    "high_fidelity_convictions",
+    _LLM
+    + """, c AS (SELECT scan_id, min(rule_id) FILTER (rule_id IN ('error.1', 'purchase.2', 'click.3')) AS chain FROM findings GROUP BY 1)
+    SELECT scan_id, CASE WHEN chain IS NOT NULL THEN 'chain:' || chain ELSE 'llm_confidence' END AS reason FROM base LEFT JOIN c USING (scan_id) WHERE chain IS NOT NULL OR (llm_verdict = 'malicious' AND llm_confidence >= 0.95)""",
+)
+def high_fidelity_convictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.high_fidelity(A.scans(spark, sf_dir), A.findings(spark, sf_dir), frozenset(("error.1", "purchase.2", "click.3")))
+
+
+@query(
+    "giant_scans",
+    """SELECT l_orderkey AS scan_id, count(*) > 5 OR sum(l_extendedprice) > 150000 AS giant FROM lineitem GROUP BY 1""",
+)
+def giant_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gates.giant_scans(A.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scan_id"), F.col("l_extendedprice").alias("size")), 5, 150_000)
+
+
+@query(
+    "fingerprint_seed_candidates",
+    with_(A.FILES)
+    + """, strong AS (SELECT DISTINCT scan_id, path FROM files WHERE scan_id % 3 = 0), known AS (SELECT DISTINCT sha256 FROM files WHERE scan_id % 50 = 1 AND path = 'src/1.py' AND entropy > 6),
+    one AS (SELECT scan_id, sha256, min(path) AS path FROM files JOIN strong USING (scan_id, path) WHERE entropy < 7.2 AND sha256 NOT IN (SELECT sha256 FROM known) GROUP BY 1, 2)
+    SELECT scan_id, sha256, path FROM one QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY path, sha256) <= 2""",
+)
+def fingerprint_seed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = A.files(spark, sf_dir)
+    found = held.where("scan_id % 3 = 0").select("scan_id", F.col("path").alias("file"), F.lit("high").alias("severity"))
+    return reports.seed_candidates(found, held, held.where("scan_id % 50 = 1 AND path = 'src/1.py' AND entropy > 6"), 2).select("scan_id", "sha256", "path")
+
+
+@query(
+    "maintainer_watch_active",
+    with_(A.QUEUE)
+    + f""", watch AS (SELECT ecosystem, name, min(enqueued_at) + INTERVAL 400 DAY AS added_at FROM queue GROUP BY 1, 2),
+    n AS (SELECT w.ecosystem, w.name, added_at, count(DISTINCT CASE WHEN q.enqueued_at >= added_at THEN version END) AS n_versions FROM watch w LEFT JOIN queue q USING (ecosystem, name) GROUP BY 1, 2, 3)
+    SELECT ecosystem, name, n_versions FROM n WHERE added_at >= {AS_OF} - INTERVAL 180 DAY AND n_versions < 3""",
+)
+def maintainer_watch_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = A.queue(spark, sf_dir)
+    watch = held.groupBy("ecosystem", "name").agg((F.min("enqueued_at") + F.expr("INTERVAL 400 DAYS")).alias("added_at"))
+    return gates.maintainer_watched(watch, held.select("ecosystem", "name", "version", F.col("enqueued_at").alias("started_at")), A.as_of())
+
+
+@query("brand_new_names", with_(A.QUEUE, A.WATCHLIST) + "SELECT ecosystem, 'pkg' || package_id * 3 AS name FROM watchlist w WHERE NOT EXISTS (SELECT 1 FROM queue q WHERE q.ecosystem = w.ecosystem AND q.name = 'pkg' || w.package_id * 3) AND package_id % 5 <> 0")
+def brand_new_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilake.sources.feeds import brand_new
+
+    ranked = A.watchlist(spark, sf_dir)
+    names = ranked.select("package_id", "ecosystem", F.concat(F.lit("pkg"), (F.col("package_id") * 3).cast("string")).alias("name"))
+    return brand_new(names, names.where("package_id % 5 = 0"), A.queue(spark, sf_dir)).select("ecosystem", "name")
