@@ -154,6 +154,10 @@ def ioc_file() -> Column:
     return ext().isin(*IOC_SUFFIXES)
 
 
+def plain_ioc() -> Column:
+    return ioc_file() & ~T.is_doc_file(place())
+
+
 def build_rs() -> Column:
     return base_name() == "build.rs"
 
@@ -178,15 +182,14 @@ def url_classes(pack: Pack = BASELINE) -> Column:
 
 
 def urls_of(kind: str) -> Column:
-    return F.transform(F.filter(url_classes(), lambda x: x.kind == kind), lambda x: x.url)
+    return F.transform(F.filter("_urls", lambda x: x.kind == kind), lambda x: x.url)
 
 
 def ips(kinds: tuple[str, ...], with_port: bool) -> Column:
     """Distinct addresses of some kinds that a port follows, or doesn't. Public resolvers with a port count as plain addresses."""
     port = rf"({T.IPV4}):([1-9]\d{{0,4}})\b"
     ported = F.filter(F.array_distinct(F.regexp_extract_all(body(), F.lit(port), F.lit(1))), lambda x: ~x.isin(*T.RESOLVERS))
-    every = F.array_distinct(T.ipv4_literals(body()))
-    some = ported if with_port else F.array_except(every, ported)
+    some = ported if with_port else F.array_except("_ips", ported)
     return F.filter(some, lambda x: T.ipv4_kind(x).isin(*kinds))
 
 
@@ -224,7 +227,7 @@ def env_class() -> Column:
 def rules(pack: Pack = BASELINE) -> list[Rule]:
     low_test = lambda high: (lambda: F.when(T.is_test_file(place()), "low").otherwise(high))
     bundle = lambda: F.when(place().rlike(BUNDLE), "low").otherwise("high")
-    plain = lambda: ioc_file() & ~T.is_doc_file(place())
+    plain = plain_ioc
     init_exec = lambda: go_init().rlike(GO_EXEC_USE) & ~(go_init().rlike(GO_TOOLCHAIN) & ~go_init().rlike(GO_FOREIGN))
     return [
         Rule("iocs.llm_prompt_injection", "high", "high", ioc_file, lambda: when(has(INJECTION_SCHEMA), "names a field of the triage schema")),
@@ -233,7 +236,7 @@ def rules(pack: Pack = BASELINE) -> list[Rule]:
         Rule("iocs.oast_callback", "high", "high", plain, lambda: when((F.size(urls_of("oast")) == 0) & has(r"(?i)\b(?:" + "|".join(d.replace(".", r"\.") for d in OAST) + r")\b"), "a callback domain outside a URL")),
         Rule("iocs.abuse_hosting_callback", "medium", "high", plain, lambda: urls_of("abuse")),
         Rule("iocs.url_suspicious", "low", "low", lambda: plain() & ~T.is_test_file(place()), lambda: urls_of("suspicious")),
-        Rule("iocs.cloud_metadata_endpoint", "medium", "high", plain, lambda: F.filter(F.array_distinct(T.ipv4_literals(body())), lambda x: x.isin(*T.METADATA_IPS))),
+        Rule("iocs.cloud_metadata_endpoint", "medium", "high", plain, lambda: F.filter("_ips", lambda x: x.isin(*T.METADATA_IPS))),
         Rule("iocs.hardcoded_wan_ip_port", low_test("high"), "medium", lambda: plain() & ~has(r"(?i)iceServers|RTCPeerConnection|RTCIceServer|createDataChannel|(?:turns?|stun):"), lambda: ips(("routable",), True)),
         Rule("iocs.ipv4", "low", "low", lambda: plain() & ~T.is_test_file(place()), lambda: ips(("routable",), False)),
         Rule("iocs.onion", "high", "high", ioc_file, lambda: each(r"\b[a-z2-7]{16,56}\.onion\b")),
@@ -255,8 +258,8 @@ def rules(pack: Pack = BASELINE) -> list[Rule]:
         Rule("obfuscation.decrypt_then_exec", "high", "high", js, lambda: when(has(EVAL) & has(DECIPHER) & near(DECIPHER, EVAL), "decryption near eval")),
         Rule("obfuscation.charcode_eval", bundle, "high", js, lambda: when(has(EVAL) & has(CHARCODE) & near(CHARCODE, EVAL), "character codes near eval")),
         Rule("obfuscation.rot_cipher_eval", "high", "high", js, lambda: when(has(EVAL) & has(ROT_WRAPPER), "a rotation cipher and eval")),
-        Rule("obfuscation.rotating_alphabet_codec", "high", "high", code, lambda: when(F.size(alphabets()) >= 2, "two alphabets or more")),
-        Rule("obfuscation.custom_alphabet_codec", "low", "medium", code, lambda: when(F.size(alphabets()) == 1, "one alphabet")),
+        Rule("obfuscation.rotating_alphabet_codec", "high", "high", code, lambda: when(F.size("_alphabets") >= 2, "two alphabets or more")),
+        Rule("obfuscation.custom_alphabet_codec", "low", "medium", code, lambda: when(F.size("_alphabets") == 1, "one alphabet")),
         Rule("obfuscation.nonascii_identifiers", "medium", "medium", code, lambda: when(F.size(F.array_distinct(F.regexp_extract_all(bare_code(), F.lit("[\\u3040-\\u30FF\\u3400-\\u4DBF\\u4E00-\\u9FFF\\uFF66-\\uFF9F]+"), F.lit(0)))) >= 8, "identifiers in CJK script")),
         Rule("obfuscation.homoglyph_identifiers", "medium", "medium", code, lambda: F.slice(F.array_distinct(F.regexp_extract_all(bare_code(), F.lit("[A-Za-z0-9_\\u0370-\\u03FF\\u0400-\\u04FF]*(?:[A-Za-z][\\u0370-\\u03FF\\u0400-\\u04FF]|[\\u0370-\\u03FF\\u0400-\\u04FF][A-Za-z]|[\\uFF21-\\uFF3A\\uFF41-\\uFF5A])[A-Za-z0-9_\\u0370-\\u03FF\\u0400-\\u04FF]*"), F.lit(0))), 1, 1)),
         Rule("crates.build_rs_net_exec_chain", "critical", "high", build_rs, lambda: when(has(RUST_NET) & has(RUST_EXEC), "network and processes in a build script")),
@@ -284,6 +287,8 @@ def rules(pack: Pack = BASELINE) -> list[Rule]:
 def static_findings(files: DataFrame, pack: Pack = BASELINE, changed: DataFrame | None = None) -> DataFrame:
     """(scan_id, rule_id, category, severity, confidence, file, evidence). Given changed files (scan_id, path), only those are looked at: they are joined before any rule."""
     some = files if changed is None else files.join(changed.select("scan_id", "path").distinct(), ["scan_id", "path"], "left_semi")
+    # What several rules look at is computed once; the optimizer doesn't copy such columns into their uses.
+    some = some.withColumns({"_urls": F.when(plain_ioc(), url_classes(pack)), "_ips": F.when(ioc_file(), F.array_distinct(T.ipv4_literals(body()))), "_alphabets": F.when(code(), alphabets())})
     every = F.flatten(F.array(*(rule.findings() for rule in rules(pack))))
     return some.select("scan_id", F.col("path").alias("file"), F.explode(every).alias("x")).select("scan_id", "x.rule_id", "x.category", "x.severity", "x.confidence", "file", "x.evidence").distinct()
 
