@@ -42,8 +42,8 @@ PREFIX = 16
 #: Words whose windows a task compares among themselves before anything travels.
 BLOCK_WORDS = 1_000_000
 #: Bytes of all texts for each part of the tree, and the least number of parts.
-PART_BYTES = 12_000_000
-LEAST_PARTS = 64
+PART_BYTES = 4_000_000
+LEAST_PARTS = 512
 #: Entries of the table of word hashes on a worker.
 WORD_MEMO = 500_000
 
@@ -242,7 +242,7 @@ def repeats(docs: DataFrame, *, size: int = SIZE, prefix: int = PREFIX, block_wo
 
     made = docs.mapInArrow(pieces, PIECES)
     # The pieces of a part meet, parts come one after another; spans that are already decided go anywhere.
-    dealt = made.repartition(int(parts), F.coalesce("part", F.xxhash64("id", "key", "data"))).sortWithinPartitions("part")
+    dealt = made.repartition(F.coalesce("part", F.xxhash64("id", "key", "data"))).sortWithinPartitions("part")
     return dealt.mapInArrow(subtrees, PIECES).select("id", "key", "data")
 
 
