@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from vigilake.llm.line_neighbourhood import MIN_CHARS, dedup_lines
+from vigilake.llm.line_neighbourhood import MIN_CHARS, dedup_lines, within_one
 
 SCHEMA = "doc_id long, text string, id string, line int"
 
@@ -26,7 +26,7 @@ def brute(rows):
     for place, line in lines:
         if any(other < place and line == said for other, said in lines):
             gone.add(place)
-        elif len(line) >= MIN_CHARS and any(other < place and len(said) >= MIN_CHARS and abs(len(said) - len(line)) < 2 and distance(line, said) <= 1 for other, said in lines):
+        elif len(line) >= MIN_CHARS and any(other < place and len(said) >= MIN_CHARS and abs(len(said) - len(line)) < 2 and within_one(line, said) for other, said in lines):
             gone.add(place)
             near.add(place)
     out = {}
@@ -62,6 +62,13 @@ def test_matches_all_pairs(spark, seed):
     assert sum(x[3] for x in want.values()) > 5
 
 
+def test_within_one():
+    pick = random.Random(0)
+    for _ in range(5000):
+        a, b = ("".join(pick.choice("ab") for _ in range(pick.randint(0, 6))) for _ in range(2))
+        assert within_one(a, b) == (distance(a, b) <= 1)
+
+
 def test_edge_cases(spark):
     long = ("word " * 20_000).strip()
     rows = [(1, None), (2, ""), (3, "\n \n"), (4, long), (5, long + "x\nshort"), (6, "short\nshorx"), (7, "a line of some length\ra line"), (None, "short")]

@@ -247,6 +247,23 @@ def neighbourhoods_of(asked: DataFrame, parts: int) -> DataFrame:
     return asked.mapInArrow(go, ROWS)
 
 
+def within_one(a: str, b: str) -> bool:
+    """Whether the edit distance of two lines is at most one, in linear time."""
+    k = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    return a[k + 1 :] == b[k + 1 :] or a[k:] == b[k + 1 :] or a[k + 1 :] == b[k:]
+
+
+def verified(pairs: DataFrame) -> DataFrame:
+    """(id, key, line) of rows with two texts, said and by_said, that are one edit apart at most."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [within_one(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield batch.select([0, 1, 2]).filter(pa.array(good, pa.bool_()))
+
+    return pairs.mapInArrow(go, "id long,key long,line int")
+
+
 def dedup_lines(df: DataFrame, *, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), part_bytes: int = PART_BYTES, least_parts: int = LEAST_PARTS) -> DataFrame:
     """(id, text, n_lines, n_removed, n_near, carried columns): the texts without removed lines.
 
@@ -267,8 +284,8 @@ def dedup_lines(df: DataFrame, *, min_chars: int = MIN_CHARS, id_col: str = "doc
     pairs = dealt(near_rows.where("what = 0"), parts, NEAR_KINDS, near_records).where("what = 1").select("id", "key", "line", "by_id", "by_key", "by_line").distinct()
     texts = near_rows.where("what = 3").select("id", "key", "line", F.col("data").cast("string").alias("said")).distinct()
     by = texts.toDF("by_id", "by_key", "by_line", "by_said")
-    verified = pairs.join(texts, ["id", "key", "line"]).join(by, ["by_id", "by_key", "by_line"]).where(F.levenshtein("said", "by_said", 1).between(0, 1))
-    near = verified.groupBy("id", "key").agg(F.collect_set("line").alias("near"))
+    both = pairs.join(texts, ["id", "key", "line"]).join(by, ["by_id", "by_key", "by_line"]).select("id", "key", "line", "said", "by_said")
+    near = verified(both).groupBy("id", "key").agg(F.collect_set("line").alias("near"))
     joined = packed.join(per_doc.select("id", "key", "equal"), ["id", "key"], "left").join(near, ["id", "key"], "left")
     extra = [x for x in packed.schema.fields if x.name.startswith("carry_")]
     joined = joined.select("id", "text", "equal", "near", *(x.name for x in extra))
