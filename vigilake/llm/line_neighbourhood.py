@@ -41,8 +41,8 @@ from vigilake.llm.common import decoded, raw, table, to_arrow
 from vigilake.llm.pieces import by_part, groups, pack, packed_text, parts_of, unpack
 
 MIN_CHARS = 16
-PART_BYTES = 12_000_000
-LEAST_PARTS = 64
+PART_BYTES = 4_000_000
+LEAST_PARTS = 512
 #: Bytes of texts whose lines a task compares among themselves before anything travels; records of a block of neighbourhoods.
 BLOCK_BYTES = 8_000_000
 BLOCK_RECORDS = 1_000_000
@@ -154,7 +154,7 @@ def emit(columns: list[np.ndarray], parts: int) -> pa.RecordBatch:
     return rows(0, len(where), part=where, data=data)
 
 
-def dealt(made: DataFrame, parts: int, kinds: tuple, resolve) -> DataFrame:
+def dealt(made: DataFrame, kinds: tuple, resolve) -> DataFrame:
     """Every part's pieces together, through resolve(); other rows pass."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +174,7 @@ def dealt(made: DataFrame, parts: int, kinds: tuple, resolve) -> DataFrame:
             yield from resolve([np.concatenate(x) for x in zip(*(unpack(y, kinds) for y in held), strict=True)])
 
     spread = F.coalesce("part", F.xxhash64("id", "key", "line"))
-    return made.repartition(parts, spread).sortWithinPartitions("part").mapInArrow(go, ROWS)
+    return made.repartition(spread).sortWithinPartitions("part").mapInArrow(go, ROWS)
 
 
 def lines_of(docs: DataFrame, parts: int, min_chars: int) -> DataFrame:
@@ -216,7 +216,7 @@ def lines_of(docs: DataFrame, parts: int, min_chars: int) -> DataFrame:
         refs = [np.array([x[j] for x in firsts], kind)[at] for j, kind in ((1, np.int64), (2, np.int64), (3, np.int32))]
         yield emit([np.array(kind, np.uint8), np.array(keys, np.uint64), np.array(whole, np.uint64), *refs], parts)
 
-    return dealt(docs.mapInArrow(go, ROWS), parts, LINE_KINDS, line_records)
+    return dealt(docs.mapInArrow(go, ROWS), LINE_KINDS, line_records)
 
 
 def neighbourhoods_of(asked: DataFrame, parts: int) -> DataFrame:
@@ -281,7 +281,7 @@ def dedup_lines(df: DataFrame, *, min_chars: int = MIN_CHARS, id_col: str = "doc
     packed = packed_text(full)
     to_ask = per_doc.select("id", "key", F.array_except("asked", "equal").alias("lines")).where(F.size("lines") > 0)
     near_rows = neighbourhoods_of(packed.join(to_ask, ["id", "key"]).select("id", "key", "text", "lines"), parts)
-    pairs = dealt(near_rows.where("what = 0"), parts, NEAR_KINDS, near_records).where("what = 1").select("id", "key", "line", "by_id", "by_key", "by_line").distinct()
+    pairs = dealt(near_rows.where("what = 0"), NEAR_KINDS, near_records).where("what = 1").select("id", "key", "line", "by_id", "by_key", "by_line").distinct()
     texts = near_rows.where("what = 3").select("id", "key", "line", F.col("data").cast("string").alias("said")).distinct()
     by = texts.toDF("by_id", "by_key", "by_line", "by_said")
     both = pairs.join(texts, ["id", "key", "line"]).join(by, ["by_id", "by_key", "by_line"]).select("id", "key", "line", "said", "by_said")
