@@ -6,7 +6,7 @@ import gzip
 from pyspark.sql import functions as F
 
 from vigilake.functions import decode, python_code
-from vigilake.operators.file_rules import binary_findings, entropy_findings, hook_findings, static_findings
+from vigilake.operators.file_rules import binary_findings, entropy_findings, hook_findings, manifest_findings, shipped_findings, static_findings
 from vigilake.operators.signatures import BUILT_IN, parse, signature_findings
 
 PAD = "// " + "x" * 70 + "\n"
@@ -35,6 +35,7 @@ CASES = [
     ("gomod", "a.go", 'package a\nfunc init() {\n\texec.Command("/bin/sh", "-c", x)\n}\n', {"gomod.init_exec_chain"}),
     ("gomod", "a.go", 'package a\nfunc init() {\n\texec.Command("go", "env")\n}\n', set()),
     ("gomod", "go.mod", "replace a => ../b\nreplace c => evil.io/c v1", {"gomod.replace_local_path", "gomod.replace_directive"}),
+    ("gomod", "b.go", "//go:generate stringer -type=X\n//go:generate oddtool x\n", {"gomod.go_generate"}),
     ("pypi", "empty.py", None, set()),
 ]
 
@@ -59,6 +60,17 @@ def test_hooks(spark):
     assert got == {"installer.npm_lifecycle_net_exec", "installer.npm_install_host_recon", "installer.npm_install_recon_exfil", "installer.npm_install_script_network"}
 
 
+def test_manifests_and_shipped_files(spark):
+    manifest = '{"main": "./main.js", "bin": {"x": "run.sh"}, "dependencies": {"a": "^1.0.0", "b": "https://x.workers.dev/b.tgz", "c": "https://codeload.github.com/c"}}'
+    manifests = spark.createDataFrame([(1, "pkg/package.json", manifest)], "scan_id long, path string, text string")
+    files = [(1, "pkg/main.js", "eval(String.fromCharCode(97))"), (2, "m/hidden.pyc", None), (2, "m/load.py", "import importlib.util"), (3, "x.pth", "import evil_thing\nimport os\nimport shipped\n"), (3, "shipped/__init__.py", "")]
+    df = spark.createDataFrame(files, "scan_id long, path string, text string")
+    got = {(r.rule_id.split(".")[1], r.severity) for r in manifest_findings(manifests, df).collect()}
+    assert got == {("npm_suspicious_bin", "low"), ("npm_url_dependency", "high"), ("npm_url_dependency", "medium"), ("npm_runtime_obfuscated_entrypoint", "critical")}
+    got = {(r.scan_id, r.rule_id, r.severity, r.evidence) for r in shipped_findings(df).collect()}
+    assert got == {(2, "malware.pyc_bytecode_hidden", "critical", "bytecode beside sources"), (3, "malware.pth_import_injection", "high", "import evil_thing")}
+
+
 def test_binaries_and_entropy(spark):
     rows = [(1, "bin/tool", b"\x7fELF" + b"\0" * 50), (2, "x.py", b"MZ" + b"\0" * 50), (3, "lib.so", b"\x7fELF"), (4, "a.dat", b"MZ..UPX!"), (5, "b.txt", b"plain"), (6, "c.bin", b"MZ VMProtect")]
     got = {r.scan_id: (r.rule_id, r.severity) for r in binary_findings(spark.createDataFrame(rows, "scan_id long, path string, content binary")).collect()}

@@ -7,6 +7,7 @@ ordered CASE. What needs offsets within a text (one match near another) is writt
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 from vigilake.functions import text as T
 from vigilake.intel import BASELINE, Pack
 
+#: Top-level names of the standard library of the Python that runs here.
+STDLIB = tuple(sorted(x for x in sys.stdlib_module_names if not x.startswith("_")))
+
+
 def body() -> Column:
     return F.col("text")
 
@@ -107,6 +112,12 @@ SHELL_DECODE = r"(?i)base64\s+(?:-d|--decode)|\batob\b|\bxxd\b\s+-r|Buffer\.from
 JS_NET = r"(?i)require\(\s*['\"](?:https?|net|dns|tls|dgram)['\"]\s*\)|\b(?:fetch|axios|node-fetch|got|undici|superagent)\b|\bhttps?\.(?:get|request)\b|\bXMLHttpRequest\b"
 JS_EXEC = r"require\(\s*['\"]child_process['\"]\s*\)|\bchild_process\b|\b(?:exec|execSync|spawn|spawnSync|execFile|fork)\s*\(|\beval\s*\(|new\s+Function\s*\(|process\.binding\s*\("
 JS_DECODE = r"Buffer\.from\([^)]*['\"]base64['\"]|\batob\s*\("
+# Tools that generate code.
+GO_TOOLS = (
+    "go", "-command", "stringer", "mockgen", "mockery", "moq", "counterfeiter", "protoc", "protoc-gen-go", "protoc-gen-go-grpc", "wire", "enumer", "genny", "go-bindata",
+    "easyjson", "msgp", "codecgen", "golex", "goyacc", "gotext", "goimports", "gofmt", "gofumpt", "oapi-codegen", "sqlboiler", "buf", "gqlgen", "ent", "swag", "swagger",
+    "controller-gen", "deepcopy-gen", "client-gen", "lister-gen", "informer-gen", "openapi-gen", "mv", "mkdir", "rm",
+)
 HOST_RECON = r"(?i)\bos\.(?:hostname|userInfo)\s*\(|\b(?:whoami|systeminfo)\b|\buname\s+-|\bid\s+-un\b|echo\s+%USERNAME%"
 NET_RECON = r"(?i)\bos\.networkInterfaces\s*\(|\b(?:ifconfig|ipconfig|ip\s+addr)\b"
 CI_HARVEST = r"GITHUB_TOKEN|GITHUB_ACTOR|GITHUB_REPOSITORY|GH_TOKEN|NPM_TOKEN|NODE_AUTH_TOKEN|CIRCLECI|JENKINS_URL|GITLAB_CI"
@@ -270,6 +281,7 @@ def rules(pack: Pack = BASELINE) -> list[Rule]:
         Rule("crates.build_rs_suspicious_include", "high", "medium", build_rs, lambda: F.regexp_extract_all(body(), F.lit(r"include_bytes!\s*\(\s*\"([^\"]+\.(?:exe|dll|so|sh|ps1|bat|cmd|bin))\""), F.lit(1))),
         Rule("crates.build_rs_encoded_payload", "medium", "medium", build_rs, lambda: when(has(ENCODED), "a long encoded literal")),
         Rule("gomod.go_generate_exec", "critical", "high", go_file, lambda: F.filter(F.regexp_extract_all(body(), F.lit(r"(?m)^//go:generate\s+(.*)$"), F.lit(1)), lambda x: x.rlike(r"(?i)\b(?:curl|wget|bash|powershell|python\d?)\b|(?:^|\s|[|;&])(?:sh|cmd|nc)\s"))),
+        Rule("gomod.go_generate", "low", "medium", go_file, lambda: F.filter(F.regexp_extract_all(body(), F.lit(r"(?m)^//go:generate\s+(\S+)"), F.lit(1)), lambda x: ~F.substring_index(x, "/", -1).isin(*GO_TOOLS, "bash", "sh", "curl", "wget", "powershell"))),
         Rule("gomod.init_exec_chain", "critical", "high", go_file, lambda: when(init_exec(), "init runs a process")),
         Rule("gomod.init_net_chain", "high", "high", go_file, lambda: when(go_init().rlike(GO_NET_USE), "init uses the network")),
         Rule("gomod.init_env_harvest", "high", "high", go_file, lambda: when(F.size(secrets_in(r"os\.Getenv\s*\(\s*\"([^\"]+)\"", go_init())) >= 3, "init reads three secrets or more")),
@@ -369,3 +381,40 @@ def binary_findings(files: DataFrame) -> DataFrame:
         .when(~(native | unpacked), told("binary.compiled_artifact", F.when(ext() == "", "low").otherwise("medium")))
     )
     return some.withColumn("x", out).where("x IS NOT NULL").select("scan_id", "x.rule_id", F.lit("binary").alias("category"), "x.severity", F.lit("high").alias("confidence"), F.col("path").alias("file"), F.lit("executable content").alias("evidence"))
+
+
+def manifest_findings(manifests: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings of package.json, rows (scan_id, path, text): executables among bin entries, raw-URL dependencies, entry points that decode themselves."""
+    root = F.regexp_extract(place(), "^(.*/)?package\\.json$", 1)
+
+    def table_of(key: str) -> Column:
+        return F.coalesce(F.from_json(F.get_json_object("text", f"$.{key}"), "map<string,string>"), F.expr("map()").cast("map<string,string>"))
+
+    bins = manifests.select("scan_id", F.explode(F.map_values(table_of("bin"))).alias("evidence")).where(F.lower("evidence").rlike(r"\.(?:sh|ps1|bat|cmd|exe|dll|so|bin)$"))
+    bins = bins.select("scan_id", told("installer.npm_suspicious_bin", "low", "low").alias("x"), F.lit("package.json").alias("file"), "evidence")
+    wanted = F.concat(*(F.map_values(table_of(k)) for k in ("dependencies", "devDependencies", "optionalDependencies")))
+    urls = manifests.select("scan_id", F.explode(F.filter(wanted, lambda x: x.rlike("^https?://"))).alias("evidence"))
+    odd = T.under_any(T.url_host(F.col("evidence")), OAST + ABUSE_HOSTS) | F.coalesce(T.url_host(F.col("evidence")).rlike(r"^[\d.]+$"), F.lit(False))
+    urls = urls.select("scan_id", told("installer.npm_url_dependency", F.when(odd, "high").otherwise("medium")).alias("x"), F.lit("package.json").alias("file"), "evidence")
+    main = F.coalesce(F.get_json_object("text", "$.main"), F.lit("index.js"))
+    entry = manifests.select("scan_id", F.explode(F.concat(F.array(main), F.map_values(table_of("bin")))).alias("said"), root.alias("root"))
+    entry = entry.select("scan_id", F.concat("root", F.regexp_replace("said", r"^\./", "")).alias("path")).distinct()
+    decodes = ~place().rlike(BUNDLE) & has(EVAL) & ((has(CHARCODE) & near(CHARCODE, EVAL)) | (has(DECIPHER) & near(DECIPHER, EVAL)))
+    runs = files.join(entry, ["scan_id", "path"], "left_semi").where(decodes)
+    runs = runs.select("scan_id", told("installer.npm_runtime_obfuscated_entrypoint", "critical").alias("x"), F.col("path").alias("file"), F.lit("an entry point that decodes itself").alias("evidence"))
+    every = bins.unionByName(urls).unionByName(runs)
+    return every.select("scan_id", "x.rule_id", F.lit("installer").alias("category"), "x.severity", "x.confidence", "file", "evidence").distinct()
+
+
+def shipped_findings(files: DataFrame) -> DataFrame:
+    """Findings that need the other files of a package, rows (scan_id, path, text): bytecode outside __pycache__, .pth imports of modules that aren't shipped."""
+    loader = files.where(ext() == ".py").groupBy("scan_id").agg(F.bool_or(F.coalesce(has(r"importlib\.(?:util|machinery)|SourcelessFileLoader|imp\.load_compiled"), F.lit(False))).alias("loads"))
+    pyc = files.where((ext() == ".pyc") & ~place().rlike("(?:^|/)__pycache__/")).join(loader, "scan_id", "left")
+    pyc = pyc.select("scan_id", told("malware.pyc_bytecode_hidden", F.when(F.col("loads"), "critical").otherwise("high")).alias("x"), F.col("path").alias("file"), F.lit("bytecode beside sources").alias("evidence"))
+    stem = F.regexp_replace(F.substring_index(place(), "/", -1), r"\.py$", "")
+    own = files.where(ext() == ".py").select("scan_id", F.explode(F.array(stem, F.element_at(F.split(place(), "/"), 1))).alias("module")).distinct()
+    lines = files.where(ext() == ".pth").select("scan_id", F.col("path").alias("file"), F.explode(F.split("text", "\n")).alias("line"))
+    named = lines.select("scan_id", "file", F.col("line").alias("evidence"), F.regexp_extract("line", r"^\s*(?:import|from)\s+([A-Za-z_]\w*)", 1).alias("module")).where("module <> '' AND NOT contains(line, ';')")
+    foreign = named.where(~F.col("module").isin(*STDLIB)).join(own, ["scan_id", "module"], "left_anti")
+    foreign = foreign.select("scan_id", told("malware.pth_import_injection", "high", "medium").alias("x"), "file", "evidence")
+    return pyc.unionByName(foreign).select("scan_id", "x.rule_id", F.lit("malware").alias("category"), "x.severity", "x.confidence", "file", "evidence").distinct()

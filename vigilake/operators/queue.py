@@ -141,3 +141,25 @@ def spend_blocked(calls: DataFrame, at: str, cost: str, seconds: int = 3600, mos
     told = calls.withColumn("_at", micros(F.col(at)))
     spent = F.coalesce(F.sum(cost).over(window), F.lit(0.0))
     return told.withColumn("blocked", (spent >= most_cost) | (F.count("*").over(window) >= most_calls)).drop("_at")
+
+
+def candidate_batch(backlog: DataFrame, fresh: DataFrame, quota: int, overflow: int = 5000) -> DataFrame:
+    """(name, seq, action) of one poll's candidates: up to half the quota from the backlog, oldest first, the rest fresh; what is left is carried over, the newest `overflow` at most.
+
+    A poll is bounded, so one order over its candidates is.
+    """
+    both = backlog.select("name", "seq", F.lit(0).alias("kind")).unionByName(fresh.select("name", "seq", F.lit(1).alias("kind")))
+    own = Window.partitionBy("kind").orderBy("seq", "name")
+    placed = both.withColumn("place", F.row_number().over(own)).withColumn("n_old", F.count_if(F.col("kind") == 0).over(Window.partitionBy()))
+    old = F.least("n_old", F.lit(quota // 2))
+    taken = F.when(F.col("kind") == 0, F.col("place") <= old).otherwise(F.col("place") <= quota - old)
+    left = Window.partitionBy("taken").orderBy(F.desc("seq"), F.desc("name"))
+    told = placed.withColumn("taken", taken).withColumn("age", F.row_number().over(left))
+    return told.select("name", "seq", F.when(F.col("taken"), "check").when(F.col("age") <= overflow, "carry").otherwise("drop").alias("action"))
+
+
+def within_budget(snippets: DataFrame, total: int = 48 << 10, each: int = 12 << 10) -> DataFrame:
+    """(scan_id, path, length) of the pieces of source that fit a budget of characters: by priority and path, each cut to a maximum."""
+    length = F.least(F.length("text"), F.lit(each))
+    order = Window.partitionBy("scan_id").orderBy("priority", "path").rowsBetween(Window.unboundedPreceding, 0)
+    return snippets.withColumn("length", length.cast("long")).withColumn("used", F.sum("length").over(order)).where(F.col("used") <= total).select("scan_id", "path", "length")

@@ -770,3 +770,26 @@ def brand_new_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = A.watchlist(spark, sf_dir)
     names = ranked.select("package_id", "ecosystem", F.concat(F.lit("pkg"), (F.col("package_id") * 3).cast("string")).alias("name"))
     return brand_new(names, names.where("package_id % 5 = 0"), A.queue(spark, sf_dir)).select("ecosystem", "name")
+
+
+@query(
+    "candidate_batch",
+    """WITH b AS (SELECT 'n' || o_orderkey AS name, o_orderkey AS seq, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 END AS kind FROM orders WHERE o_orderkey % 7 IN (0, 1)),
+    p AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY seq, name) AS place, least(100, count(*) FILTER (kind = 0) OVER ()) AS old FROM b),
+    t AS (SELECT *, CASE WHEN kind = 0 THEN place <= old ELSE place <= 200 - old END AS taken FROM p)
+    SELECT name, seq, CASE WHEN taken THEN 'check' WHEN row_number() OVER (PARTITION BY taken ORDER BY seq DESC, name DESC) <= 300 THEN 'carry' ELSE 'drop' END AS action FROM t""",
+)
+def candidate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = A.read(spark, sf_dir, "orders").select(F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderkey").alias("seq"))
+    return queue.candidate_batch(seen.where("seq % 7 = 0"), seen.where("seq % 7 = 1"), 200, 300)
+
+
+@query(
+    "source_budget",
+    """SELECT scan_id, path, length FROM (SELECT *, sum(length) OVER (PARTITION BY scan_id ORDER BY priority, path ROWS UNBOUNDED PRECEDING) AS used FROM
+    (SELECT doc_id % 50 AS scan_id, doc_id % 3 AS priority, 'f' || doc_id AS path, least(length(text), 1200)::BIGINT AS length FROM documents WHERE text IS NOT NULL)) WHERE used <= 4800""",
+)
+def source_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = A.read(spark, sf_dir, "documents").where("text IS NOT NULL")
+    snippets = docs.select((F.col("doc_id") % 50).alias("scan_id"), (F.col("doc_id") % 3).alias("priority"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), "text")
+    return queue.within_budget(snippets, 4800, 1200)
