@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Thresholds of fuzzy matches.
 SSDEEP_LEAST, SSDEEP_STRONG, TLSH_MOST, TLSH_STRONG = 70, 88, 120, 40
+#: Keys over which files are dealt for comparisons with a whole list.
+SALTS = 256
 # Names that wrap another name.
 WRAPPER_PREFIXES = ("python-", "py-", "python3-", "py3-", "lib")
 WRAPPER_SUFFIXES = ("-python", "-py", "-python3", "-py3", "-lib", "-sdk", "-api", "-client")
@@ -90,8 +92,10 @@ def fuzzy_matches(files: DataFrame, fingerprints: DataFrame) -> DataFrame:
     theirs = seeds.where("ssdeep IS NOT NULL").select(F.col("sha256").alias("seed"), "campaign", F.col("ssdeep").alias("b"), F.explode(ctph_runs(F.col("ssdeep"))).alias("run"))
     close = mine.join(theirs, "run").select("file_id", "seed", "campaign", "a", "b").distinct().withColumn("similarity", ctph_similarity("a", "b")).where(F.col("similarity") >= SSDEEP_LEAST)
     first = close.select("file_id", "seed", "campaign", F.lit(1).alias("order"), F.when(F.col("similarity") >= SSDEEP_STRONG, "strong").otherwise("fuzzy").alias("tier"), F.col("similarity").cast("int").alias("similarity"), (-F.col("similarity")).cast("int").alias("sort"))
-    bodies = seeds.where("tlsh IS NOT NULL").select(F.col("sha256").alias("seed"), "campaign", F.col("tlsh").alias("b"))
-    far = files.where("tlsh IS NOT NULL").select("file_id", F.col("tlsh").alias("a")).join(bodies, F.length("a") == F.length("b")).withColumn("distance", tlsh_distance("a", "b")).where(F.col("distance") <= TLSH_MOST)
+    # The list is copied to SALTS keys and the files are dealt over them, so each task compares its own files.
+    bodies = seeds.where("tlsh IS NOT NULL").select(F.col("sha256").alias("seed"), "campaign", F.col("tlsh").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    dealt = files.where("tlsh IS NOT NULL").select("file_id", F.col("tlsh").alias("a"), F.pmod(F.xxhash64("file_id"), F.lit(SALTS)).alias("salt"))
+    far = dealt.join(bodies, "salt").where(F.length("a") == F.length("b")).withColumn("distance", tlsh_distance("a", "b")).where(F.col("distance") <= TLSH_MOST)
     second = far.select("file_id", "seed", "campaign", F.lit(2).alias("order"), F.when(F.col("distance") <= TLSH_STRONG, "strong").otherwise("fuzzy").alias("tier"), F.col("distance").cast("int").alias("similarity"), F.col("distance").cast("int").alias("sort"))
     order = Window.partitionBy("file_id").orderBy("order", "sort", "seed")
     return first.unionByName(second).withColumn("place", F.row_number().over(order)).where("place = 1").select("file_id", "campaign", "seed", F.when(F.col("order") == 1, "ssdeep").otherwise("tlsh").alias("kind"), "tier", "similarity")
