@@ -138,6 +138,21 @@ def test_near_classes(spark):
     assert order_minhash.near_classes(frame(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("bounds", [{}, {"CENTRES": 2, "GROWTH": 3, "FEW_PAIRS": 0, "MEMBERS": 7}])
+def test_near_copies_behind_unlike_texts(spark, bounds, monkeypatch):
+    """Unlike texts with smaller ids hold the passage of near copies, so the first centre of each sketch is none of theirs."""
+    for name, value in bounds.items():
+        monkeypatch.setattr(order_minhash, name, value)
+    pick = random.Random(8)
+    passage = [f"p{k}" for k in range(150)]
+    own = lambda n: [f"o{pick.randrange(10**9)}" for _ in range(n)]
+    longer = [(k, " ".join(passage + own(75))) for k in range(100)]
+    equal = [(200 + k, " ".join(passage[:100] + own(58))) for k in range(20)]  # as long as the copies, but unlike
+    copies = [(300 + k, " ".join(passage + own(8))) for k in range(30)]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_classes(frame(spark, [*longer, *equal, *copies])).collect()}
+    assert got == {doc: doc for doc, _ in [*longer, *equal]} | {doc: 300 for doc, _ in copies}
+
+
 def test_components(spark):
     pick = random.Random(6)
     edges = [(k, k + 1) for k in range(0, 40)] + [(pick.randrange(100, 160), pick.randrange(100, 160)) for _ in range(40)] + [(5, 5)]
