@@ -34,6 +34,17 @@ def test_differencing(spark):
     assert texts(spark, marked) == {k: f"said by all\n{k}" for k in range(4)}
 
 
+def test_copies_are_one_page(spark):
+    """Copies lose the lines of the site as the page does that they copy, and so does a page with few lines of its own."""
+    site = "".join(f"<div>Site line {k}</div>" for k in range(20))
+    rows = [(f"http://h.x/{k:02}", PAGE.format(top=site, body=f"<p>article {k}</p>", bottom="<div>Imprint</div>")) for k in range(6)]
+    rows += [("http://h.x/02b", rows[2][1]), ("http://h.x/02b", rows[2][1]), ("http://h.x/zz", rows[0][1])]
+    rows += [(f"http://only.x/{k}", rows[0][1].replace("article 0", "copied")) for k in range(3)]
+    got = texts(spark, rows)
+    assert [got[k] for k in range(9)] == [f"article {k}" for k in (0, 1, 2, 3, 4, 5, 2, 2, 0)]
+    assert all("Site line 0" in got[k] and "copied" in got[k] for k in (9, 10, 11))  # nothing on their host to compare with
+
+
 @pytest.mark.parametrize("cells", [10**9, 8])
 def test_alignment(cells, monkeypatch):
     monkeypatch.setattr(html_diff, "CELLS", cells)

@@ -4,11 +4,11 @@ A page becomes lines, one for each block element: character references decoded,
 without text left out. Elements that are no text (scripts, styles, forms, ...) or whose name, role, class or id says menu, header,
 footer, sidebar, notice, advert or comment never give lines.
 
-Differencing: within each host, pages are ordered by path, and each page is paired with the page before it (the first of a host with
-the next). The lines of the two are aligned by a longest common subsequence; lines in common belong to the site rather than to the
-page, and are deleted. Two limits keep it right. Lines inside an element that the page itself marks as its article or main part are
-not deleted, as articles quote each other and whole pages have copies; where such a part is marked, lines outside it are not taken
-at all. And a page that shares more than COPY of its lines with its partner is a copy of it rather than a sibling, so nothing is deleted.
+Differencing: within each host, pages of equal lines are copies, and count as one page under the first of their paths. These pages are
+ordered by path, and each is paired with the page before it (the first of a host with the next). The lines of the two are aligned by a
+longest common subsequence; lines in common belong to the site rather than to the page, and are deleted, from all copies alike. One
+limit keeps it right: lines inside an element that the page itself marks as its article or main part are not deleted, as articles quote
+each other; where such a part is marked, lines outside it are not taken at all. A page whose host holds nothing but copies of it has no partner.
 
 The order over all pages is that of a range partitioning of slim rows (URL and hashes of lines), so a host with a third of all pages is
 spread over many tasks; the last row of each task's range is handed to the next one, one row for each partition.
@@ -24,6 +24,7 @@ import re
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
@@ -33,8 +34,6 @@ from pyspark.sql import functions as F
 from vigilake.llm.common import decoded, raw, shared_checkpoint, table, to_arrow
 from vigilake.llm.pieces import packed_text
 
-#: Lines in common beyond this share make a page a copy of its partner.
-COPY = 0.9
 #: Cells of an alignment that are held at once; larger ones are divided.
 CELLS = 200_000_000
 
@@ -192,22 +191,16 @@ def _counts(row: int, n: int) -> list[int]:
     return out
 
 
-def shared_lines(mine: list[int], other: list[int]) -> list[int]:
-    """Lines of a page, as hashes, that its partner shares; none if the page is a copy."""
-    same = common(mine, other)
-    return same if len(same) <= COPY * len(mine) else []
-
-
-SLIM = "page_id long,key long,host string,path string,hashes array<long>"
+SLIM = "page_id long,key long,host string,path string,lines binary,hashes array<long>"
 PAIRED = "page_id long,key long,host string,path string,hashes array<long>,part int,first boolean,last boolean,shared array<int>"
 
 
 def slim_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, key, host, path, hashes of lines) of rows (page_id, key, url, html) that have a host."""
+    """(page_id, key, host, path, a hash of all lines, hashes of lines) of rows (page_id, key, url, html) that have a host."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys, hosts, paths, hashes = [], [], [], [], []
+            ids, keys, hosts, paths, lines, hashes = [], [], [], [], [], []
             for page, key, url, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), raw(batch.column(3)), strict=True):
                 try:
                     split = urlsplit(url or "")
@@ -219,16 +212,19 @@ def slim_pages(pages: DataFrame) -> DataFrame:
                     hosts.append(split.netloc.lower())
                     paths.append(split.path + ("?" + split.query if split.query else ""))
                     hashes.append([xxhash.xxh3_64_intdigest(line.encode("utf-8", "surrogatepass")) - (1 << 63) for line, _ in lines_of(decoded(data or b""))])
-            yield pa.RecordBatch.from_pydict({"page_id": ids, "key": keys, "host": hosts, "path": paths, "hashes": hashes}, schema=to_arrow(SLIM))
+                    lines.append(xxhash.xxh3_128_digest(np.array(hashes[-1], np.int64).tobytes()))
+            yield pa.RecordBatch.from_pydict({"page_id": ids, "key": keys, "host": hosts, "path": paths, "lines": lines, "hashes": hashes}, schema=to_arrow(SLIM))
 
     return pages.mapInArrow(go, SLIM)
 
 
 def neighbours(slim: DataFrame) -> DataFrame:
-    """(page_id, key, shared): the lines that each page shares with the page before it on its host, in the order of paths."""
+    """(key, shared): the lines that each page shares with the page before it on its host, in the order of paths. Copies are one page."""
     order = ("host", "path", "page_id", "key")
-    # Rows that agree in all of these are one page.
-    ranged = shared_checkpoint(slim.dropDuplicates(["host", "path", "page_id", "key"]).repartitionByRange(*order).sortWithinPartitions(*order))
+    held = shared_checkpoint(slim.withColumn("copies", F.xxhash64("host", "lines")))
+    copies = held.groupBy("copies").agg(F.min(F.struct("host", "path", "page_id")).alias("first"), F.any_value("hashes").alias("hashes"))
+    pages = copies.select("first.page_id", F.col("copies").alias("key"), "first.host", "first.path", "hashes")
+    ranged = shared_checkpoint(pages.repartitionByRange(*order).sortWithinPartitions(*order))
     marked = ranged.withColumn("part", F.spark_partition_id())
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,9 +233,9 @@ def neighbours(slim: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 if before is not None:
                     if before["shared"] is None and before["host"] == row["host"]:
-                        before["shared"] = shared_lines(before["hashes"], row["hashes"])
+                        before["shared"] = common(before["hashes"], row["hashes"])
                     out.append(before)
-                    shared = shared_lines(row["hashes"], before["hashes"]) if before["host"] == row["host"] else None
+                    shared = common(row["hashes"], before["hashes"]) if before["host"] == row["host"] else None
                 else:
                     shared = None
                 before = row | {"first": before is None, "last": False, "shared": shared}
@@ -261,20 +257,21 @@ def neighbours(slim: DataFrame) -> DataFrame:
     def mend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [
-                {"page_id": x["page_id"], "key": x["key"], "shared": shared_lines(x["hashes"], x["end"]["end_hashes"]) if x["end"] and x["end"]["end_host"] == x["host"] else x["shared"]}
+                {"page_id": x["page_id"], "key": x["key"], "shared": common(x["hashes"], x["end"]["end_hashes"]) if x["end"] and x["end"]["end_host"] == x["host"] else x["shared"]}
                 for x in batch.to_pylist()
             ]
             yield pa.RecordBatch.from_pylist(rows, schema=to_arrow("page_id long,key long,shared array<int>"))
 
     mended = told.select("page_id", "key", "host", "hashes", "shared", "end").mapInArrow(mend, "page_id long,key long,shared array<int>")
-    return paired.where("NOT first").select("page_id", "key", "shared").union(mended)
+    found = paired.where("NOT first").select("page_id", "key", "shared").union(mended).where(F.size("shared") > 0)
+    return held.select("key", "copies").distinct().join(found.select(F.col("key").alias("copies"), "shared"), "copies").select("key", "shared")
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text, n_chars, n_shared, n_deleted): the main text of each page, and how many lines it shares with its partner and lost for that."""
     url, page = F.col(f"`{url_col}`").cast("string"), F.col(f"`{html_col}`").cast("string")
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.xxhash64(url, page, F.col(f"`{id_col}`")).alias("key"), url.alias("url"), page.alias("html"))
-    shared = neighbours(slim_pages(rows)).where(F.size("shared") > 0).select("key", "shared")
+    shared = neighbours(slim_pages(rows))
     joined = packed_text(rows, "html").join(shared, "key", "left").select("page_id", "url", "html", "shared")
     schema = "page_id long,url string,text string,n_chars long,n_shared long,n_deleted long"
 
