@@ -56,6 +56,25 @@ def test_repeats(spark, bounds):
     assert suffix_dedup.remove_repeats(frame(spark, rows).limit(0), size=8).count() == 0
 
 
+def test_frequent_run_is_split(spark):
+    """A passage shorter than a window, in all documents and with other words around it, is one subtree; its windows are still dealt to bounded groups."""
+    pick = random.Random(11)
+    own = lambda n: [f"o{pick.randrange(10**9)}" for _ in range(n)]
+    rows = [(k, " ".join(own(30) + [f"p{j}" for j in range(20)] + own(30))) for k in range(200)]
+    rows += [(300 + k, rows[k][1] + " end") for k in range(3)]
+    docs = frame(spark, rows).selectExpr("doc_id AS id", "xxhash64(text) AS key", "text")
+    bound = 600
+    splits = suffix_dedup.splits_of(docs, 50, 16, 8, bound)
+    assert splits.sum() > 8
+    block, rolling, known = suffix_dedup.Block(50, 16, splits), suffix_dedup.Rolling(), suffix_dedup.WordHashes()
+    for doc, text in rows:
+        block.add(doc, doc, suffix_dedup.np.array([known[x] for x in text.encode().split()], suffix_dedup.np.uint64), rolling)
+    sizes = [len(suffix_dedup.unpack(row["data"])[5]) for batch in block.resolve() for row in batch.to_pylist() if row["part"] is not None]
+    assert sum(sizes) == 200 * 31 + 3 and max(sizes) < 1.3 * bound
+    got = suffix_dedup.remove_repeats(frame(spark, rows), least_parts=8, part_windows=bound, block_words=900)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()), key=str) == brute_repeats(rows, 50)
+
+
 def brute_contamination(text, items, size):
     words, hit, names = plain_words((text or "").encode()), set(), set()
     for name, item in items:

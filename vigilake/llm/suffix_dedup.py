@@ -11,7 +11,9 @@ run's hash, the document, the first start, and a hash for each window. Where a t
 in a smaller document, only the smaller one travels, so a passage that a third of all documents hold costs each task one
 copy. A subtree is handled as its sorted leaves: equal neighbours are the internal nodes of depth `size`, and consecutive
 starts found there are joined to maximal repeats. Subtrees are grouped to a number of parts that follows the number of
-words, so each fits in memory.
+words. All windows are counted by part before, and a part of more than `PART_WINDOWS` is split further, by the hash of the whole
+window rather than by a longer prefix: so also a subtree of one frequent run, as of a passage shorter than a window with many
+surroundings, is divided to fit in memory, and equal windows still meet.
 
 A window is known by two hashes, of 64 bits each: its smallest run's, and its own. Both are polynomials over random 64-bit
 word hashes; a false match needs two windows that agree in both.
@@ -44,6 +46,8 @@ BLOCK_WORDS = 1_000_000
 #: Bytes of all texts for each part of the tree, and the least number of parts.
 PART_BYTES = 4_000_000
 LEAST_PARTS = 512
+#: Windows of a part beyond which it is split by the windows' own hashes.
+PART_WINDOWS = 4_000_000
 #: Entries of the table of word hashes on a worker.
 WORD_MEMO = 500_000
 
@@ -109,10 +113,13 @@ def spans_of(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Block:
-    """Windows of some documents. resolve() gives what is removed within the block, and the pieces that must travel."""
+    """Windows of some documents. resolve() gives what is removed within the block, and the pieces that must travel.
 
-    def __init__(self, size: int, prefix: int, parts: int):
-        self.size, self.prefix, self.parts = size, prefix, parts
+    `splits` holds for each part the number of groups its windows are dealt to.
+    """
+
+    def __init__(self, size: int, prefix: int, splits: np.ndarray):
+        self.size, self.prefix, self.splits = size, prefix, splits
         self.ids, self.keys, self.counts, self.hashes, self.roots, self.words = [], [], [], [], [], 0
 
     def add(self, doc: int, key: int, words: np.ndarray, rolling: Rolling) -> None:
@@ -131,14 +138,16 @@ class Block:
         starts = np.arange(len(of), dtype=np.int32) - np.repeat(np.cumsum(counts) - counts, counts).astype(np.int32)
         later = earliest(hashes, roots, ids[of]) < ids[of]
         yield from removed(ids, keys, of[later], starts[later], self.size)
-        # What travels: the earliest document's windows, as pieces of consecutive starts under one root.
+        # What travels: the earliest document's windows, as pieces of consecutive starts under one root and in one group.
         keep = np.flatnonzero(~later)
         if not len(keep):
             return
         of, starts, roots, hashes = of[keep], starts[keep], roots[keep], hashes[keep]
-        at = np.concatenate(([0], np.flatnonzero((np.diff(of) != 0) | (np.diff(starts) != 1) | (roots[1:] != roots[:-1])) + 1))
+        part = (roots % np.uint64(len(self.splits))).astype(np.int64)
+        part = (np.cumsum(self.splits) - self.splits)[part] + (hashes % self.splits[part].astype(np.uint64)).astype(np.int64)
+        at = np.concatenate(([0], np.flatnonzero((np.diff(of) != 0) | (np.diff(starts) != 1) | (roots[1:] != roots[:-1]) | (np.diff(part) != 0)) + 1))
         length = np.diff(np.concatenate((at, [len(of)])))
-        part = (roots[at] % np.uint64(self.parts)).astype(np.int64)
+        part = part[at]
         order = np.argsort(part, kind="stable")
         where, edges = np.unique(part[order], return_index=True)
         payload = []
@@ -206,14 +215,35 @@ def removed(ids: np.ndarray, keys: np.ndarray, of: np.ndarray, starts: np.ndarra
     yield pa.RecordBatch.from_pydict({"part": [None] * len(data), "id": docs[at[edge]], "key": keys[at[edge]], "data": data}, schema=to_arrow(PIECES))
 
 
-def repeats(docs: DataFrame, *, size: int = SIZE, prefix: int = PREFIX, block_words: int = BLOCK_WORDS, part_bytes: int = PART_BYTES, least_parts: int = LEAST_PARTS) -> DataFrame:
+def splits_of(docs: DataFrame, size: int, prefix: int, parts: int, part_windows: int) -> np.ndarray:
+    """For each part the number of groups that keeps them within `part_windows`, from a count of all windows."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rolling, n = WordHashes(), Rolling(), np.zeros(parts, np.int64)
+        for batch in batches:
+            for data in raw(batch.column(2)):
+                words = (data or b"").split()
+                if len(words) >= size:
+                    roots = window_minima(rolling.runs(rolling.sums(np.array([known[x] for x in words], np.uint64)), prefix), size - prefix + 1)
+                    n += np.bincount((roots % np.uint64(parts)).astype(np.int64), minlength=parts)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"part": some, "n": n[some]}, schema=to_arrow("part long,n long"))
+
+    splits = np.ones(parts, np.int64)
+    for part, n in docs.mapInArrow(count, "part long,n long").groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") > part_windows).collect():
+        splits[part] = -(-n // part_windows)
+    return splits
+
+
+def repeats(docs: DataFrame, *, size: int = SIZE, prefix: int = PREFIX, block_words: int = BLOCK_WORDS, part_bytes: int = PART_BYTES, least_parts: int = LEAST_PARTS, part_windows: int = PART_WINDOWS) -> DataFrame:
     """(id, key, data) over rows (id, key, text): spans of words to remove, int32 starts and ends; several rows for a document, spans may overlap."""
     prefix = min(prefix, max(1, size // 2))
     n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     parts = max(least_parts, 1 + n_bytes // part_bytes)
+    splits = splits_of(docs, size, prefix, parts, part_windows)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rolling, block = WordHashes(), Rolling(), Block(size, prefix, parts)
+        known, rolling, block = WordHashes(), Rolling(), Block(size, prefix, splits)
         for batch in batches:
             for doc, key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), strict=True):
                 words = (data or b"").split()
@@ -221,7 +251,7 @@ def repeats(docs: DataFrame, *, size: int = SIZE, prefix: int = PREFIX, block_wo
                     block.add(doc, key, np.array([known[x] for x in words], np.uint64), rolling)
                     if block.words >= block_words:
                         yield from block.resolve()
-                        block = Block(size, prefix, parts)
+                        block = Block(size, prefix, splits)
         if block.words:
             yield from block.resolve()
 
