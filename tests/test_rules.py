@@ -88,12 +88,28 @@ def test_signatures(spark):
     got = {}
     for r in signature_findings(spark.createDataFrame(rows, "scan_id long, path string, content binary"), parse(BUILT_IN)).collect():
         got.setdefault(r.scan_id, set()).add(r.rule_id)
-    assert got == {1: {"yara.reverse_shell"}, 3: {"yara.build_script_network_exec"}, 5: {"yara.base64_exec_chain"}}
+    assert got == {1: {"yara.reverse_shell_pattern"}, 3: {"yara.rust_buildrs_network_exec"}, 5: {"yara.base64_exec_chain"}}
     told = parse('rule x { meta: severity = "low"\n strings: $a = "one" nocase $b = /t(w|v)o/ $c = "3" fullword\n condition: (2 of ($a, $b) or not $c) and filesize < 1KB\n}')
     files = spark.createDataFrame([(1, "p", b"ONE tvo 3"), (2, "p", b"one 3"), (3, "p", b"34")], "scan_id long, path string, content binary")
     assert {r.scan_id for r in signature_findings(files, told).collect()} == {1, 3}
 
 
+def test_long_literals(spark):
+    """Files of a megabyte in one literal, array or comment, for every rule and signature: the JVM's matcher must not recurse through them."""
+    n = 1 << 20
+    files = [
+        ("npm", "index.js", "var a=[" + "12, " * (n // 4) + "12]; eval(a)"), ("npm", "lib.js", "var s = '" + r"\\x41" * (n // 4) + "'; eval(s)"),
+        ("npm", "a.ts", "`" + "\\\\`" * (n // 2) + "`"), ("pypi", "setup.py", "x = '" + "\\\\n" * (n // 2) + "'"), ("pypi", "b.py", "ignore " + "all the any " * (n // 12) + "previous instructions"),
+        ("gomod", "a.go", "/*" * (n // 2) + 'import "C"'), ("crates", "build.rs", '"' + "QUJD" * (n // 4) + '"'), ("npm", "c.js", PAD + "eval(" + "'a'," * (n // 4)),
+    ]
+    df = spark.createDataFrame([(k, *x) for k, x in enumerate(files)], "scan_id long, ecosystem string, path string, text string").withColumn("size", F.octet_length("text"))
+    got = {(r.scan_id, r.rule_id) for r in static_findings(df).collect()}
+    assert {(0, "obfuscation.charcode_eval"), (4, "iocs.llm_injection_phrase"), (6, "crates.build_rs_encoded_payload")} <= got
+    looping = parse('rule x {\n strings: $a = /(?:[a-z0-9]+,\\s*)*end/ $b = /(?:ab|c)+d/\n condition: any of them\n}')
+    contents = spark.createDataFrame([(1, "a.js", b"12, " * (n // 4) + b"end"), (2, "b.js", b"abc" * (n // 4) + b"d"), (3, "c.js", b"plain")], "scan_id long, path string, content binary")
+    assert {r.scan_id for r in signature_findings(contents, looping + parse(BUILT_IN)).collect()} == {1, 2}
+
+
 def test_decoding(spark):
     hidden = b"eval(require('child_process').exec('id')) // more text to be long enough"
     wrapped = base64.b64encode(gzip.compress(base64.b64encode(hidden)))
@@ -105,10 +121,16 @@ def test_decoding(spark):
 def test_python_code(spark):
     cases = {
         "pkg/a.py": ("import os\nos.system('x')\n", {"imports.subprocess_at_import"}),
-        "pkg/b.py": ("import subprocess as s\ns.Popen(['x'], shell=True)\nfrom urllib.request import urlopen\nurlopen('u')\n", {"imports.subprocess_at_import_suspicious", "imports.network_at_import", "imports.network_subprocess_chain"}),
+        "pkg/b.py": ("import subprocess\nsubprocess.Popen(['x'], shell=True)\nfrom urllib.request import urlopen\nurlopen('u')\n", {"imports.subprocess_at_import", "imports.subprocess_at_import_suspicious", "imports.network_at_import", "imports.network_subprocess_chain"}),
         "pkg/c.py": ("import marshal\nexec(marshal.loads(b''))\n", {"imports.exec_at_import", "imports.marshalled_bytecode_loader"}),
-        "pkg/d.py": ("import os, requests\ndef f():\n    e = dict(os.environ)\n    b = e\n    requests.post('u', data=b)\n", {"malware.env_exfil_tainted"}),
-        "pkg/e.py": ("def f():\n    exec('1')\nif __name__ == '__main__':\n    exec('2')\n", set()),
+        "pkg/conftest.py": ("import os, requests\ndef f():\n    e = dict(os.environ)\n    b = e\n    requests.post('u', data=b)\n", {"malware.env_exfil_tainted"}),
+        "pkg/tests/conftest.py": ("import os, requests\ndef f():\n    requests.post('u', data=dict(os.environ))\n", set()),
+        "install.py": ("import os, requests\nk = os.environ\nn = 1\nrequests.post('u', data=n)\n", set()),
+        "pkg/d.py": ("import os, requests\ndef f():\n    requests.post('u', data=dict(os.environ))\n", set()),
+        "pkg/e.py": ("def f():\n    exec('1')\nclass A:\n    exec('2')\ng = lambda: eval('3')\n", set()),
+        "pkg/h.py": ("if __name__ == '__main__':\n    exec('2')\n", {"imports.exec_at_import"}),
+        "pkg/i.py": ("import subprocess\nsubprocess.Popen(['python3', 'x.py'])\n", {"imports.subprocess_at_import", "imports.subprocess_at_import_suspicious"}),
+        "pkg/j.py": ("import subprocess\nsubprocess.run(['ls', ['/tmp/x']])\nre.compile('x')\n", {"imports.subprocess_at_import", "imports.subprocess_at_import_suspicious"}),
         "setup.py": ("from urllib.request import urlopen\nexec(urlopen('u').read())\n", {"installer.urlopen_exec_chain"}),
         "pkg/g.py": ("def broken(:", set()),
     }

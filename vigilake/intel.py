@@ -34,6 +34,8 @@ BENIGN_HOSTS = (
     "npmjs.org", "npmjs.com", "rubygems.org", "packagist.org", "github.com", "github.io", "githubusercontent.com", "raw.githubusercontent.com",
     "gitlab.com", "bitbucket.org", "python.org", "docs.python.org", "readthedocs.io", "readthedocs.org", "w3.org", "ietf.org", "apache.org",
     "mozilla.org", "opensource.org", "spdx.org", "example.com", "example.org", "example.net", "example.invalid", "localhost", "127.0.0.1",
+    "api.anthropic.com", "api.openai.com", "api.groq.com", "api.x.ai", "api.mistral.ai", "api.deepseek.com", "api.cohere.ai", "api.cohere.com", "api.together.xyz",
+    "api.perplexity.ai", "integrate.api.nvidia.com", "generativelanguage.googleapis.com", "openrouter.ai", "opencode.ai",
 )
 
 # Files that run while a package is installed, by the rules that look at them.

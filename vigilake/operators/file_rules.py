@@ -72,7 +72,7 @@ class Rule:
 
 # Patterns of the rules, as they have to match.
 EVAL = r"(?:\beval\s*\(|\bnew\s+Function\s*\(|\bFunction\s*\(\s*['\"])"
-CHARCODE = r"(?:\bString\.fromCharCode\b|\.charCodeAt\s*\(|(?:\d{1,4}\s*,\s*){40,})"
+CHARCODE = r"(?:\bString\.fromCharCode\b|\.charCodeAt\s*\(|(?:\d{1,4}\s*+,\s*+){40})"
 DECIPHER = r"(?:\bcreateDecipher(?:iv)?\s*\()"
 HIDDEN_FETCH = r"(?:\bfetch\s*\(\s*(?:atob\s*\(|Buffer\.from\s*\([^,]+,\s*['\"]base64))"
 ROT_WRAPPER = r"(?s)\.replace\s*\(\s*/\[a-zA-Z\]/[gi]*\s*,\s*function\s*\([^)]*\)\s*\{[^}]*charCodeAt[^}]*%\s*26[^}]*\}"
@@ -93,7 +93,7 @@ DOWNLOADERS = r"(?:powershell|pwsh|cmd\.exe|curl\s|wget\s|Invoke-WebRequest|Invo
 ENV_BULK = r"os\.environ(?!\[|\.get)"
 ENV_SENSITIVE = r"(?i)os\.environ\s*(?:\.get\(\s*|\[\s*)['\"](?:AWS_|GITHUB_TOKEN|DATABASE_|DB_|SECRET|TOKEN|API_KEY|PRIVATE)"
 HTTP_SEND = r"(?:requests\.post|httpx\.post|urllib\.request\.urlopen|urlopen|http\.client|aiohttp\.ClientSession|\.post\(|curl\b|wget\b)"
-ENCODED = r"(?:[A-Za-z0-9+/]{200,}={0,2}|(?:\\x[0-9a-fA-F]{2}){50,})"
+ENCODED = r"(?:[A-Za-z0-9+/]{200}|(?:\\x[0-9a-fA-F]{2}){50})"
 RUST_NET = r"(?i)(?:reqwest|ureq|hyper|curl|std::net::TcpStream|std::net::UdpSocket|attohttpc|minreq|isahc)"
 RUST_EXEC = r"(?:std::process::Command|Command::new|std::os::unix::process|exec::Command)"
 SECRET_VARIABLES = (
@@ -115,8 +115,10 @@ JS_DECODE = r"Buffer\.from\([^)]*['\"]base64['\"]|\batob\s*\("
 # Tools that generate code.
 GO_TOOLS = (
     "go", "-command", "stringer", "mockgen", "mockery", "moq", "counterfeiter", "protoc", "protoc-gen-go", "protoc-gen-go-grpc", "wire", "enumer", "genny", "go-bindata",
-    "easyjson", "msgp", "codecgen", "golex", "goyacc", "gotext", "goimports", "gofmt", "gofumpt", "oapi-codegen", "sqlboiler", "buf", "gqlgen", "ent", "swag", "swagger",
-    "controller-gen", "deepcopy-gen", "client-gen", "lister-gen", "informer-gen", "openapi-gen", "mv", "mkdir", "rm",
+    "easyjson", "msgp", "codecgen", "golex", "goyacc", "gotext", "go-localize", "goimports", "gofmt", "gofumpt", "oapi-codegen", "sqlboiler", "buf", "gqlgen", "ent",
+    "swag", "swagger", "go-swagger", "controller-gen", "deepcopy-gen", "client-gen", "lister-gen", "informer-gen", "defaulter-gen", "conversion-gen", "openapi-gen",
+    "register-gen", "applyconfiguration-gen", "fyne", "rice", "statik", "pkger", "embedme", "go-winres", "goversioninfo", "errorgen", "dagnabit", "genxdr", "tscriptify",
+    "pluginrpc-gen", "vprotogen", "togo", "api", "go-enum", "xgettext", "mv", "mkdir", "rm",
 )
 HOST_RECON = r"(?i)\bos\.(?:hostname|userInfo)\s*\(|\b(?:whoami|systeminfo)\b|\buname\s+-|\bid\s+-un\b|echo\s+%USERNAME%"
 NET_RECON = r"(?i)\bos\.networkInterfaces\s*\(|\b(?:ifconfig|ipconfig|ip\s+addr)\b"
@@ -126,8 +128,8 @@ DETACHED = r"(?s)detached\s*:\s*true.{0,400}?\.unref\s*\(|\.unref\s*\(\s*\)"
 INSTALL_HOOKS = ("preinstall", "install", "postinstall", "prepare")
 INJECTION_SCHEMA = r"(?i)agrees_with_rules"
 INJECTION_PHRASE = (
-    r"(?i)[\"']verdict[\"']\s*:\s*[\"'](?:benign|safe)|ignore\s+(?:all\s+|the\s+|any\s+)*(?:previous|prior|above|preceding|earlier|system)\s+(?:instruction|prompt|message|rule)"
-    r"|disregard\s+(?:all\s+|the\s+|any\s+)*(?:previous|prior|above|preceding|earlier|system)\b"
+    r"(?i)[\"']verdict[\"']\s*:\s*[\"'](?:benign|safe)|ignore\s+(?:(?:all|the|any)\s+)*+(?:previous|prior|above|preceding|earlier|system)\s+(?:instruction|prompt|message|rule)"
+    r"|disregard\s+(?:(?:all|the|any)\s+)*+(?:previous|prior|above|preceding|earlier|system)\b"
 )
 OAST = ("oastify.com", "interact.sh", "oast.fun", "oast.site", "oast.pro", "oast.live", "oast.online", "oast.me", "burpcollaborator.net", "dnslog.cn", "requestcatcher.com", "canarytokens.com", "canarytokens.org")
 ABUSE_HOSTS = (
@@ -213,16 +215,26 @@ def secrets_in(pattern: str, text: Column | None = None) -> Column:
     return F.filter(F.regexp_extract_all(body() if text is None else text, F.lit(pattern), F.lit(1)), lambda x: x.isin(*SECRET_VARIABLES))
 
 
+#: String literals. The loops are possessive: the JVM runs those without recursion, so a literal of any length is read in constant stack.
+LITERALS = (r"'([^'\\\n]*+(?:\\.[^'\\\n]*+)*+)'", r'"([^"\\\n]*+(?:\\.[^"\\\n]*+)*+)"', r"`([^`\\]*+(?:\\.[^`\\]*+)*+)`")
+
+
+def cgo_preamble() -> Column:
+    """The comment right before the first import of "C", found by literal searches in linear time; empty without one."""
+    before = F.regexp_replace(F.substring_index(body(), 'import "C"', 1), r"\s++$", "")
+    return F.when(F.contains(body(), F.lit('import "C"')) & before.endswith("*/"), F.substring_index(before, "/*", -1)).otherwise("")
+
+
 def alphabets() -> Column:
     """Distinct literals that could be the alphabet of a codec: 84 to 95 printable characters, all different but one."""
-    inner = F.concat(*(F.regexp_extract_all(body(), F.lit(p), F.lit(1)) for p in (r"'((?:[^'\\\n]|\\.)*)'", r'"((?:[^"\\\n]|\\.)*)"', r"`((?:[^`\\]|\\.)*)`")))
+    inner = F.concat(*(F.regexp_extract_all(body(), F.lit(p), F.lit(1)) for p in LITERALS))
     return F.filter(F.array_distinct(inner), lambda s: F.length(s).between(84, 95) & s.rlike(r"^[\x21-\x7E]+$") & (F.size(F.array_distinct(F.filter(F.split(s, ""), lambda c: c != ""))) >= F.length(s) - 1))
 
 
 def bare_code() -> Column:
     """Code without strings and comments."""
     out = F.regexp_replace(body(), r"(?s)/\*.*?\*/", " ")
-    for pattern in (r"'(?:[^'\\\n]|\\.)*'", r'"(?:[^"\\\n]|\\.)*"', r"`(?:[^`\\]|\\.)*`", r"(?://|#)[^\n]*"):
+    for pattern in (*LITERALS, r"(?://|#)[^\n]*+"):
         out = F.regexp_replace(out, pattern, " ")
     return out
 
@@ -287,8 +299,8 @@ def rules(pack: Pack = BASELINE) -> list[Rule]:
         Rule("gomod.init_env_harvest", "high", "high", go_file, lambda: when(F.size(secrets_in(r"os\.Getenv\s*\(\s*\"([^\"]+)\"", go_init())) >= 3, "init reads three secrets or more")),
         Rule("gomod.init_exec_coexist", "low", "medium", go_file, lambda: when(has(r"(?m)^func\s+init\s*\(") & has('"os/exec"') & ~init_exec(), "init beside os/exec")),
         Rule("gomod.init_net_coexist", "low", "medium", go_file, lambda: when(has(r"(?m)^func\s+init\s*\(") & has(GO_NET) & ~go_init().rlike(GO_NET_USE), "init beside the network")),
-        Rule("gomod.cgo_exec_chain", "high", "high", go_file, lambda: when(F.regexp_extract(body(), r"(?s)(/\*.*?\*/)\s*\nimport\s+\"C\"", 1).rlike(CGO_DANGEROUS), "dangerous C beside cgo")),
-        Rule("gomod.cgo_import", "medium", "medium", go_file, lambda: when(has(r"(?m)^import\s+\"C\"") & ~F.regexp_extract(body(), r"(?s)(/\*.*?\*/)\s*\nimport\s+\"C\"", 1).rlike(CGO_DANGEROUS), "cgo")),
+        Rule("gomod.cgo_exec_chain", "high", "high", go_file, lambda: when(cgo_preamble().rlike(CGO_DANGEROUS), "dangerous C beside cgo")),
+        Rule("gomod.cgo_import", "medium", "medium", go_file, lambda: when(has(r"(?m)^import\s+\"C\"") & ~cgo_preamble().rlike(CGO_DANGEROUS), "cgo")),
         Rule("gomod.unsafe_import", "low", "medium", go_file, lambda: when(has('"unsafe"'), "unsafe")),
         Rule("gomod.encoded_payload", "medium", "medium", lambda: go_file() & ~T.is_test_file(place()), lambda: when(has(ENCODED), "a long encoded literal")),
         Rule("gomod.replace_local_path", "low", "high", lambda: base_name() == "go.mod", lambda: F.regexp_extract_all(body(), F.lit(r"(?m)^\s*replace\s+\S+\s+=>\s+(\.{0,2}/\S*)"), F.lit(1))),
