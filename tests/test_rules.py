@@ -95,8 +95,8 @@ def test_signatures(spark):
 
 
 def test_long_literals(spark):
-    """Files of a megabyte in one literal, array or comment, for every rule and signature: the JVM's matcher must not recurse through them."""
-    n = 1 << 20
+    """Files of one long literal, array or comment, for every rule and signature: the JVM's matcher must not recurse through them."""
+    n = 1 << 18
     files = [
         ("npm", "index.js", "var a=[" + "12, " * (n // 4) + "12]; eval(a)"), ("npm", "lib.js", "var s = '" + r"\\x41" * (n // 4) + "'; eval(s)"),
         ("npm", "a.ts", "`" + "\\\\`" * (n // 2) + "`"), ("pypi", "setup.py", "x = '" + "\\\\n" * (n // 2) + "'"), ("pypi", "b.py", "ignore " + "all the any " * (n // 12) + "previous instructions"),

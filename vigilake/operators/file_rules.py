@@ -7,10 +7,13 @@ ordered CASE. What needs offsets within a text (one match near another) is writt
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,9 +145,32 @@ PLACEHOLDERS = ("host", "hostname", "your-host", "your_host", "yourhost", "serve
 GAP = 600
 
 
-def near(a: str, b: str, gap: int = GAP) -> Column:
-    """Whether a match of one pattern starts within so many characters of a match of the other, in either order."""
-    return has(rf"(?s)(?:{a})(?:.{{0,{gap}}}?)(?:{b})|(?:{b})(?:.{{0,{gap}}}?)(?:{a})")
+def near(text: Column, pairs: tuple[tuple[str, str], ...], gap: int = GAP) -> Column:
+    """An array of booleans, one for each pair of patterns: whether matches of the two start within `gap` characters of each other.
+
+    Offsets of matches are what the built-in functions don't give, so this runs in Python over Arrow batches; give it null where it can't matter.
+    """
+
+    @F.pandas_udf("array<boolean>")
+    def run(data: pd.Series) -> pd.Series:
+        compiled = {x: re.compile(x) for pair in pairs for x in pair}
+
+        def told(body: str) -> list[bool]:
+            starts = {x: np.array([m.start() for m in found.finditer(body)], np.int64) for x, found in compiled.items()}
+            return [closest(starts[a], starts[b]) <= gap for a, b in pairs]
+
+        return pd.Series([told(x) if x is not None else None for x in data])
+
+    return run(text)
+
+
+def closest(a: np.ndarray, b: np.ndarray) -> float:
+    """The smallest distance between two sorted lists of offsets."""
+    if not len(a) or not len(b):
+        return np.inf
+    at = np.searchsorted(b, a)
+    after, before = b[np.minimum(at, len(b) - 1)] - a, a - b[np.maximum(at - 1, 0)]
+    return float(min(np.abs(after).min(), np.abs(before).min()))
 
 
 def pypi() -> Column:
@@ -277,9 +303,9 @@ def rules(pack: Pack = BASELINE) -> list[Rule]:
         Rule("malware.download_command", "critical", "high", install_file("download_targets", pack), lambda: when(has(rf"(?s){PY_CALL}.{{0,400}}?{DOWNLOADERS}"), "a download tool in a call")),
         Rule("malware.credential_store_sweep", "critical", "medium", code, lambda: when(F.size(each(CREDENTIAL_PATHS)) >= 3, "three credential stores or more")),
         Rule("malware.etc_shadow_read", "high", "medium", code, lambda: when(has("/etc/shadow"), "/etc/shadow")),
-        Rule("obfuscation.remote_fetch_eval", "critical", "high", js, lambda: when(has(EVAL) & has(HIDDEN_FETCH) & near(HIDDEN_FETCH, EVAL), "a hidden fetch near eval")),
-        Rule("obfuscation.decrypt_then_exec", "high", "high", js, lambda: when(has(EVAL) & has(DECIPHER) & near(DECIPHER, EVAL), "decryption near eval")),
-        Rule("obfuscation.charcode_eval", bundle, "high", js, lambda: when(has(EVAL) & has(CHARCODE) & near(CHARCODE, EVAL), "character codes near eval")),
+        Rule("obfuscation.remote_fetch_eval", "critical", "high", js, lambda: when(F.col("_near")[0], "a hidden fetch near eval")),
+        Rule("obfuscation.decrypt_then_exec", "high", "high", js, lambda: when(F.col("_near")[1], "decryption near eval")),
+        Rule("obfuscation.charcode_eval", bundle, "high", js, lambda: when(F.col("_near")[2], "character codes near eval")),
         Rule("obfuscation.rot_cipher_eval", "high", "high", js, lambda: when(has(EVAL) & has(ROT_WRAPPER), "a rotation cipher and eval")),
         Rule("obfuscation.rotating_alphabet_codec", "high", "high", code, lambda: when(F.size("_alphabets") >= 2, "two alphabets or more")),
         Rule("obfuscation.custom_alphabet_codec", "low", "medium", code, lambda: when(F.size("_alphabets") == 1, "one alphabet")),
@@ -312,6 +338,8 @@ def static_findings(files: DataFrame, pack: Pack = BASELINE, changed: DataFrame
     """(scan_id, rule_id, category, severity, confidence, file, evidence). Given changed files (scan_id, path), only those are looked at: they are joined before any rule."""
     some = files if changed is None else files.join(changed.select("scan_id", "path").distinct(), ["scan_id", "path"], "left_semi")
     # What several rules look at is computed once; the optimizer doesn't copy such columns into their uses.
+    doubtful = js() & has(EVAL) & (has(HIDDEN_FETCH) | has(DECIPHER) | has(CHARCODE))
+    some = some.withColumn("_near", near(F.when(doubtful, body()), ((HIDDEN_FETCH, EVAL), (DECIPHER, EVAL), (CHARCODE, EVAL))))
     some = some.withColumns({"_urls": F.when(plain_ioc(), url_classes(pack)), "_ips": F.when(ioc_file(), F.array_distinct(T.ipv4_literals(body()))), "_alphabets": F.when(code(), alphabets())})
     every = F.flatten(F.array(*(rule.findings() for rule in rules(pack))))
     return some.select("scan_id", F.col("path").alias("file"), F.explode(every).alias("x")).select("scan_id", "x.rule_id", "x.category", "x.severity", "x.confidence", "file", "x.evidence").distinct()
