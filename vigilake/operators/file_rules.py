@@ -439,8 +439,9 @@ def manifest_findings(manifests: DataFrame, files: DataFrame) -> DataFrame:
     main = F.coalesce(F.get_json_object("text", "$.main"), F.lit("index.js"))
     entry = manifests.select("scan_id", F.explode(F.concat(F.array(main), F.map_values(table_of("bin")))).alias("said"), root.alias("root"))
     entry = entry.select("scan_id", F.concat("root", F.regexp_replace("said", r"^\./", "")).alias("path")).distinct()
-    decodes = ~place().rlike(BUNDLE) & has(EVAL) & ((has(CHARCODE) & near(CHARCODE, EVAL)) | (has(DECIPHER) & near(DECIPHER, EVAL)))
+    decodes = ~place().rlike(BUNDLE) & has(EVAL) & (has(CHARCODE) | has(DECIPHER))
     runs = files.join(entry, ["scan_id", "path"], "left_semi").where(decodes)
+    runs = runs.where(F.exists(near(body(), ((CHARCODE, EVAL), (DECIPHER, EVAL))), lambda x: x))
     runs = runs.select("scan_id", told("installer.npm_runtime_obfuscated_entrypoint", "critical").alias("x"), F.col("path").alias("file"), F.lit("an entry point that decodes itself").alias("evidence"))
     every = bins.unionByName(urls).unionByName(runs)
     return every.select("scan_id", "x.rule_id", F.lit("installer").alias("category"), "x.severity", "x.confidence", "file", "evidence").distinct()
