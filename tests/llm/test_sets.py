@@ -157,7 +157,7 @@ def test_near_classes(spark):
     assert order_minhash.near_classes(frame(spark, rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bounds", [{}, {"CENTRES": 2, "GROWTH": 3, "FEW_PAIRS": 0, "MEMBERS": 7}])
+@pytest.mark.parametrize("bounds", [{}, {"MEMBERS": 7, "FEW_NODES": 3, "BAG_WORDS": 170}])
 def test_near_copies_behind_unlike_texts(spark, bounds, monkeypatch):
     """Unlike texts with smaller ids hold the passage of near copies, so the first centre of each sketch is none of theirs."""
     for name, value in bounds.items():
@@ -172,6 +172,51 @@ def test_near_copies_behind_unlike_texts(spark, bounds, monkeypatch):
     assert got == {doc: doc for doc, _ in [*longer, *equal]} | {doc: 300 for doc, _ in copies}
 
 
+def test_near_dedup_keeps_unrelated_rows(spark):
+    """Rows that share an id keep apart; rows without an id take part; very long texts, repeated rows and clashing columns do no harm."""
+    pick = random.Random(12)
+    one, other, third, long = (" ".join(f"{x}{pick.randrange(500)}" for _ in range(n)) for x, n in (("a", 60), ("b", 60), ("c", 60), ("d", 80_000)))
+    rows = [(1, one), (3, one + " more"), (3, other), (5, other + " more"), (None, third), (None, third + " more"), (None, third.upper()), (7, long), (8, long + " more"), (9, None), (9, None), (10, ""), (1, one)]
+    df = frame(spark, rows).withColumnRenamed("key", "_node_key").selectExpr("*", "1 AS root", "2 AS digest")
+    got = order_minhash.near_dedup(df)
+    assert got.columns == df.columns
+    # Of the rows without an id, equal texts are one node, and the smaller of the two nodes stands for the class.
+    kept = sorted(((r.doc_id, r.text) for r in got.collect() if r.doc_id is not None), key=str)
+    assert kept == sorted([(1, one), (3, other), (7, long), (9, None), (9, None), (10, "")], key=str)
+    assert sum(r.doc_id is None for r in got.collect()) == 1 and order_minhash.near_dedup(df.limit(0)).count() == 0
+    told = sorted(((r.doc_id, r.copy_of, r.class_id, r.kept) for r in order_minhash.near_classes(frame(spark, rows[:6])).collect()), key=str)
+    assert told[:4] == [(1, 1, 1, True), (3, 3, 1, False), (3, 3, 3, True), (5, 5, 3, False)] and [x[:3] for x in told[4:]] == [(None, None, None)] * 2
+
+
+def test_recall_of_links(spark):
+    """Against all pairs: links of five-word shingles of 0.8 or more, and links by edits alone."""
+    pick = random.Random(13)
+    texts = []
+    for _ in range(60):
+        base = [f"v{pick.randrange(3000)}" for _ in range(pick.randint(30, 250))]
+        texts.append(base)
+        for share in (0.01, 0.02, 0.04, 0.08, 0.12):
+            words = list(base)
+            for _ in range(max(1, int(share * len(words)))):
+                k = pick.randrange(len(words))
+                words[k : k + pick.choice((0, 1, 1, 1))] = [f"v{pick.randrange(3000)}"]
+            texts.append(words)
+    shingles = [{tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))} for x in texts]
+    got = {r.doc_id: r.class_id for r in order_minhash.near_classes(frame(spark, [(k, " ".join(x)) for k, x in enumerate(texts)])).collect()}
+    found = {"shingles": [], "edits": []}
+    for a in range(len(texts)):
+        for b in range(a):
+            if abs(len(texts[a]) - len(texts[b])) <= 0.2 * max(len(texts[a]), len(texts[b])) and shingles[a] & shingles[b]:
+                if len(shingles[a] & shingles[b]) >= 0.8 * len(shingles[a] | shingles[b]):
+                    found["shingles"].append(got[a] == got[b])
+                if order_minhash.alike(texts[a], texts[b], 0.8):
+                    found["edits"].append(got[a] == got[b])
+                else:
+                    assert got[a] != got[b] or a // 6 == b // 6
+    assert len(found["shingles"]) > 100 and sum(found["shingles"]) >= 0.99 * len(found["shingles"])
+    assert len(found["edits"]) > 500 and sum(found["edits"]) >= 0.9 * len(found["edits"])
+
+
 def test_components(spark):
     pick = random.Random(6)
     edges = [(k, k + 1) for k in range(0, 40)] + [(pick.randrange(100, 160), pick.randrange(100, 160)) for _ in range(40)] + [(5, 5)]

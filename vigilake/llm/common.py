@@ -23,13 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint.
 
-    The folder is the cluster's own (spark.checkpoint.dir); a folder of ours is set only where
-    that setting is absent, as in local tests.
+    The folder is the cluster's own, spark.checkpoint.dir, or one that the caller has set on the context. A folder of our own choice would be
+    one machine's: executors elsewhere couldn't read it, and what a lost one wrote would be gone. Only where all of Spark is one process, as in tests, one is made.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir", "") and context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="vigilake-checkpoint-"))
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        folder = context.getConf().get("spark.checkpoint.dir", "")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vigilake-checkpoint-"))
     return df.checkpoint()
 
 
