@@ -10,11 +10,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilake.llm import order_minhash
 from vigilake.llm.bpe_codec import RANKS, round_trip
 from vigilake.llm.common import shared_checkpoint
 from vigilake.llm.contamination import contamination
 from vigilake.llm.line_neighbourhood import dedup_lines
-from vigilake.llm.order_minhash import near_classes
 from vigilake.llm.quality_ledger import POLICY, keeps, ledger
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -34,8 +34,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class the row with the smallest id stays."""
-    classes = near_classes(docs).where("doc_id IS NULL AND class_id IS NULL OR doc_id = class_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(classes, docs.doc_id.eqNullSafe(classes.kept_id), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    return order_minhash.near_dedup(docs.select(*COLUMNS))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
