@@ -157,7 +157,7 @@ def test_near_classes(spark):
     assert order_minhash.near_classes(frame(spark, rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("bounds", [{}, {"MEMBERS": 7, "FEW_NODES": 3, "BAG_WORDS": 170}])
+@pytest.mark.parametrize("bounds", [{}, {"MEMBERS": 7, "FEW_NODES": 3, "MOST_WORDS": 170}])
 def test_near_copies_behind_unlike_texts(spark, bounds, monkeypatch):
     """Unlike texts with smaller ids hold the passage of near copies, so the first centre of each sketch is none of theirs."""
     for name, value in bounds.items():
