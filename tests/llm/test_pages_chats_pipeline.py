@@ -1,6 +1,7 @@
 """Page texts, chats, and the pipeline."""
 
 import random
+import time
 
 import pytest
 
@@ -19,8 +20,8 @@ def test_markup(spark):
     page = """<!DOCTYPE html><body><header><h1>Site</h1></header><nav><a>Home</a></nav><div class="cookie-notice">ok?</div><main><header><h1>Title &amp; x</h1></header>
     <p>One  two<br>three<p>Four <b>five</b> &eacute;&#233;<ul><li>a<li>b</ul><div class="comments"><p>nice</p></div><aside>x</aside><script>var a="</p>";</script><form>f</form>
     <table><tr><td>c1</td><td>c2</td></tr></table><!-- x > y --><p title="a > b">last</main><div>outside</div><footer>f</footer>"""
-    got = texts(spark, [("http://a.b/c", page), ("http://a.b/d", None), (None, ""), ("http://a.b/e", "just text &lt; here"), ("http://a.b/[", "<p>x</p>")])
-    assert got == {0: "Title & x\nOne two three\nFour five éé\na\nb\nc1\nc2\nlast", 1: "", 2: "", 3: "just text < here", 4: "x"}
+    got = texts(spark, [("http://a.b/c", page), ("http://a.b/d", None), (None, ""), ("http://a.b/e", "just text &lt; here"), ("http://a.b/[", "<p>y</p>")])
+    assert got == {0: "Title & x\nOne two three\nFour five éé\na\nb\nc1\nc2\nlast", 1: "", 2: "", 3: "just text < here", 4: "y"}
 
 
 def test_differencing(spark):
@@ -45,6 +46,68 @@ def test_copies_are_one_page(spark):
     assert all("Site line 0" in got[k] and "copied" in got[k] for k in (9, 10, 11))  # nothing on their host to compare with
 
 
+def test_article_words_are_no_noise(spark):
+    parts = ['<h2 id="search">Search algorithms</h2>', '<h2 id="Social_history">Social history</h2>', '<section id="related-work"><h2>Related work</h2><p>by others</p></section>',
+             '<div id="promotion-rules">Promotion rules</div>', '<p class="ad">An advert is</p>', '<div class="promotion-rules">More rules</div>', '<h2 class="comments">Comments</h2>']
+    noise = ['<div class="ad-box">buy</div>', '<ul class="share buttons"><li>tweet</li></ul>', '<section class="commentList"><p>first!</p></section>', '<div role="alert">late</div>', '<p hidden>no</p>', '<p style="display: none">no</p>']
+    page = "<article>" + "".join(a + b for a, b in zip(parts, [*noise, ""], strict=True)) + "</article>"
+    want = "Search algorithms\nSocial history\nRelated work\nby others\nPromotion rules\nAn advert is\nMore rules\nComments"
+    assert texts(spark, [("http://a.b/c", page)]) == {0: want}
+
+
+def test_hostile_pages_take_linear_time():
+    n = 1 << 20
+    for page in ("<i>" * (n // 6) + "</b>" * (n // 6), "<a " * n, "<!" * n, "<" * n, '<a "' * (n // 4) + ">" * (n // 4), "<a '>" * (n // 5), "<ul><li><div>" + "<i><li></li>" * (n // 12), "<div>" * (n // 5), "<p>" * (n // 3), "<!--" * n, "</p>" * (n // 4), "<script>" * (n // 8), "<i><div></div>" * (n // 14)):
+        began = time.process_time()
+        html_diff.lines_of(page + "end")
+        assert time.process_time() - began < 20, page[:20]
+
+
+def test_whole_query_against_brute_force(spark, tmp_path):
+    """Pages with and without marked articles, copies, shared and reordered lines: the nearest page by path, one table of the alignment for each pair."""
+    pick = random.Random(21)
+    rows = []
+    for k in range(120):
+        host, body = f"h{pick.randrange(4)}.x", [pick.choice("abcdefgh") * 3 + str(pick.randrange(9)) for _ in range(pick.randint(0, 7))]
+        mark = pick.choice(["article", "div", "div"])
+        lines = [pick.choice("tuv") for _ in range(pick.randint(0, 3))]
+        page = "".join(f"<div>{x}</div>" for x in lines) + f"<{mark}>" + "".join(f"<p>{x}</p>" for x in body) + f"</{mark}>" + pick.choice(["", "<div>end</div>", "<footer>foot</footer>"])
+        rows.append((k, f"http://{host}/{pick.randrange(60):02}", page if pick.random() > 0.1 else rows[-1][2] if rows else page))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+
+    def table(a, b):
+        grid = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                grid[i + 1][j + 1] = grid[i][j] + 1 if x == y else max(grid[i][j + 1], grid[i + 1][j])
+        return grid[-1][-1]
+
+    first = {}
+    for k, url, page in rows:
+        host, path = url[7:].split("/", 1)
+        key = host, tuple(x for x, _ in html_diff.lines_of(page))
+        first[key] = min(first.get(key, ("~", 0)), ("/" + path, k))
+    order = sorted((host, *place, lines) for (host, lines), place in first.items())
+    partner = {}
+    for k, (host, *_, lines) in enumerate(order):
+        before, after = (order[j] if 0 <= j < len(order) and order[j][0] == host else None for j in (k - 1, k + 1))
+        partner[host, lines] = (before or after or (None,) * 3 + ((),))[3]
+    for r in html_diff.op5_html_text(spark, str(tmp_path)).collect():
+        lines = html_diff.lines_of(rows[r.page_id][2])
+        names = tuple(x for x, _ in lines)
+        assert r.n_shared == table(names, partner[rows[r.page_id][1][7:].split("/")[0], names])
+        text, _, shared, gone = html_diff.main_text(rows[r.page_id][2], html_diff.common(list(names), list(partner[rows[r.page_id][1][7:].split("/")[0], names])))
+        assert (r.text, r.n_chars, r.n_shared, r.n_deleted) == (text, len(text), shared, gone)
+        kept = [x for x, kind in lines if kind == html_diff.OWN]
+        assert text.split("\n") == kept if kept else len(text.split("\n")) - (not text) == sum(kind == html_diff.PLAIN for _, kind in lines) - sum(kind == html_diff.PLAIN for k, (_, kind) in enumerate(lines) if k in set(html_diff.common(list(names), list(partner[rows[r.page_id][1][7:].split("/")[0], names]))))
+
+
+def test_pages_at_the_edge(spark):
+    df = spark.createDataFrame([(None, "http://a.b/1", "<p>x</p>"), (None, "http://a.b/1", "<p>x</p>"), (2, None, "<p>" + "long " * 300_000 + "</p>")], "page_id long, url string, html string")
+    got = html_diff.extract(df).collect()
+    assert sorted(r.n_chars for r in got) == [1, 1, 1_499_999] and html_diff.extract(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("cells", [10**9, 8])
 def test_alignment(cells, monkeypatch):
     monkeypatch.setattr(html_diff, "CELLS", cells)

@@ -1,14 +1,17 @@
-"""Main text of web pages, by markup and by differencing against the page of the nearest URL.
+"""Main text of web pages, by differencing against the page of the nearest URL, with the help of markup.
 
-A page becomes lines, one for each block element: character references decoded, white space turned into single spaces, blocks
-without text left out. Elements that are no text (scripts, styles, forms, ...) or whose name, role, class or id says menu, header,
-footer, sidebar, notice, advert or comment never give lines.
+A page becomes lines, one for each block element: character references decoded, white space turned into single spaces, blocks without text left out. Scripts,
+styles and other content that is never shown give no lines; everything else does, menus and footers included.
 
 Differencing: within each host, pages of equal lines are copies, and count as one page under the first of their paths. These pages are
 ordered by path, and each is paired with the page before it (the first of a host with the next). The lines of the two are aligned by a
-longest common subsequence; lines in common belong to the site rather than to the page, and are deleted, from all copies alike. One
-limit keeps it right: lines inside an element that the page itself marks as its article or main part are not deleted, as articles quote
-each other; where such a part is marked, lines outside it are not taken at all. A page whose host holds nothing but copies of it has no partner.
+longest common subsequence; lines in common belong to the site rather than to the page, and are deleted, from all copies alike. A page whose host holds
+nothing but copies of it has no partner.
+
+Markup helps where lines alone can't tell. Articles quote each other, so shared lines inside an element that a page marks as its article or main part stay.
+Adverts, comments and notices are often unlike from page to page, so lines go too where the markup names them: elements for navigation, asides, footers, forms and
+dialogs, by tag or role, and containers whose class is such a word in whole (NOISE_WORDS, with a word like box or list beside it at most). Headings, paragraphs and inline
+elements are never judged by their class, nothing inside the main part by its id. Where a main part is marked, lines outside it go.
 
 The order over all pages is that of a range partitioning of slim rows (URL and hashes of lines), so a host with a third of all pages is
 spread over many tasks; the last row of each task's range is handed to the next one, one row for each partition.
@@ -21,7 +24,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -38,104 +43,147 @@ from vigilake.llm.pieces import packed_text
 CELLS = 200_000_000
 
 RAW = frozenset("script style textarea title noscript iframe xmp noembed template".split())
-NOISE_TAGS = frozenset("nav footer aside form button select option label input svg object canvas dialog menu head video audio map".split()) | RAW
+UNSHOWN = frozenset("svg object canvas head video audio map".split()) | RAW
+NOISE_TAGS = frozenset("nav footer aside form button select option label input dialog menu".split()) | UNSHOWN
+CONTAINERS = frozenset("div section ul ol dl table details header figure fieldset center dir td".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 NOISE_WORDS = frozenset(
-    """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar aside nav navbar navigation menu
-    breadcrumb breadcrumbs masthead footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe
-    subscription signup login share sharing social related recommended comment comments disqus reply replies respond widget widgets
-    pagination pager search copyright""".split()
+    """ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar aside nav navbar navigation menu breadcrumb breadcrumbs
+    masthead footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share
+    sharing social related recommended comment comments disqus reply replies respond pagination pager search copyright""".split()
 )
+#: Words that may stand beside one of them in a class: they name a container and nothing else.
+BESIDE = frozenset("box bar list block container wrapper wrap section area banner links link buttons button form slot unit top bottom left right site page main".split())
 MAIN_TAGS, MAIN_ROLES = frozenset(("article", "main")), frozenset(("main", "article"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4
     h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul""".split()
 )
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""", re.S)
+#: A tag from its name on, quotes included; and without regard to quotes.
+TAG = re.compile(r"""(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+)>""")
+PLAIN_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|$)""", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
-def is_noise(name: str, attributes: str, inside_main: bool) -> bool:
-    if name in NOISE_TAGS or name == "header" and not inside_main:
-        return True
+OWN, PLAIN, NOISE, HIDDEN_LINE = 0, 1, 2, 3
+
+
+def names_noise(value: str) -> bool:
+    """Whether one of the names in a class or id says noise, and nothing else."""
+    for name in value.split():
+        words = {x.lower() for x in WORDS.findall(name)}
+        if words & NOISE_WORDS and words <= NOISE_WORDS | BESIDE:
+            return True
+    return False
+
+
+def kind_of(name: str, attributes: str, inside_main: bool) -> int:
+    """What an element's own markup says of its lines: PLAIN, NOISE, or HIDDEN_LINE for content that isn't shown."""
+    if name in UNSHOWN:
+        return HIDDEN_LINE
+    kind = NOISE if name in NOISE_TAGS or name == "header" and not inside_main else PLAIN
     if not attributes or name in ("html", "body"):
-        return False
+        return kind
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), next((x for x in values if x), "")
-        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN.search(value) or key == "role" and value.lower() in NOISE_ROLES:
-            return True
-        if key in ("class", "id") and name not in MAIN_TAGS:
-            words = {x.lower() for x in WORDS.findall(value)}
-            if words & NOISE_WORDS or "header" in words and not inside_main:
-                return True
-    return False
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and HIDDEN.search(value):
+            return HIDDEN_LINE
+        named = (key == "class" or key == "id" and not inside_main) and name in CONTAINERS and names_noise(value)
+        if named or key == "role" and value.lower() in NOISE_ROLES:
+            kind = NOISE
+    return kind
 
 
 def is_main(name: str, attributes: str) -> bool:
     return name in MAIN_TAGS or "role" in attributes and any(key.lower() == "role" and (a or b or c).lower() in MAIN_ROLES for key, a, b, c in ATTRIBUTE.findall(attributes))
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """The lines of a page that no markup rules out, and whether each stands inside a marked main part."""
-    lines: list[tuple[str, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int]]:
+    """The lines of a page, each with what markup says of it: OWN (of a marked main part), PLAIN or NOISE. In time linear in the page."""
+    lines: list[tuple[str, int]] = []
     said: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, within noise, within main
-    at, noise, main = 0, False, False
+    stack: list[tuple[str, int, bool]] = []  # name, kind, within main
+    blocks: list[int] = []  # where the stack holds blocks
+    opened: Counter = Counter()  # names on the stack
+    at, kind, main, pattern = 0, PLAIN, False, TAG
 
     def close() -> None:
-        nonlocal said
         if said:
             if text := " ".join(html.unescape("".join(said)).split()):
-                lines.append((text, main))
-            said = []
-
-    def pop_to(k: int) -> None:
-        nonlocal noise, main
-        del stack[k:]
-        _, noise, main = stack[-1] if stack else ("", False, False)
-
-    while found := TAG.search(page, at):
-        if not noise and found.start() > at:
-            said.append(page[at : found.start()])
-        at = found.end()
-        name = (found[2] or "").lower()
-        if not name:
+                lines.append((text, OWN if main and kind == PLAIN else kind))
+            said.clear()
+
+    def pop() -> None:
+        nonlocal kind, main
+        opened[stack.pop()[0]] -= 1
+        while blocks and blocks[-1] >= len(stack):
+            blocks.pop()
+        _, kind, main = stack[-1] if stack else ("", PLAIN, False)
+
+    def say(end: int) -> None:
+        if kind != HIDDEN_LINE and end > at:
+            said.append(page[at:end])
+
+    while (start := page.find("<", at)) >= 0:
+        if page.startswith(("<!", "<?"), start):
+            say(start)
+            mark = "-->" if page.startswith("<!--", start) else ">"
+            end = page.find(mark, start + (4 if mark == "-->" else 2))
+            at = end + len(mark) if end >= 0 else len(page)
             continue
+        found = pattern.match(page, start + 1)
+        if not found and pattern is TAG and page[start + 1 : start + 3].lstrip("/")[:1].isalpha():
+            pattern = PLAIN_TAG  # quotes don't end: from here on they aren't looked at
+            found = pattern.match(page, start + 1)
+            if not found:  # no tag ends here or further on
+                break
+        if not found:
+            say(start + 1)
+            at = start + 1
+            continue
+        say(start)
+        at, name = found.end(), found[2].lower()
         if name in BLOCKS:
             close()
-        elif name == "br" and not noise:
+        elif name == "br" and kind != HIDDEN_LINE:
             said.append(" ")
         if found[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if k is not None:
-                pop_to(k)
+            if opened[name]:
+                while stack[-1][0] != name:
+                    pop()
+                pop()
             continue
         if name in VOID:
             continue
-        if name in BLOCKS:  # an open paragraph ends before a block, an open item before the next
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or name == "li" and stack[k][0] == "li":
-                    pop_to(k)
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
+        if name in BLOCKS and blocks:  # an open paragraph ends before a block, an open item before the next
+            top = stack[blocks[-1]][0]
+            if top == "p" or name == top == "li":
+                k = blocks[-1]
+                while len(stack) > k:
+                    pop()
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}[\s/>]", re.I).search(page, at)
+            end = _raw_end(name).search(page, at)
             at = end.start() if end else len(page)
         if not found[3].rstrip().endswith("/") or name in BLOCKS or name in RAW:
-            inside = main or is_main(name, found[3])
-            noise = noise or is_noise(name, found[3], main)
-            main = inside
-            stack.append((name, noise, main))
-    if not noise and at < len(page):
-        said.append(page[at:])
+            if name in BLOCKS:
+                blocks.append(len(stack))
+            kind = max(kind, kind_of(name, found[3], main))
+            main = main or is_main(name, found[3])
+            opened[name] += 1
+            stack.append((name, kind, main))
+    say(len(page))
     close()
     return lines
 
 
+@cache
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}[\s/>]", re.I)
+
+
 def common(a: list, b: list) -> list[int]:
     """Indices in a of a longest common subsequence, by bit-parallel rows over b; large alignments are divided in halves."""
     i, n = 0, min(len(a), len(b))
@@ -286,10 +334,11 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
 
 def main_text(page: str, shared) -> tuple[str, int, int, int]:
+    """(text, its code points, lines shared with the partner, lines deleted for that)."""
     lines = lines_of(page)
-    marked = any(inside for _, inside in lines)
-    gone = set() if marked else {k for k in shared if k < len(lines)}
-    text = "\n".join(line for k, (line, inside) in enumerate(lines) if (inside or not marked) and k not in gone)
+    gone = {k for k in shared if k < len(lines) and lines[k][1] != OWN}
+    marked = any(kind == OWN for _, kind in lines)
+    text = "\n".join(line for k, (line, kind) in enumerate(lines) if k not in gone and kind == (OWN if marked else PLAIN))
     return text, len(text), len(shared), len(gone)
 
 
