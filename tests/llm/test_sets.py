@@ -36,7 +36,7 @@ def brute_repeats(rows, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("bounds", [{}, {"block_words": 60, "least_parts": 3}])
+@pytest.mark.parametrize("bounds", [{}, {"block_words": 60, "least_parts": 3, "part_suffixes": 20}])
 def test_repeats(spark, bounds):
     pick = random.Random(5)
     passages = [[f"p{k}w{j}" for j in range(30)] for k in range(4)]
@@ -62,16 +62,19 @@ def test_frequent_run_is_split(spark):
     own = lambda n: [f"o{pick.randrange(10**9)}" for _ in range(n)]
     rows = [(k, " ".join(own(30) + [f"p{j}" for j in range(20)] + own(30))) for k in range(200)]
     rows += [(300 + k, rows[k][1] + " end") for k in range(3)]
-    docs = frame(spark, rows).selectExpr("doc_id AS id", "xxhash64(text) AS key", "text")
-    bound = 600
-    splits = suffix_dedup.splits_of(docs, 50, 16, 8, bound)
-    assert splits.sum() > 8
-    block, rolling, known = suffix_dedup.Block(50, 16, splits), suffix_dedup.Rolling(), suffix_dedup.WordHashes()
+    bound, parts, known, block = 600, 8, suffix_dedup.WordHashes(), suffix_dedup.Suffixes(50, 16)
     for doc, text in rows:
-        block.add(doc, doc, suffix_dedup.np.array([known[x] for x in text.encode().split()], suffix_dedup.np.uint64), rolling)
-    sizes = [len(suffix_dedup.unpack(row["data"])[5]) for batch in block.resolve() for row in batch.to_pylist() if row["part"] is not None]
-    assert sum(sizes) == 200 * 31 + 3 and max(sizes) < 1.3 * bound
-    got = suffix_dedup.remove_repeats(frame(spark, rows), least_parts=8, part_windows=bound, block_words=900)
+        words = suffix_dedup.hashes_of(text.encode(), known)
+        block.add(doc, doc, words, suffix_dedup.window_minima(block.rolling.runs(block.rolling.sums(words), 16), 35))
+    np = suffix_dedup.np
+    docs = spark.createDataFrame([(k,) for k in range(2)], "k long")
+    large = suffix_dedup.large_groups(docs, lambda batches, b=block: [b for batch in batches for _ in range(batch.num_rows)], parts, bound)  # each row counts the block once
+    of, _, *depths = block.columns()
+    sizes = np.bincount(suffix_dedup.group_of(depths, parts, large))
+    assert len(of) == 200 * 31 + 3 * 32 and large[:parts].all() and large[parts : 2 * parts].all() and sizes[: 2 * parts].sum() == 0  # prefixes of 16 and 32 words are too frequent
+    unlike = np.bincount(suffix_dedup.group_of(depths, parts, np.repeat([True, False, False], parts)))
+    assert unlike[:parts].sum() == 0 and unlike[parts:].sum() == len(of)
+    got = suffix_dedup.remove_repeats(frame(spark, rows), least_parts=8, part_suffixes=bound, block_words=900)
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()), key=str) == brute_repeats(rows, 50)
 
 

@@ -4,19 +4,18 @@ The suffixes are those of word sequences, cut at `size` words, so a node at that
 `size` words, and its leaves are the places where the window stands. A word is removed if a window that covers it
 also starts in a document with a smaller id.
 
-The tree is never built whole. It is split by prefixes: of each window the smallest hash of its `PREFIX`-word runs is
-taken, and windows whose smallest run is the same go to the same subtree. Equal windows have equal smallest runs at
-equal offsets, so they always meet; neighbouring windows mostly share their run, so they travel as one piece: the
-run's hash, the document, the first start, and a hash for each window. Where a task's own texts already show a window
-in a smaller document, only the smaller one travels, so a passage that a third of all documents hold costs each task one
-copy. A subtree is handled as its sorted leaves: equal neighbours are the internal nodes of depth `size`, and consecutive
-starts found there are joined to maximal repeats. Subtrees are grouped to a number of parts that follows the number of
-words. All windows are counted by part before, and a part of more than `PART_WINDOWS` is split further, by the hash of the whole
-window rather than by a longer prefix: so also a subtree of one frequent run, as of a passage shorter than a window with many
-surroundings, is divided to fit in memory, and equal windows still meet.
-
-A window is known by two hashes, of 64 bits each: its smallest run's, and its own. Both are polynomials over random 64-bit
-word hashes; a false match needs two windows that agree in both.
+A suffix belongs to the tree only if something like it stands elsewhere. Of each window the smallest hash of its ANCHOR-word runs is taken; equal windows have
+equal smallest runs, and neighbouring windows mostly share theirs, so few runs travel. Suffixes whose run no other document holds are dropped: they can't lead
+to a node of two documents.
+
+The rest are split by prefixes of variable length: a suffix goes to the group of its first ANCHOR words; where a count finds a group larger than
+PART_SUFFIXES, its suffixes go by twice as many words instead, and where that is still too many, by all `size` words. A group of the last kind holds
+equal windows, of which every block of texts sends one. So a group fits in memory, however frequent a short passage is. Each group's suffixes are sorted
+into a tree: neighbours share a prefix, and the runs of neighbours that share `size` words are its deep internal nodes. Each such node names its smallest document; the other leaves
+are removed, and consecutive starts are joined to maximal repeats. Within a task's block of texts the same is done first, so only the smallest document of a block travels.
+
+Prefixes are known by hashes: polynomials of 64 bits over random 64-bit word hashes. Nodes compare the prefix of ANCHOR words and that of `size` words; a false match needs
+both to agree. The order of siblings in the tree is that of their hashes.
 
 Rows: one for each input row. A null or empty text has no words, and texts under `size` words lose none. A null id counts as
 larger than any other id, so such rows lose what any other document holds. Rows that share an id are one document: windows
@@ -27,7 +26,7 @@ Other columns are not read.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +36,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilake.llm.common import raw, slim, table, to_arrow
+from vigilake.llm.common import raw, shared_checkpoint, slim, table, to_arrow
+from vigilake.llm.pieces import by_part, groups, pack, parts_of, unpack
 
 SIZE = 50
-PREFIX = 16
+ANCHOR = 16
 #: Words whose windows a task compares among themselves before anything travels.
 BLOCK_WORDS = 1_000_000
 #: Bytes of all texts for each part of the tree, and the least number of parts.
 PART_BYTES = 4_000_000
 LEAST_PARTS = 512
-#: Windows of a part beyond which it is split by the windows' own hashes.
-PART_WINDOWS = 4_000_000
+#: Suffixes of a group beyond which its prefix grows.
+PART_SUFFIXES = 2_000_000
 #: Entries of the table of word hashes on a worker.
 WORD_MEMO = 500_000
 
@@ -112,92 +112,159 @@ def spans_of(marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edges[::2], edges[1::2]
 
 
-class Block:
-    """Windows of some documents. resolve() gives what is removed within the block, and the pieces that must travel.
+def hashes_of(data: bytes, known: WordHashes) -> np.ndarray:
+    return np.array([known[x] for x in data.split()], np.uint64)
+
+
+PIECES = "part long,id long,key long,data binary"
+
+
+def anchors_of(docs: DataFrame, size: int, anchor: int, block_words: int, parts: int) -> DataFrame:
+    """(id, key, data): of each document the anchors that another document holds too, over rows (id, key, text). Several rows for a document."""
+
+    def flush(block: list) -> Iterator[pa.RecordBatch]:
+        """Of anchors that a block holds in one document all travel; of others the block's documents are told, and one mark travels."""
+        counts = [len(x) for _, _, x in block]
+        runs, of = np.concatenate([x for _, _, x in block]), np.repeat(np.arange(len(block), dtype=np.int32), counts)
+        ids, keys = np.array([x[0] for x in block], np.int64), np.array([x[1] for x in block], np.int64)
+        order = np.lexsort((ids[of], runs))
+        at = groups(runs[order])
+        several = np.repeat(ids[of[order[at]]] != ids[of[order[np.append(at[1:], len(order)) - 1]]], np.diff(np.append(at, len(order))))
+        yield from told(ids, keys, of[order[several]], runs[order[several]])
+        first = np.zeros(len(order), bool)
+        first[at] = True
+        travel = order[~several | first]
+        mark = several[~several | first]
+        part = (runs[travel] % np.uint64(parts)).astype(np.int64)
+        where, data = [], []
+        for p, some in by_part(part):
+            where.append(p)
+            data.append(pack([runs[travel[some]], ids[of[travel[some]]], keys[of[travel[some]]], mark[some]]))
+        yield pa.RecordBatch.from_pydict({"part": where, "id": [None] * len(where), "key": [None] * len(where), "data": data}, schema=to_arrow(PIECES))
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rolling, block, n = WordHashes(), Rolling(), [], 0
+        for batch in batches:
+            for doc, key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), strict=True):
+                words = hashes_of(data or b"", known)
+                if len(words) >= size:
+                    block.append((doc, key, np.unique(window_minima(rolling.runs(rolling.sums(words), anchor), size - anchor + 1))))
+                    n += len(words)
+                    if n >= block_words:
+                        yield from flush(block)
+                        block, n = [], 0
+        if block:
+            yield from flush(block)
+
+    def resolve(held: list[bytes]) -> Iterator[pa.RecordBatch]:
+        runs, ids, keys, mark = (np.concatenate(x) for x in zip(*(unpack(x, (np.uint64, np.int64, np.int64, np.bool_)) for x in held), strict=True))
+        order = np.lexsort((ids, runs))
+        at = groups(runs[order])
+        ends = np.append(at[1:], len(order))
+        several = (ids[order[at]] != ids[order[ends - 1]]) | np.logical_or.reduceat(mark[order], at)
+        some = order[np.repeat(several, ends - at)]
+        some = some[~mark[some]]
+        docs, of = np.unique(np.column_stack((ids[some], keys[some])), axis=0, return_inverse=True)
+        yield from told(docs[:, 0], docs[:, 1], of.ravel(), runs[some])
+
+    return dealt(docs.mapInArrow(go, PIECES), resolve)
+
+
+def told(ids: np.ndarray, keys: np.ndarray, of: np.ndarray, runs: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (null, id, key, data): the runs of each document."""
+    if len(of):
+        order = np.argsort(of, kind="stable")
+        at = groups(of[order])
+        data = [x.tobytes() for x in np.split(runs[order], at[1:])]
+        docs = of[order[at]]
+        yield pa.RecordBatch.from_pydict({"part": [None] * len(at), "id": ids[docs], "key": keys[docs], "data": data}, schema=to_arrow(PIECES))
+
+
+def dealt(made: DataFrame, resolve: Callable[[list[bytes]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """(id, key, data): what is made of all pieces of each part, which come one part after another, and rows without a part as they are."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, of = [], None
+        for batch in batches:
+            if (done := batch.filter(pa.compute.is_null(batch.column(0)))).num_rows:
+                yield done
+            for part, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                if part is not None:
+                    if part != of and held:
+                        yield from resolve(held)
+                        held = []
+                    of = part
+                    held.append(data)
+        if held:
+            yield from resolve(held)
+
+    spread = made.repartition(F.coalesce("part", F.xxhash64("id", "key", "data"))).sortWithinPartitions("part")
+    return spread.mapInArrow(go, PIECES).select("id", "key", "data")
+
 
-    `splits` holds for each part the number of groups its windows are dealt to.
-    """
+class Suffixes:
+    """The suffixes of some documents that may repeat: hashes of their prefixes of several lengths, their documents and starts."""
 
-    def __init__(self, size: int, prefix: int, splits: np.ndarray):
-        self.size, self.prefix, self.splits = size, prefix, splits
-        self.ids, self.keys, self.counts, self.hashes, self.roots, self.words = [], [], [], [], [], 0
+    def __init__(self, size: int, anchor: int):
+        self.size, self.anchor, self.rolling = size, anchor, Rolling()
+        self.clear()
 
-    def add(self, doc: int, key: int, words: np.ndarray, rolling: Rolling) -> None:
-        sums = rolling.sums(words)
-        self.hashes.append(rolling.runs(sums, self.size))
-        self.roots.append(window_minima(rolling.runs(sums, self.prefix), self.size - self.prefix + 1))
+    def clear(self) -> None:
+        self.ids, self.keys, self.starts, self.depths, self.words = [], [], [], ([], [], []), 0
+
+    def add(self, doc: int, key: int, words: np.ndarray, anchors: np.ndarray) -> None:
+        sums = self.rolling.sums(words)
+        runs = self.rolling.runs(sums, self.anchor)
+        at = np.flatnonzero(np.isin(window_minima(runs, self.size - self.anchor + 1), anchors))
         self.ids.append(doc)
         self.keys.append(key)
-        self.counts.append(len(words) - self.size + 1)
+        self.starts.append(at.astype(np.int32))
+        for held, depth in zip(self.depths, (self.anchor, min(2 * self.anchor, self.size), self.size), strict=True):
+            held.append((runs if depth == self.anchor else self.rolling.runs(sums, depth))[at])
         self.words += len(words)
 
-    def resolve(self) -> Iterator[pa.RecordBatch]:
-        hashes, roots, counts = np.concatenate(self.hashes), np.concatenate(self.roots), np.array(self.counts)
-        ids, keys = np.array(self.ids, np.int64), np.array(self.keys, np.int64)
-        of = np.repeat(np.arange(len(ids), dtype=np.int32), counts)
-        starts = np.arange(len(of), dtype=np.int32) - np.repeat(np.cumsum(counts) - counts, counts).astype(np.int32)
-        later = earliest(hashes, roots, ids[of]) < ids[of]
-        yield from removed(ids, keys, of[later], starts[later], self.size)
-        # What travels: the earliest document's windows, as pieces of consecutive starts under one root and in one group.
-        keep = np.flatnonzero(~later)
-        if not len(keep):
-            return
-        of, starts, roots, hashes = of[keep], starts[keep], roots[keep], hashes[keep]
-        part = (roots % np.uint64(len(self.splits))).astype(np.int64)
-        part = (np.cumsum(self.splits) - self.splits)[part] + (hashes % self.splits[part].astype(np.uint64)).astype(np.int64)
-        at = np.concatenate(([0], np.flatnonzero((np.diff(of) != 0) | (np.diff(starts) != 1) | (roots[1:] != roots[:-1]) | (np.diff(part) != 0)) + 1))
-        length = np.diff(np.concatenate((at, [len(of)])))
-        part = part[at]
-        order = np.argsort(part, kind="stable")
-        where, edges = np.unique(part[order], return_index=True)
-        payload = []
-        for i, j in zip(edges, [*edges[1:], len(order)], strict=True):
-            some = order[i:j]
-            n, a = length[some], at[some]
-            inside = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            payload.append(pack(ids[of[a]], keys[of[a]], roots[a], starts[a], n.astype(np.int32), hashes[inside]))
-        yield pa.RecordBatch.from_pydict({"part": where, "id": [None] * len(where), "key": [None] * len(where), "data": payload}, schema=to_arrow(PIECES))
+    def columns(self) -> tuple[np.ndarray, ...]:
+        """Document numbers, starts, and the hashes of each depth."""
+        of = np.repeat(np.arange(len(self.ids), dtype=np.int32), [len(x) for x in self.starts])
+        return of, np.concatenate(self.starts), *(np.concatenate(x) for x in self.depths)
 
 
-PIECES = "part long,id long,key long,data binary"
+def group_of(depths: list[np.ndarray], parts: int, large: np.ndarray) -> np.ndarray:
+    """The group of each suffix: by the shortest prefix whose group isn't large. `large` has a flag for each group of each depth."""
+    out = (depths[0] % np.uint64(parts)).astype(np.int64)
+    for k, hashes in enumerate(depths[1:], 1):
+        longer = large[out]
+        out = np.where(longer, k * parts + (hashes % np.uint64(parts)).astype(np.int64), out)
+    return out
 
 
-def pack(ids, keys, roots, starts, lengths, hashes) -> bytes:
-    head = zstandard.compress(b"".join(x.tobytes() for x in (ids, keys, roots, starts, lengths)), 1)
-    return len(ids).to_bytes(4, "little") + len(head).to_bytes(4, "little") + head + hashes.tobytes()
-
-
-def unpack(data: bytes) -> tuple[np.ndarray, ...]:
-    """Of pieces: ids, keys, roots, starts, lengths; and the hashes of their windows."""
-    n, size = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
-    head = zstandard.decompress(data[8 : 8 + size])
-    ids, keys = np.frombuffer(head, np.int64, n), np.frombuffer(head, np.int64, n, 8 * n)
-    roots, starts, lengths = np.frombuffer(head, np.uint64, n, 16 * n), np.frombuffer(head, np.int32, n, 24 * n), np.frombuffer(head, np.int32, n, 28 * n)
-    return ids, keys, roots, starts, lengths, np.frombuffer(data, np.uint64, int(lengths.sum()), 8 + size)
+def large_groups(asked: DataFrame, suffixes: Callable, parts: int, most: int) -> np.ndarray:
+    """Which groups hold more than `most` suffixes, from a count of all. Counts of the shorter prefixes alone are needed; only large groups come to the driver."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(2 * parts, np.int64)
+        for block in suffixes(batches):
+            _, _, *depths = block.columns()
+            for k in (0, 1):
+                n[k * parts : (k + 1) * parts] += np.bincount((depths[k] % np.uint64(parts)).astype(np.int64), minlength=parts)
+        some = np.flatnonzero(n)
+        yield pa.RecordBatch.from_pydict({"part": some, "n": n[some]}, schema=to_arrow("part long,n long"))
 
-def subtree(held: list[bytes], size: int) -> Iterator[pa.RecordBatch]:
-    """Removed spans from all pieces of one part."""
-    ids, keys, roots, starts, lengths, hashes = (np.concatenate(x) for x in zip(*map(unpack, held), strict=True))
-    of = np.repeat(np.arange(len(ids), dtype=np.int32), lengths)
-    later = np.flatnonzero(earliest(hashes, roots[of], ids[of]) < ids[of])
-    of, begin = of[later], np.cumsum(lengths) - lengths
-    yield from removed(ids, keys, of, starts[of] + (later - begin[of]).astype(np.int32), size)
+    large = np.zeros(3 * parts, bool)
+    for row in asked.mapInArrow(count, "part long,n long").groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") > most).select("part").collect():
+        large[row.part] = True
+    return large
 
 
-def earliest(hashes: np.ndarray, roots: np.ndarray, docs: np.ndarray) -> np.ndarray:
-    """For each leaf the smallest document in its node of full depth."""
-    order = np.argsort(hashes, kind="stable")
-    same = hashes[order][1:] == hashes[order][:-1]
-    touched = np.flatnonzero(np.concatenate((same, [False])) | np.concatenate(([False], same)))
-    first = docs.copy()
-    if len(touched):
-        some = order[touched]
-        some = some[np.lexsort((docs[some], roots[some], hashes[some]))]
-        h, r = hashes[some], roots[some]
-        new = np.concatenate(([True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])))
-        first[some] = docs[some][new][np.cumsum(new) - 1]
-    return first
+def deep_nodes(prefix: np.ndarray, whole: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The tree of a group's suffixes, as their sorted order: (leaves, first): the leaves of its internal nodes of full depth, and the smallest document of each leaf's node."""
+    order = np.lexsort((docs, whole, prefix))
+    shared = (prefix[order][1:] == prefix[order][:-1]) & (whole[order][1:] == whole[order][:-1])  # neighbours that share all words
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], shared, [False]))))
+    begin, end = edge[::2], edge[1::2] + 1
+    size = end - begin
+    leaves = order[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    return leaves, np.repeat(docs[order[begin]], size)
 
 
 def removed(ids: np.ndarray, keys: np.ndarray, of: np.ndarray, starts: np.ndarray, size: int) -> Iterator[pa.RecordBatch]:
@@ -215,65 +282,51 @@ def removed(ids: np.ndarray, keys: np.ndarray, of: np.ndarray, starts: np.ndarra
     yield pa.RecordBatch.from_pydict({"part": [None] * len(data), "id": docs[at[edge]], "key": keys[at[edge]], "data": data}, schema=to_arrow(PIECES))
 
 
-def splits_of(docs: DataFrame, size: int, prefix: int, parts: int, part_windows: int) -> np.ndarray:
-    """For each part the number of groups that keeps them within `part_windows`, from a count of all windows."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rolling, n = WordHashes(), Rolling(), np.zeros(parts, np.int64)
-        for batch in batches:
-            for data in raw(batch.column(2)):
-                words = (data or b"").split()
-                if len(words) >= size:
-                    roots = window_minima(rolling.runs(rolling.sums(np.array([known[x] for x in words], np.uint64)), prefix), size - prefix + 1)
-                    n += np.bincount((roots % np.uint64(parts)).astype(np.int64), minlength=parts)
-        some = np.flatnonzero(n)
-        yield pa.RecordBatch.from_pydict({"part": some, "n": n[some]}, schema=to_arrow("part long,n long"))
-
-    splits = np.ones(parts, np.int64)
-    for part, n in docs.mapInArrow(count, "part long,n long").groupBy("part").agg(F.sum("n").alias("n")).where(F.col("n") > part_windows).collect():
-        splits[part] = -(-n // part_windows)
-    return splits
-
-
-def repeats(docs: DataFrame, *, size: int = SIZE, prefix: int = PREFIX, block_words: int = BLOCK_WORDS, part_bytes: int = PART_BYTES, least_parts: int = LEAST_PARTS, part_windows: int = PART_WINDOWS) -> DataFrame:
+def repeats(docs: DataFrame, *, size: int = SIZE, anchor: int = ANCHOR, block_words: int = BLOCK_WORDS, part_bytes: int = PART_BYTES, least_parts: int = LEAST_PARTS, part_suffixes: int = PART_SUFFIXES) -> DataFrame:
     """(id, key, data) over rows (id, key, text): spans of words to remove, int32 starts and ends; several rows for a document, spans may overlap."""
-    prefix = min(prefix, max(1, size // 2))
-    n_bytes = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    parts = max(least_parts, 1 + n_bytes // part_bytes)
-    splits = splits_of(docs, size, prefix, parts, part_windows)
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rolling, block = WordHashes(), Rolling(), Block(size, prefix, splits)
+    anchor = min(anchor, max(1, size // 2))
+    parts = parts_of(docs, "text", part_bytes, least_parts)
+    held = anchors_of(docs, size, anchor, block_words, parts).groupBy("id", "key").agg(F.collect_list("data").alias("anchors"))
+    # Rows equal in id and text are one document here; all get the spans of one.
+    asked = shared_checkpoint(docs.mapInArrow(compress, "id long,key long,text binary").join(held, ["id", "key"]).dropDuplicates(["id", "key"]))
+
+    def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[Suffixes]:
+        known, block = WordHashes(), Suffixes(size, anchor)
         for batch in batches:
-            for doc, key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), strict=True):
-                words = (data or b"").split()
-                if len(words) >= size:
-                    block.add(doc, key, np.array([known[x] for x in words], np.uint64), rolling)
-                    if block.words >= block_words:
-                        yield from block.resolve()
-                        block = Block(size, prefix, splits)
+            for doc, key, data, anchors in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                block.add(doc, key, hashes_of(zstandard.decompress(data), known), np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in anchors])))
+                if block.words >= block_words:
+                    yield block
+                    block.clear()
         if block.words:
-            yield from block.resolve()
+            yield block
 
-    def subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, of = [], None
-        for batch in batches:
-            if (done := batch.filter(pa.compute.is_null(batch.column(0)))).num_rows:
-                yield done
-            for part, data in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if part is not None:
-                    if part != of and held:
-                        yield from subtree(held, size)
-                        held = []
-                    of = part
-                    held.append(data)
-        if held:
-            yield from subtree(held, size)
+    large = large_groups(asked, suffixes, parts, part_suffixes)
 
-    made = docs.mapInArrow(pieces, PIECES)
-    # The pieces of a part meet, parts come one after another; spans that are already decided go anywhere.
-    dealt = made.repartition(F.coalesce("part", F.xxhash64("id", "key", "data"))).sortWithinPartitions("part")
-    return dealt.mapInArrow(subtrees, PIECES).select("id", "key", "data")
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in suffixes(batches):
+            of, starts, *depths = block.columns()
+            ids, keys = np.array(block.ids, np.int64), np.array(block.keys, np.int64)
+            leaves, first = deep_nodes(depths[0], depths[2], ids[of])
+            later = leaves[first < ids[of[leaves]]]
+            yield from removed(ids, keys, of[later], starts[later], size)
+            keep = np.ones(len(of), bool)
+            keep[later] = False
+            keep = np.flatnonzero(keep)
+            where, data = [], []
+            for part, some in by_part(group_of([x[keep] for x in depths], parts, large)):
+                some = keep[some]
+                where.append(part)
+                data.append(pack([ids[of[some]], keys[of[some]], starts[some], depths[0][some], depths[2][some]]))
+            yield pa.RecordBatch.from_pydict({"part": where, "id": [None] * len(where), "key": [None] * len(where), "data": data}, schema=to_arrow(PIECES))
+
+    def subtree(some: list[bytes]) -> Iterator[pa.RecordBatch]:
+        ids, keys, starts, prefix, whole = (np.concatenate(x) for x in zip(*(unpack(x, (np.int64, np.int64, np.int32, np.uint64, np.uint64)) for x in some), strict=True))
+        leaves, first = deep_nodes(prefix, whole, ids)
+        later = leaves[first < ids[leaves]]
+        yield from removed(ids, keys, later, starts[later], size)
+
+    return dealt(asked.mapInArrow(pieces, PIECES), subtree)
 
 
 def remove_repeats(df: DataFrame, *, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, **bounds: int) -> DataFrame:
