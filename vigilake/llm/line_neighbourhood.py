@@ -1,9 +1,9 @@
 """Line dedup by a deletion-neighbourhood join.
 
 A line is removed if an earlier line is the same or one edit away (an insertion, a deletion or a substitution of a code
-point). Lines are ordered by document id and place; both are judged on the input, not on what is left. Lines are compared
-without the white space around them; lines without a word always stay; lines under `min_chars` code points are only
-compared for equality.
+point), if that edit leaves `similarity` of the longer line: at 0.8 a line of five code points may differ by one, and lines of fewer must be equal.
+Lines are ordered by document id and place; both are judged on the input, not on what is left. Lines are compared
+without the white space around them; lines without a word always stay.
 
 Join keys are hashes of a line with one code point left out, of three kinds:
 - (rest, place): lines that share it differ at that place alone, so all of them are one edit apart;
@@ -16,8 +16,9 @@ apart, the edit is in one half, and the other halves are equal: the first n // 2
 the shorter length. Each distinct line has four such half keys; only lines whose half key some other line shares emit their
 neighbourhood. Equal lines are one line from the start.
 
-Hot lines: within a task's block of texts only the earliest of equal lines travels, so a line in a third of all documents costs
-one record a block. A group of distinct lines that share a key is bounded by the alphabet and the length of a line.
+Hot lines: within a task's block of texts only the earliest of equal lines travels, and of lines that share a half key one mark, so a line or a half line in a third
+of all documents costs one record a block. A group of distinct lines that share a neighbourhood key is bounded by the alphabet and the length of a line.
+Equal lines are those that agree in 128 bits of hash.
 
 Rows: one for each input row. A null or empty text has no lines with words and stays as it is (null becomes empty). A null id counts
 as larger than any other. Rows that are equal in id and text count as one document, and keep the same lines. Columns named in `carry`
@@ -27,6 +28,7 @@ are passed on; others are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from vigilake.llm.common import decoded, raw, table, to_arrow
 from vigilake.llm.pieces import by_part, groups, pack, packed_text, parts_of, unpack
 
-MIN_CHARS = 16
+SIMILARITY = 0.8
 PART_BYTES = 4_000_000
 LEAST_PARTS = 512
 #: Bytes of texts whose lines a task compares among themselves before anything travels; records of a block of neighbourhoods.
@@ -51,7 +53,8 @@ _NULL_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _UP = np.ones(1, np.uint64)
 
-EXACT, HALF = 0, 1
+#: Kinds of records of lines: the whole line, one of its halves, a half that several lines of a block share.
+EXACT, HALF, SHARED = 0, 1, 2
 SUBSTITUTED, SHORTER, LONGER = 0, 1, 2
 LINE_KINDS = (np.uint8, np.uint64, np.uint64, np.int64, np.int64, np.int32)
 NEAR_KINDS = (np.uint8, np.uint64, np.int64, np.int64, np.int32)
@@ -82,8 +85,8 @@ def mixed(values: np.ndarray, salt: np.ndarray | int) -> np.ndarray:
     return out ^ (out >> np.uint64(31))
 
 
-def neighbourhood(line: str) -> tuple[np.ndarray, np.ndarray]:
-    """Kinds and hashed keys of a line: one for each place left out, by place; the distinct rests; the whole line."""
+def neighbourhood(line: str, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Kinds and hashed keys of a line: one for each place left out, by place; the distinct rests; the whole line. `least` is the length from which the longer line may differ."""
     global _UP
     points = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     n = len(points)
@@ -95,9 +98,16 @@ def neighbourhood(line: str) -> tuple[np.ndarray, np.ndarray]:
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * _UP[1 : n + 1])))
     # The sum over the rest, each code point after the gap one power lower.
     rest = sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(pow(_BASE, -1, 1 << 64))
+    if n < least:
+        rest = rest[:0]
     longer = np.unique(mixed(rest, 2 * n))
-    keys = np.concatenate((mixed(mixed(rest, 2 * n + 1), np.arange(n)), longer, mixed(sums[-1:], 2 * n + 2)))
-    return np.repeat(np.array([SUBSTITUTED, LONGER, SHORTER], np.uint8), (n, len(longer), 1)), keys
+    keys = np.concatenate((mixed(mixed(rest, 2 * n + 1), np.arange(len(rest))), longer, mixed(sums[-1:], 2 * n + 2)))
+    return np.repeat(np.array([SUBSTITUTED, LONGER, SHORTER], np.uint8), (len(rest), len(longer), 1)), keys
+
+
+def least_length(similarity: float) -> int:
+    """The length of a line from which one edit leaves `similarity` of it."""
+    return max(1, int(np.ceil(1 / max(1 - similarity, 1e-9) - 1e-9)))
 
 
 def earliest_of(order: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -110,18 +120,20 @@ def line_records(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
     kind, keys, whole, ids, docs, lines = columns
     exact = np.flatnonzero(kind == EXACT)
     if len(exact):
-        order = exact[np.lexsort((lines[exact], docs[exact], ids[exact], keys[exact]))]
-        first = earliest_of(order, groups(keys[order]))
+        order = exact[np.lexsort((lines[exact], docs[exact], ids[exact], whole[exact], keys[exact]))]
+        at = np.flatnonzero(np.concatenate(([True], (keys[order][1:] != keys[order][:-1]) | (whole[order][1:] != whole[order][:-1]))))
+        first = earliest_of(order, at)
         later = (ids[first] != ids[order]) | (docs[first] != docs[order]) | (lines[first] != lines[order])
         gone = order[later]
         if len(gone):
             yield rows(1, len(gone), id=ids[gone], key=docs[gone], line=lines[gone])
-    half = np.flatnonzero(kind == HALF)
+    half = np.flatnonzero(kind != EXACT)
     if len(half):
         order = half[np.argsort(keys[half], kind="stable")]
         at = groups(keys[order])
-        some = np.minimum.reduceat(whole[order], at) != np.maximum.reduceat(whole[order], at)
+        some = (np.minimum.reduceat(whole[order], at) != np.maximum.reduceat(whole[order], at)) | (np.maximum.reduceat(kind[order], at) == SHARED)
         asked = order[np.repeat(some, np.diff(np.concatenate((at, [len(order)]))))]
+        asked = asked[kind[asked] == HALF]
         if len(asked):
             yield rows(2, len(asked), id=ids[asked], key=docs[asked], line=lines[asked])
 
@@ -177,7 +189,7 @@ def dealt(made: DataFrame, kinds: tuple, resolve) -> DataFrame:
     return made.repartition(spread).sortWithinPartitions("part").mapInArrow(go, ROWS)
 
 
-def lines_of(docs: DataFrame, parts: int, min_chars: int) -> DataFrame:
+def lines_of(docs: DataFrame, parts: int, least: int) -> DataFrame:
     """Rows of exact duplicates and of lines to look at, over rows (id, key, text)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +198,7 @@ def lines_of(docs: DataFrame, parts: int, min_chars: int) -> DataFrame:
             for doc, key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), raw(batch.column(2)), strict=True):
                 for k, line in enumerate((data or b"").split(b"\n")):
                     if line := line.strip(SPACE):
-                        block.append((xxhash.xxh3_64_intdigest(line), doc, key, k, line))
+                        block.append((xxhash.xxh3_128_intdigest(line), doc, key, k, line))
                 size += len(data or b"")
                 if size >= BLOCK_BYTES:
                     yield from flush(block)
@@ -201,25 +213,43 @@ def lines_of(docs: DataFrame, parts: int, min_chars: int) -> DataFrame:
         gone = [x for x in block if x[1:4] != first_of[x[0]]]
         if gone:
             yield rows(1, len(gone), id=[x[1] for x in gone], key=[x[2] for x in gone], line=[x[3] for x in gone])
+        low = (1 << 64) - 1
         kind, keys, whole, at = [], [], [], []
+        halves: dict[int, int] = {}  # half key -> the number of a line that has it, or -1 - that number once several lines do
         for k, (digest, _, _, _, line) in enumerate(firsts):
             kind.append(EXACT)
-            keys.append(digest)
-            whole.append(digest)
+            keys.append(digest & low)
+            whole.append(digest >> 64)
             at.append(k)
-            if len(line) >= min_chars and len(text := decoded(line)) >= min_chars:
+            # A line one code point shorter than `least` can be the shorter one of two.
+            if len(line) >= least - 1 and len(text := decoded(line)) >= least - 1:
+                for half in half_keys(text):
+                    held = halves.setdefault(half, k)
+                    if held >= 0 and held != k:
+                        halves[half] = -1 - held
                 kind += (HALF,) * 4
                 keys += half_keys(text)
-                whole += (digest,) * 4
+                whole += (digest & low,) * 4
                 at += (k,) * 4
-        at = np.array(at)
-        refs = [np.array([x[j] for x in firsts], kind)[at] for j, kind in ((1, np.int64), (2, np.int64), (3, np.int32))]
-        yield emit([np.array(kind, np.uint8), np.array(keys, np.uint64), np.array(whole, np.uint64), *refs], parts)
+        kind, keys, whole, at = np.array(kind, np.uint8), np.array(keys, np.uint64), np.array(whole, np.uint64), np.array(at)
+        several = np.array([x < 0 for x in map(halves.get, keys.tolist(), repeat(0))]) & (kind == HALF)
+        refs = [np.array([x[j] for x in firsts], t)[at] for j, t in ((1, np.int64), (2, np.int64), (3, np.int32))]
+        if several.any():
+            mine = np.unique(at[several], return_index=True)[1]
+            mine = np.flatnonzero(several)[mine]
+            yield rows(2, len(mine), id=refs[0][mine], key=refs[1][mine], line=refs[2][mine])
+            marks = np.flatnonzero(several)[np.unique(keys[several], return_index=True)[1]]
+            kind[marks] = SHARED
+            travel = ~several
+            travel[marks] = True
+        else:
+            travel = np.ones(len(kind), bool)
+        yield emit([x[travel] for x in (kind, keys, whole, *refs)], parts)
 
     return dealt(docs.mapInArrow(go, ROWS), LINE_KINDS, line_records)
 
 
-def neighbourhoods_of(asked: DataFrame, parts: int) -> DataFrame:
+def neighbourhoods_of(asked: DataFrame, parts: int, least: int) -> DataFrame:
     """Pieces of neighbourhoods and the lines' texts, over rows (id, key, text compressed, lines)."""
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +260,7 @@ def neighbourhoods_of(asked: DataFrame, parts: int) -> DataFrame:
                 found = zstandard.decompress(data).split(b"\n")
                 for k in sorted(set(some)):
                     line = decoded(found[k].strip(SPACE))
-                    kind, keys = neighbourhood(line)
+                    kind, keys = neighbourhood(line, least)
                     size = len(keys)
                     block.append((kind, keys, np.full(size, doc, np.int64), np.full(size, key, np.int64), np.full(size, k, np.int32)))
                     texts.append((doc, key, k, line.encode()))
@@ -264,7 +294,7 @@ def verified(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(go, "id long,key long,line int")
 
 
-def dedup_lines(df: DataFrame, *, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), part_bytes: int = PART_BYTES, least_parts: int = LEAST_PARTS) -> DataFrame:
+def dedup_lines(df: DataFrame, *, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = (), part_bytes: int = PART_BYTES, least_parts: int = LEAST_PARTS) -> DataFrame:
     """(id, text, n_lines, n_removed, n_near, carried columns): the texts without removed lines.
 
     n_lines counts lines with a word, n_removed those that go, n_near those of them that no equal line removes.
@@ -274,13 +304,14 @@ def dedup_lines(df: DataFrame, *, min_chars: int = MIN_CHARS, id_col: str = "doc
     full = df.select(key.alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), *(F.col(f"`{x}`").alias(f"carry_{k}") for k, x in enumerate(carry)))
     docs = full.select("id", "key", "text")
     parts = parts_of(docs, "text", part_bytes, least_parts)
-    told = lines_of(docs, parts, min_chars)
+    least = least_length(similarity)
+    told = lines_of(docs, parts, least)
     per_doc = told.groupBy("id", "key").agg(
         F.collect_set(F.when(F.col("what") == 1, F.col("line"))).alias("equal"), F.collect_set(F.when(F.col("what") == 2, F.col("line"))).alias("asked")
     )
     packed = packed_text(full)
     to_ask = per_doc.select("id", "key", F.array_except("asked", "equal").alias("lines")).where(F.size("lines") > 0)
-    near_rows = neighbourhoods_of(packed.join(to_ask, ["id", "key"]).select("id", "key", "text", "lines"), parts)
+    near_rows = neighbourhoods_of(packed.join(to_ask, ["id", "key"]).select("id", "key", "text", "lines"), parts, least)
     pairs = dealt(near_rows.where("what = 0"), NEAR_KINDS, near_records).where("what = 1").select("id", "key", "line", "by_id", "by_key", "by_line").distinct()
     texts = near_rows.where("what = 3").select("id", "key", "line", F.col("data").cast("string").alias("said")).distinct()
     by = texts.toDF("by_id", "by_key", "by_line", "by_said")
