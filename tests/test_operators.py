@@ -110,6 +110,8 @@ def test_queue(spark):
     assert rows(queue.weighted_order(weights, 1), "place") == [(1,), (2,)]
     sweeps = spark.createDataFrame([("npm", "m", T0, 1), ("npm", "m", T0 + dt.timedelta(minutes=30), 2), ("npm", "m", T0 + dt.timedelta(hours=2), 3)], "ecosystem string, maintainer string, at timestamp, scan_id long")
     assert rows(campaign.deduped_sweeps(sweeps), "scan_id", "first") == [(1, True), (2, False), (3, True)]
+    steady = spark.createDataFrame([("npm", "mM"[k % 2], T0 + dt.timedelta(minutes=50 * k), k) for k in range(5)], "ecosystem string, maintainer string, at timestamp, scan_id long")
+    assert rows(campaign.deduped_sweeps(steady), "scan_id", "first") == [(0, True), (1, False), (2, True), (3, False), (4, True)]
     candidates = spark.createDataFrame([("npm", f"n{k}", T0 + dt.timedelta(seconds=k)) for k in range(5)], "ecosystem string, name string, at timestamp")
     watch = spark.createDataFrame([("npm", "n0", 9_999_999), ("npm", "n1", 5)], "ecosystem string, name string, rank long")
     blocked = spark.createDataFrame([("npm", "n2")], "ecosystem string, name string")
@@ -190,3 +192,65 @@ def test_streams(spark, tmp_path):
     assert sum(r.n for r in spark.table("hours").collect()) == 4
     batch = spark.read.schema(ingest.QUEUE_EVENTS).json(str(events))
     assert rows(ingest.latest_state(batch), "name", "status") == [("a", "done")]
+
+
+def test_admitted_against_brute_force(spark):
+    pick = random.Random(3)
+    told = sorted((T0 + dt.timedelta(seconds=60 * pick.randrange(400)), k, pick.choice("aB")) for k in range(500))
+    df = spark.createDataFrame([(key, at, k) for at, k, key in told] + [("a", None, 999)], "key string, at timestamp, id long")
+    for limit, closed in ((1, False), (3, True), (0, True)):
+        held, want = {}, {999: False}
+        for at, k, key in told:
+            near = [x for x in held.get(key, ()) if (at - x).total_seconds() < 1800 + closed]
+            want[k] = len(near) < limit
+            held[key] = [*near, at] if want[k] else near
+        assert {r.id: r.allowed for r in queue.admitted(df, ["key"], "at", "id", 1800, limit, closed).collect()} == want
+
+
+def test_places(spark):
+    pick = random.Random(5)
+    told = [(pick.choice([None, "a", "b"]) if pick.random() < 0.3 else "a", pick.randrange(30), k) for k in range(400)]
+    df = spark.createDataFrame(told, "g string, x long, id long")
+    got = {r.id: r.place for r in queue.placed(df, [F.col("g")], [F.desc("x"), F.col("id")]).collect()}
+    want = {}
+    for g in (None, "a", "b"):
+        want |= {k: n for n, (_, _, k) in enumerate(sorted((y for y in told if y[0] == g), key=lambda y: (-y[1], y[2])), 1)}
+    assert got == want
+
+
+def test_broken_archives(spark):
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as made:
+        made.writestr("a.py", "x = 1\n" * 50)
+        made.writestr("b.py", "y = 2\n" * 50)
+    good = buffer.getvalue()
+    second = good.index(b"b.py") + 4
+    locked = bytearray(good)
+    for at in (6, good.index(b"PK\x01\x02") + 8):
+        locked[at] |= 1
+    rotten = good[: second] + b"\xff" * 8 + good[second + 8 :]
+    rows_ = [("good.whl", good), ("locked.zip", bytes(locked)), ("rotten.whl", rotten), ("none.zip", None), ("junk.tar.gz", b"junk")]
+    got = archives.extract(spark.createDataFrame(rows_, "path string, content binary")).collect()
+    assert sorted((r.archive, r.path) for r in got if r.error is None) == [("good.whl", "a.py"), ("good.whl", "b.py")]
+    assert {r.archive for r in got if r.error} == {"locked.zip", "rotten.whl", "none.zip", "junk.tar.gz"}
+
+
+def test_decoded_and_metadata_findings(spark):
+    import base64
+
+    from vigilake.operators import metadata
+    from vigilake.operators.decoded import decoded_findings
+
+    hide = lambda x: base64.b64encode(x).decode()
+    files = [
+        (1, "a.js", "x = '" + hide(b"go http://c2.odd.dev/x now") + "'"), (2, "a.js", "x = '" + hide(b"see https://github.com/a/b or 10.0.0.1") + "'"), (3, "b.go", "y = '" + b"call 93.184.216.34 now!".hex() + "'; exec.Command(x)"),
+        (4, "c.py", "os.system(z); z = '" + hide(b"\x7fELF" + b"\0" * 60) + "'"), (5, "tests/c.py", "z = '" + hide(b"\x7fELF" + b"\0" * 60) + "'"), (6, "d.js", "'" + hide(b"eval(require('child_process').exec('id'))") + "'"), (7, "README.md", hide(b"go http://c2.odd.dev/x now")), (8, "e.js", None),
+    ]
+    got = {(r.scan_id, r.rule_id.split(".")[1], r.severity) for r in decoded_findings(spark.createDataFrame(files, "scan_id long, path string, text string")).collect()}
+    assert got == {(1, "encoded_url", "medium"), (3, "encoded_ip", "high"), (4, "decoded_executable", "critical"), (5, "decoded_executable", "low"), (6, "decoded_code", "high")}
+    releases = [(1, "a/b", "1.0", T0, None, ["A"], []), (2, "github.z9.workers.dev/m", "10.10.10", T0, T0 - dt.timedelta(hours=23), ["A"], ["a"]), (3, "gitlab.arm.com/m", "2024.1.1", T0, T0 - dt.timedelta(hours=25), ["a", "b"], ["a"]), (4, None, None, None, None, None, None)]
+    df = spark.createDataFrame(releases, "scan_id long, name string, version string, published_at timestamp, prev_published_at timestamp, maintainers array<string>, prev_maintainers array<string>")
+    got = {(r.scan_id, r.rule_id.split(".")[1]) for r in metadata.metadata_findings(df).collect()}
+    assert got == {(2, "gomod_impersonating_forge_host"), (2, "dependency_confusion_version"), (2, "rapid_release"), (3, "maintainer_change")}
+    loads = spark.createDataFrame([(1, "x.whl", False, 2), (2, "y", True, 1), (3, "", False, 0)], "scan_id long, path string, intact boolean, n_files int")
+    assert {(r.scan_id, r.rule_id) for r in metadata.download_findings(loads).collect()} == {(1, "fetch.sha256_mismatch"), (3, "fetch.no_release_files")}

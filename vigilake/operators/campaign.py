@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigilake.functions.times import micros
 from vigilake.intel import SENTINEL_RANK
+from vigilake.operators.queue import admitted
 
 # Limits of the maintainer sweep and of promotions.
 MOST_PACKAGES, CORRELATED, CORRELATION_DAYS, DEDUP_SECONDS, ADDS_PER_HOUR = 100, 2, 30, 3600, 100
@@ -51,14 +51,13 @@ def clean_siblings(triggered: DataFrame, catalog: DataFrame, malicious: DataFram
 
 
 def deduped_sweeps(sweeps: DataFrame, seconds: int = DEDUP_SECONDS) -> DataFrame:
-    """Sweeps by whether the same maintainer was swept within the time before: (…, first)."""
-    order = Window.partitionBy("ecosystem", "maintainer").orderBy("at", "scan_id")
-    gap = micros(F.col("at")) - F.lag(micros(F.col("at"))).over(order)
-    return sweeps.withColumn("first", F.coalesce(gap > seconds * 1_000_000, F.lit(True)))
+    """(…, first): sweeps by whether no sweep that went through came from the same maintainer, in whatever case, within the time before."""
+    return admitted(sweeps, ["ecosystem", "maintainer"], "at", "scan_id", seconds, 1, closed=False).withColumnRenamed("allowed", "first")
 
 
 def promotion_status(candidates: DataFrame, watchlist: DataFrame, blocked: DataFrame, *, enabled: bool = True, per_hour: int = ADDS_PER_HOUR) -> DataFrame:
-    """(ecosystem, name, status) of rows (ecosystem, name, at): what adding a confirmed-malicious name to the watch list does."""
+    """(ecosystem, name, status) of rows (ecosystem, name, at): what adding a confirmed-malicious name to the watch list does. At most `per_hour` are added to an
+    ecosystem in any hour; 0 or less sets no limit."""
     held = watchlist.groupBy("ecosystem", "name").agg(F.max(F.col("rank") == SENTINEL_RANK).alias("sentinel"))
     told = candidates.join(held, ["ecosystem", "name"], "left").join(blocked.select("ecosystem", "name").distinct().withColumn("barred", F.lit(True)), ["ecosystem", "name"], "left")
     plain = (
@@ -67,10 +66,11 @@ def promotion_status(candidates: DataFrame, watchlist: DataFrame, blocked: DataF
         .when(F.col("sentinel"), "refreshed")
         .when(F.col("sentinel").isNotNull(), "already_popularity")
     )
-    hour = F.date_trunc("hour", "at")
-    order = Window.partitionBy("ecosystem", hour, plain.isNull()).orderBy("at", "name")
-    placed = told.withColumn("known", plain).withColumn("place", F.row_number().over(order))
-    return placed.select("ecosystem", "name", F.coalesce("known", F.when(F.col("place") > per_hour, "rate_limited").otherwise("added")).alias("status"))
+    known = told.select("ecosystem", "name", "at", plain.alias("known"))
+    fresh = known.where("known IS NULL").drop("known")
+    new = admitted(fresh, ["ecosystem"], "at", "name", 3600, per_hour) if per_hour > 0 else fresh.withColumn("allowed", F.lit(True))
+    added = new.select("ecosystem", "name", F.when(F.col("allowed"), "added").otherwise("rate_limited").alias("status"))
+    return known.where("known IS NOT NULL").select("ecosystem", "name", F.col("known").alias("status")).unionByName(added)
 
 
 def watchlist_audit(watched: DataFrame, scans: DataFrame, findings: DataFrame, secondary: tuple[str, ...]) -> DataFrame:

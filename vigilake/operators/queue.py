@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from vigilake.functions.times import micros
 
@@ -80,12 +83,28 @@ def claim(queue: DataFrame, ids: DataFrame, token: str, as_of: Column) -> DataFr
     return marked.withColumns(changes).drop("taken")
 
 
+def placed(rows: DataFrame, group: list, order: list, name: str = "place") -> DataFrame:
+    """Rows with their place in the order of their group, from 1.
+
+    Groups may be few and large, so no task sorts a whole one: rows are dealt by ranges of group and order, numbered within each range, and moved on by the
+    number of rows in the ranges before, which is one number for each range and group.
+    """
+    keys = [f"_g{k}" for k in range(len(group))]
+    ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marked = rows.withColumns(dict(zip(keys, group, strict=True)))
+    dealt = marked.repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id())
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy("_range", *keys).agg(F.count("*").alias("_n")).withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)))
+    same = [own[k].eqNullSafe(sizes[k]) for k in ("_range", *keys)]
+    return own.join(sizes, same).select(*(own[x] for x in rows.columns), (F.col("_own") + F.col("_skip")).cast("long").alias(name))
+
+
 def detonation_order(queue: DataFrame) -> DataFrame:
     """(id, priority, place): pending rows by priority; high and normal first in first out, low newest first."""
     at = micros(F.col("enqueued_at"))
-    signed = F.when(F.col("priority") == "low", -at).otherwise(at)
-    order = Window.partitionBy("priority").orderBy(signed, "id")
-    return queue.where("status = 'pending'").select("id", "priority", F.row_number().over(order).cast("long").alias("place"))
+    waiting = queue.where("status = 'pending'").select("id", "priority", F.when(F.col("priority") == "low", -at).otherwise(at).alias("at"))
+    return placed(waiting, [F.col("priority")], [F.col("at"), F.col("id")]).select("id", "priority", "place")
 
 
 def prune(rows: DataFrame, at: str, as_of: Column, days: int) -> DataFrame:
@@ -95,8 +114,7 @@ def prune(rows: DataFrame, at: str, as_of: Column, days: int) -> DataFrame:
 
 def over_cap(rows: DataFrame, group: str, at: str, cap: int, tie: str = "id") -> DataFrame:
     """Rows beyond the newest `cap` of each group."""
-    order = Window.partitionBy(group).orderBy(F.desc(at), F.desc(tie))
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") > cap).drop("place")
+    return placed(rows, [F.col(group)], [F.desc(at), F.desc(tie)], "_place").where(F.col("_place") > cap).drop("_place")
 
 
 def refresh_merge(watchlist: DataFrame, fresh: DataFrame, sentinel: int) -> DataFrame:
@@ -127,12 +145,42 @@ def hold_back(changes: DataFrame, unresolved: DataFrame, attempts: int = 5) -> D
     return top.crossJoin(held).select(F.least(F.col("held") - 1, "top").alias("cursor"))  # two single rows
 
 
-def trailing_over_limit(events: DataFrame, key: str, at: str, seconds: int, limit: int) -> DataFrame:
-    """Events by whether more than `limit` of their key, this one included, fall in the trailing window: (…, n, allowed)."""
-    when = micros(F.col(at))
+def trailing_counts(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
+    """(…, n): how many events of the key, this one included, fall in the trailing window."""
     window = Window.partitionBy(key).orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
-    counted = events.withColumn("_at", when).withColumn("n", F.count("*").over(window)).drop("_at")
-    return counted.withColumn("allowed", F.col("n") <= limit)
+    return events.withColumn("_at", micros(F.col(at))).withColumn("n", F.count("*").over(window)).drop("_at")
+
+
+def admitted(events: DataFrame, keys: list[str], at: str, tie: str, seconds: int, limit: int, closed: bool = True) -> DataFrame:
+    """(…, allowed): events in the order of time, refused while `limit` admitted ones of their key lie in the trailing window. Refused ones don't count.
+
+    Whether an event is admitted hangs on all before it, so each key is read in order; the state is the last `limit` times, so a key of any length takes constant
+    memory. `closed`: whether an admitted event exactly `seconds` ago still counts. A limit of 0 admits nothing.
+    """
+    import pyarrow as pa
+
+    given = events.withColumns({"_key": F.to_json(F.struct(*(F.lower(F.col(x).cast("string")).alias(f"k{n}") for n, x in enumerate(keys)))), "_at": micros(F.col(at))})
+    sent = given.repartition("_key").sortWithinPartitions("_key", "_at", tie)
+    span = seconds * 1_000_000
+
+    def go(batches):
+        now, times = None, deque()
+        for batch in batches:
+            n, allowed = batch.num_columns, []
+            for key, when in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist(), strict=True):
+                if key != now:
+                    now, times = key, deque()
+                if when is None:  # without a time nothing can be counted
+                    allowed.append(False)
+                    continue
+                while times and (when - times[0] > span or not closed and when - times[0] == span):
+                    times.popleft()
+                allowed.append(len(times) < limit)
+                if allowed[-1]:
+                    times.append(when)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(allowed, pa.bool_())], names=[*batch.schema.names[: n - 2], "allowed"])
+
+    return sent.mapInArrow(go, StructType([*events.schema.fields, StructField("allowed", BooleanType())]))
 
 
 def spend_blocked(calls: DataFrame, at: str, cost: str, seconds: int = 3600, most_cost: float = 20.0, most_calls: int = 1000, key: str = "model") -> DataFrame:
@@ -144,17 +192,12 @@ def spend_blocked(calls: DataFrame, at: str, cost: str, seconds: int = 3600, mos
 
 
 def candidate_batch(backlog: DataFrame, fresh: DataFrame, quota: int, overflow: int = 5000) -> DataFrame:
-    """(name, seq, action) of one poll's candidates: up to half the quota from the backlog, oldest first, the rest fresh; what is left is carried over, the newest `overflow` at most.
-
-    A poll is bounded, so one order over its candidates is.
-    """
+    """(name, seq, action) of one poll's candidates: up to half the quota from the backlog, oldest first, the rest fresh; what is left is carried over, the newest `overflow` at most."""
     both = backlog.select("name", "seq", F.lit(0).alias("kind")).unionByName(fresh.select("name", "seq", F.lit(1).alias("kind")))
-    own = Window.partitionBy("kind").orderBy("seq", "name")
-    placed = both.withColumn("place", F.row_number().over(own)).withColumn("n_old", F.count_if(F.col("kind") == 0).over(Window.partitionBy()))
-    old = F.least("n_old", F.lit(quota // 2))
-    taken = F.when(F.col("kind") == 0, F.col("place") <= old).otherwise(F.col("place") <= quota - old)
-    left = Window.partitionBy("taken").orderBy(F.desc("seq"), F.desc("name"))
-    told = placed.withColumn("taken", taken).withColumn("age", F.row_number().over(left))
+    old = both.agg(F.least(F.count_if(F.col("kind") == 0), F.lit(quota // 2)).alias("old"))  # one row
+    first = placed(both, [F.col("kind")], [F.col("seq"), F.col("name")]).crossJoin(F.broadcast(old))
+    taken = F.when(F.col("kind") == 0, F.col("place") <= F.col("old")).otherwise(F.col("place") <= quota - F.col("old"))
+    told = placed(first.select("name", "seq", taken.alias("taken")), [F.col("taken")], [F.desc("seq"), F.desc("name")], "age")
     return told.select("name", "seq", F.when(F.col("taken"), "check").when(F.col("age") <= overflow, "carry").otherwise("drop").alias("action"))
 
 

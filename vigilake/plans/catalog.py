@@ -167,7 +167,7 @@ def detonation_pull_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "enqueue_transitions",
     with_(A.QUEUE)
-    + """, req AS (SELECT ecosystem, name, CASE WHEN id % 3 = 0 THEN version || 'x' ELSE version END AS version, (id % 3)::INT AS asked, id % 4 = 0 AS rescan FROM queue WHERE id % 2 = 0),
+    + """, req AS (SELECT ecosystem, name, CASE WHEN id % 3 = 0 THEN version || 'x' ELSE version END AS version, (id % 3)::INT AS asked, id % 4 = 0 AS rescan FROM queue),
     j AS (SELECT r.*, q.status AS old, q.attempts, CASE q.priority WHEN 'high' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END AS rank FROM req r LEFT JOIN queue q USING (ecosystem, name, version)),
     a AS (SELECT *, CASE WHEN old IS NULL THEN 'insert' WHEN old IN ('pending', 'claimed') THEN CASE WHEN asked < rank THEN 'raise' ELSE 'keep' END WHEN rescan THEN 'reset'
       WHEN old = 'failed' AND attempts < 3 THEN 'retry' ELSE 'keep' END AS action FROM j)
@@ -178,7 +178,7 @@ def enqueue_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = A.queue(spark, sf_dir)
     asked = F.element_at(F.array(*map(F.lit, ("high", "normal", "low"))), (F.col("id") % 3 + 1).cast("int"))
     version = F.when(F.col("id") % 3 == 0, F.concat("version", F.lit("x"))).otherwise(F.col("version"))
-    wanted = held.where("id % 2 = 0").select("ecosystem", "name", version.alias("version"), asked.alias("priority"), (F.col("id") % 4 == 0).alias("allow_rescan"))
+    wanted = held.select("ecosystem", "name", version.alias("version"), asked.alias("priority"), (F.col("id") % 4 == 0).alias("allow_rescan"))
     return queue.enqueue(held, wanted)
 
 
@@ -227,12 +227,17 @@ def watchlist_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "trailing_rate_limit",
-    "SELECT event_id, count(*) OVER w AS n, count(*) OVER w <= 20 AS allowed FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW)",
+    "trailing_counts",
+    "SELECT event_id, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW)",
 )
+def trailing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queue.trailing_counts(A.read(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "event_type", "ts", 3600).select("event_id", "n")
+
+
+@query("trailing_rate_limit")
 def trailing_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = A.read(spark, sf_dir, "events").select("event_id", "event_type", "ts")
-    return queue.trailing_over_limit(events, "event_type", "ts", 3600, 20).select("event_id", "n", "allowed")
+    """What a limit of 20 an hour admits. No SQL twin: each decision hangs on those before; a brute-force version is in the tests."""
+    return queue.admitted(A.read(spark, sf_dir, "events").select("event_id", "event_type", "ts"), ["event_type"], "ts", "event_id", 3600, 20).select("event_id", "allowed")
 
 
 @query(
@@ -424,7 +429,7 @@ _LURES = [word for _, words in sorted(BASELINE.lures.items()) for word in words]
 
 @query(
     "lure_names",
-    f"""WITH n AS (SELECT p_partkey, {_LURES}[1 + p_partkey % 18] || '-' || {_LURES}[1 + p_partkey % 7] || CASE WHEN p_partkey % 5 = 0 THEN '-Scanner-api-key' ELSE '' END AS name FROM part WHERE p_partkey % 3 = 0),
+    f"""WITH n AS (SELECT p_partkey, {_LURES}[1 + p_partkey % 18] || '-' || {_LURES}[1 + p_partkey % 7] || CASE WHEN p_partkey % 5 = 0 THEN '-Scanner-api-key' ELSE '' END AS name FROM part),
     c AS (SELECT p_partkey, """
     + ", ".join(f"({' OR '.join(f'contains(lower(name), {w!r})' for w in words)}) AS {kind}" for kind, words in sorted(BASELINE.lures.items()))
     + """ FROM n)
@@ -434,7 +439,7 @@ _LURES = [word for _, words in sorted(BASELINE.lures.items()) for word in words]
 def lure_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, key = F.array(*map(F.lit, _LURES)), F.col("p_partkey").cast("int")
     name = F.concat(F.element_at(words, 1 + key % 18), F.lit("-"), F.element_at(words, 1 + key % 7), F.when(key % 5 == 0, "-Scanner-api-key").otherwise(""))
-    parts = A.read(spark, sf_dir, "part").where("p_partkey % 3 = 0").select("p_partkey", matching.lure_categories(name, BASELINE.lures).alias("c"))
+    parts = A.read(spark, sf_dir, "part").select("p_partkey", matching.lure_categories(name, BASELINE.lures).alias("c"))
     rule = F.when(F.size("c") >= 3, "metadata.lure_name_combo").when(F.size("c") == 2, "metadata.lure_name")
     return parts.select("p_partkey", F.array_join("c", ",").alias("categories"), rule.alias("rule_id"))
 
@@ -557,10 +562,10 @@ def maintainer_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "fingerprint_stats",
-    "SELECT source AS campaign, count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS n_exact_only, count(*) FILTER (doc_id % 4 = 0) AS n_auto FROM documents WHERE doc_id % 10 = 0 GROUP BY 1",
+    "SELECT source AS campaign, count(*) AS n, count(*) FILTER (doc_id % 3 = 0) AS n_exact_only, count(*) FILTER (doc_id % 4 = 0) AS n_auto FROM documents GROUP BY 1",
 )
 def fingerprint_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = A.read(spark, sf_dir, "documents").where("doc_id % 10 = 0")
+    docs = A.read(spark, sf_dir, "documents")
     some = F.when(F.col("doc_id") % 3 != 0, F.lit("3:abc:def"))
     return reports.campaign_counts(docs.select(F.col("source").alias("campaign"), some.alias("ssdeep"), F.lit(None).cast("string").alias("tlsh"), F.when(F.col("doc_id") % 4 == 0, "auto:x").otherwise("manual").alias("source")))
 
@@ -609,12 +614,12 @@ def trace_dyn_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     _DYN
     + """, p AS (SELECT detonation_id AS scan_id, least(sum(CASE severity WHEN 'critical' THEN 60 WHEN 'high' THEN 25 WHEN 'medium' THEN 8 ELSE 1 END), 30) AS part, bool_or(severity = 'critical') AS critical,
       bool_or(severity = 'high') AS high, bool_or(rule_id IN ('dyn_install_exfil', 'dyn_reverse_shell', 'dyn_proc_inject')) AS chain
-      FROM (SELECT detonation_id, rule_id AS k, rule_id, severity FROM dyn UNION ALL SELECT user_id, event_type, event_type, 'low' FROM events WHERE event_id % 4 = 0) GROUP BY 1, k)
+      FROM (SELECT detonation_id, rule_id AS k, rule_id, severity FROM dyn UNION ALL SELECT user_id, event_type, event_type, 'low' FROM events) GROUP BY 1, k)
     SELECT scan_id, sum(part)::BIGINT AS score, CASE WHEN bool_or(chain) OR bool_or(critical) OR sum(part) >= 61 THEN 'malicious' WHEN bool_or(high) OR sum(part) >= 20 THEN 'suspicious' ELSE 'clean' END AS verdict FROM p GROUP BY 1""",
 )
 def detonation_rescore(spark: SparkSession, sf_dir: str) -> DataFrame:
     dynamic = trace.dynamic_findings(trace.drop_launches(phased(spark, sf_dir))).select(F.col("detonation_id").alias("scan_id"), "rule_id", "severity", F.lit("dynamic").alias("category"))
-    static = A.read(spark, sf_dir, "events").where("event_id % 4 = 0").select(F.col("user_id").alias("scan_id"), F.col("event_type").alias("rule_id"), F.lit("low").alias("severity"), F.col("event_type").alias("category"))
+    static = A.read(spark, sf_dir, "events").select(F.col("user_id").alias("scan_id"), F.col("event_type").alias("rule_id"), F.lit("low").alias("severity"), F.col("event_type").alias("category"))
     found = dynamic.unionByName(static)
     scans = found.select("scan_id").distinct().withColumn("watchlist_rank", F.lit(None).cast("long"))
     return scoring.verdicts(scans, found).drop("alert_tag")
@@ -644,9 +649,20 @@ def trace_hostnames_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- content ---------------------------------------------------------------------------------------------------------
 
 
+#: Places of files, and inert lines that stand behind a document's text, so that rules of every ecosystem have something to look at.
+PLACES = (("npm", "index.js"), ("pypi", "setup.py"), ("crates", "build.rs"), ("gomod", "main.go"), ("pypi", "pkg/start.pth"), ("npm", "test/a.js"), ("pypi", "pkg/mod.py"), ("gomod", "go.mod"))
+LINES = (
+    "", "eval(String.fromCharCode(97))", "exec(zlib.decompress(base64.b64decode(x)))", 'reqwest::get(u); Command::new("x")', 'func init() {\n\texec.Command("/bin/sh", "-c", x)\n}', "import os; exec('1')",
+    "s = socket.socket(); s.connect(a); os.dup2(s.fileno(), 0)", "replace a => ../b", "open('~/.aws/credentials'); requests.post(u, data=os.environ)", "var u = 'https://x.workers.dev/a'", "see 93.184.216.34:8080",
+)
+
+
 def _sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and pages as files of packages."""
-    docs = A.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("scan_id"), F.lit("npm").alias("ecosystem"), F.lit("index.js").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    """Documents and pages as files of packages of all ecosystems."""
+    key = F.col("doc_id")
+    place = F.element_at(F.array(*(F.struct(F.lit(x).alias("ecosystem"), F.lit(y).alias("path")) for x, y in PLACES)), (key % len(PLACES) + 1).cast("int"))
+    line = F.element_at(F.array(*map(F.lit, LINES)), (key % len(LINES) + 1).cast("int"))
+    docs = A.read(spark, sf_dir, "documents").select(key.alias("scan_id"), place.ecosystem.alias("ecosystem"), place.path.alias("path"), F.concat_ws("\n", "text", line).alias("text"))
     pages = A.read(spark, sf_dir, "pages").select((-F.col("page_id") - 1).alias("scan_id"), F.lit("npm").alias("ecosystem"), F.lit("lib/page.js").alias("path"), F.concat_ws("\n", "url", "html").alias("text"))
     return docs.unionByName(pages).withColumn("size", F.octet_length("text"))
 
@@ -740,13 +756,13 @@ def giant_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "fingerprint_seed_candidates",
     with_(A.FILES)
-    + """, strong AS (SELECT DISTINCT scan_id, path FROM files WHERE scan_id % 3 = 0), known AS (SELECT DISTINCT sha256 FROM files WHERE scan_id % 50 = 1 AND path = 'src/1.py' AND entropy > 6),
+    + """, strong AS (SELECT DISTINCT scan_id, path FROM files WHERE scan_id % 3 <> 1), known AS (SELECT DISTINCT sha256 FROM files WHERE scan_id % 50 = 1 AND path = 'src/1.py' AND entropy > 6),
     one AS (SELECT scan_id, sha256, min(path) AS path FROM files JOIN strong USING (scan_id, path) WHERE entropy < 7.2 AND sha256 NOT IN (SELECT sha256 FROM known) GROUP BY 1, 2)
     SELECT scan_id, sha256, path FROM one QUALIFY row_number() OVER (PARTITION BY scan_id ORDER BY path, sha256) <= 2""",
 )
 def fingerprint_seed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = A.files(spark, sf_dir)
-    found = held.where("scan_id % 3 = 0").select("scan_id", F.col("path").alias("file"), F.lit("high").alias("severity"))
+    found = held.select("scan_id", F.col("path").alias("file"), F.when(F.col("scan_id") % 3 == 1, "low").otherwise("high").alias("severity"))
     return reports.seed_candidates(found, held, held.where("scan_id % 50 = 1 AND path = 'src/1.py' AND entropy > 6"), 2).select("scan_id", "sha256", "path")
 
 
@@ -774,14 +790,14 @@ def brand_new_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "candidate_batch",
-    """WITH b AS (SELECT 'n' || o_orderkey AS name, o_orderkey AS seq, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 END AS kind FROM orders WHERE o_orderkey % 7 IN (0, 1)),
+    """WITH b AS (SELECT 'n' || o_orderkey AS name, o_orderkey AS seq, CASE WHEN o_orderkey % 7 = 0 THEN 0 ELSE 1 END AS kind FROM orders),
     p AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY seq, name) AS place, least(100, count(*) FILTER (kind = 0) OVER ()) AS old FROM b),
     t AS (SELECT *, CASE WHEN kind = 0 THEN place <= old ELSE place <= 200 - old END AS taken FROM p)
     SELECT name, seq, CASE WHEN taken THEN 'check' WHEN row_number() OVER (PARTITION BY taken ORDER BY seq DESC, name DESC) <= 300 THEN 'carry' ELSE 'drop' END AS action FROM t""",
 )
 def candidate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = A.read(spark, sf_dir, "orders").select(F.concat(F.lit("n"), F.col("o_orderkey").cast("string")).alias("name"), F.col("o_orderkey").alias("seq"))
-    return queue.candidate_batch(seen.where("seq % 7 = 0"), seen.where("seq % 7 = 1"), 200, 300)
+    return queue.candidate_batch(seen.where("seq % 7 = 0"), seen.where("seq % 7 <> 0"), 200, 300)
 
 
 @query(
@@ -793,3 +809,52 @@ def source_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = A.read(spark, sf_dir, "documents").where("text IS NOT NULL")
     snippets = docs.select((F.col("doc_id") % 50).alias("scan_id"), (F.col("doc_id") % 3).alias("priority"), F.concat(F.lit("f"), F.col("doc_id").cast("string")).alias("path"), "text")
     return queue.within_budget(snippets, 4800, 1200)
+
+
+@query("decoded_findings")
+def decoded_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What documents and pages hide in encodings; a URL is encoded behind each text. No SQL twin: it holds a bounded search; goldens in the tests."""
+    from vigilake.operators.decoded import decoded_findings as found
+
+    hidden = F.base64(F.concat(F.lit("get http://c"), F.col("scan_id").cast("string"), F.lit(".odd.dev/x")).cast("binary"))
+    return found(_sources(spark, sf_dir).withColumn("text", F.concat_ws("\n", "text", hidden)))
+
+
+_RELEASES = """r AS (SELECT o_orderkey AS scan_id, CASE o_orderkey % 5 WHEN 0 THEN 'github.k' || o_custkey || '.workers.dev/x' WHEN 1 THEN 'gh.' || (100 + o_custkey) || '.xyz/a' WHEN 2 THEN 'github.com/a/b' ELSE 'pkg' || o_custkey END AS name,
+    CASE o_orderkey % 4 WHEN 0 THEN '99.9.' || o_orderkey % 10 WHEN 1 THEN '9.9' ELSE '1.' || o_orderkey END AS version, o_orderdate AS at, lag(o_orderdate) OVER w AS before,
+    o_orderpriority AS who, lag(o_orderpriority) OVER w AS was FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
+
+
+@query(
+    "metadata_findings",
+    with_(_RELEASES)
+    + """SELECT scan_id, 'metadata.dependency_confusion_version' AS rule_id, 'low' AS severity FROM r WHERE version LIKE '99.9.%' OR version = '9.9'
+    UNION ALL SELECT scan_id, 'metadata.rapid_release', 'medium' FROM r WHERE at - before < INTERVAL 24 HOUR UNION ALL SELECT scan_id, 'metadata.maintainer_change', 'medium' FROM r WHERE lower(who) <> lower(was)
+    UNION ALL SELECT scan_id, 'metadata.gomod_impersonating_forge_host', 'high' FROM r WHERE name LIKE '%.workers.dev/x' OR name LIKE 'gh.%'""",
+)
+def metadata_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    from vigilake.operators.metadata import metadata_findings as found
+
+    key, who = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    name = F.when(key % 5 == 0, F.concat(F.lit("github.k"), who, F.lit(".workers.dev/x"))).when(key % 5 == 1, F.concat(F.lit("gh."), (F.col("o_custkey") + 100).cast("string"), F.lit(".xyz/a"))).when(key % 5 == 2, "github.com/a/b").otherwise(F.concat(F.lit("pkg"), who))
+    version = F.when(key % 4 == 0, F.concat(F.lit("99.9."), (key % 10).cast("string"))).when(key % 4 == 1, "9.9").otherwise(F.concat(F.lit("1."), key.cast("string")))
+    order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    releases = A.read(spark, sf_dir, "orders").select(
+        key.alias("scan_id"), name.alias("name"), version.alias("version"), F.col("o_orderdate").alias("published_at"), F.lag("o_orderdate").over(order).alias("prev_published_at"),
+        F.array("o_orderpriority").alias("maintainers"), F.array_compact(F.array(F.lag("o_orderpriority").over(order))).alias("prev_maintainers"),
+    )
+    return found(releases).select("scan_id", "rule_id", "severity")
+
+
+@query(
+    "entropy_jump_findings",
+    with_(A.TWO_SCANS)
+    + """SELECT c.scan_id, 'entropy.suspicious_jump' AS rule_id, c.path AS file FROM cur c JOIN prev p USING (package, archive_kind, path)
+    WHERE p.sha256 <> c.sha256 AND c.entropy > 0 AND p.entropy > 0 AND round(c.entropy - p.entropy, 6) >= 1.5""",
+)
+def entropy_jump_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilake.operators.metadata import entropy_findings
+
+    return entropy_findings(history.entropy_jumps(*A.two_scans(spark, sf_dir))).select("scan_id", "rule_id", "file")

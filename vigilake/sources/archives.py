@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import io
+import lzma
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: What broken, encrypted or unknown archives raise: passwords are RuntimeError, unknown compressions NotImplementedError.
+UNREADABLE = (tarfile.TarError, zipfile.BadZipFile, ValueError, EOFError, OSError, RuntimeError, NotImplementedError, KeyError, zlib.error, lzma.LZMAError)
 MOST_FILES, MOST_BYTES = 25_000, 500 << 20
 
 
@@ -53,10 +57,12 @@ def extract(archives: DataFrame) -> DataFrame:
         for batch in batches:
             for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    for path, content in members(name, data or b""):
-                        yield pa.RecordBatch.from_pylist([{"archive": name, "path": path, "content": content, "error": None}], schema=kinds)
-                except (tarfile.TarError, zipfile.BadZipFile, ValueError, EOFError, OSError) as error:
-                    yield pa.RecordBatch.from_pylist([{"archive": name, "path": None, "content": None, "error": str(error)[:200]}], schema=kinds)
+                    files = list(members(name, data or b""))  # bounded; an archive that breaks off midway gives no file
+                except UNREADABLE as error:
+                    files = ()
+                    yield pa.RecordBatch.from_pylist([{"archive": name, "path": None, "content": None, "error": (str(error) or type(error).__name__)[:200]}], schema=kinds)
+                for path, content in files:
+                    yield pa.RecordBatch.from_pylist([{"archive": name, "path": path, "content": content, "error": None}], schema=kinds)
 
     return archives.select("path", "content").mapInArrow(go, "archive string, path string, content binary, error string")
 

@@ -82,7 +82,14 @@ def retries(events: DataFrame, most: int = 3, stale_seconds: int = 1800, delay:
 
 
 def run_once(stream: DataFrame, checkpoint: str, table: str, mode: str = "append", when: Column | None = None) -> None:
-    """Everything that has arrived, then stop: the job of a scheduler. Rows go to an in-memory table of the session."""
+    """Everything that has arrived, then stop: the job of a scheduler. Each batch is appended to a table, with its number; a batch that is written again replaces nothing
+    twice, as batches that the table already holds are left out. In update mode the last row of a key is its state."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        if not (session.catalog.tableExists(table) and session.table(table).where(F.col("batch") == number).limit(1).count()):
+            batch.withColumn("batch", F.lit(number).cast("long")).write.mode("append").saveAsTable(table)
+
     out = stream.where(when) if when is not None else stream
-    query = out.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).format("memory").queryName(table).trigger(availableNow=True).start()
+    query = out.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(add).trigger(availableNow=True).start()
     query.awaitTermination()
