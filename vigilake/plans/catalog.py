@@ -821,7 +821,7 @@ def decoded_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RELEASES = """r AS (SELECT o_orderkey AS scan_id, CASE o_orderkey % 5 WHEN 0 THEN 'github.k' || o_custkey || '.workers.dev/x' WHEN 1 THEN 'gh.' || (100 + o_custkey) || '.xyz/a' WHEN 2 THEN 'github.com/a/b' ELSE 'pkg' || o_custkey END AS name,
-    CASE o_orderkey % 4 WHEN 0 THEN '99.9.' || o_orderkey % 10 WHEN 1 THEN '9.9' ELSE '1.' || o_orderkey END AS version, o_orderdate AS at, lag(o_orderdate) OVER w AS before,
+    CASE o_orderkey % 4 WHEN 0 THEN '99.9.' || o_orderkey % 10 WHEN 1 THEN '9.9' ELSE '1.' || o_orderkey END AS version, o_orderdate AS published, lag(o_orderdate) OVER w AS earlier,
     o_orderpriority AS who, lag(o_orderpriority) OVER w AS was FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))"""
 
 
@@ -829,7 +829,7 @@ _RELEASES = """r AS (SELECT o_orderkey AS scan_id, CASE o_orderkey % 5 WHEN 0 TH
     "metadata_findings",
     with_(_RELEASES)
     + """SELECT scan_id, 'metadata.dependency_confusion_version' AS rule_id, 'low' AS severity FROM r WHERE version LIKE '99.9.%' OR version = '9.9'
-    UNION ALL SELECT scan_id, 'metadata.rapid_release', 'medium' FROM r WHERE at - before < INTERVAL 24 HOUR UNION ALL SELECT scan_id, 'metadata.maintainer_change', 'medium' FROM r WHERE lower(who) <> lower(was)
+    UNION ALL SELECT scan_id, 'metadata.rapid_release', 'medium' FROM r WHERE published - earlier < INTERVAL 24 HOUR UNION ALL SELECT scan_id, 'metadata.maintainer_change', 'medium' FROM r WHERE lower(who) <> lower(was)
     UNION ALL SELECT scan_id, 'metadata.gomod_impersonating_forge_host', 'high' FROM r WHERE name LIKE '%.workers.dev/x' OR name LIKE 'gh.%'""",
 )
 def metadata_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
