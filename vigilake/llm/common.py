@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Memo tables on workers are emptied beyond so many entries; this bounds memory and changes no result.
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 200_000
 #: Longer pieces of text are not memoised.
 MEMO_BYTES = 48
 

@@ -46,8 +46,8 @@ SIMILARITY = 0.8
 PART_BYTES = 4_000_000
 LEAST_PARTS = 512
 #: Bytes of texts whose lines a task compares among themselves before anything travels; records of a block of neighbourhoods.
-BLOCK_BYTES = 8_000_000
-BLOCK_RECORDS = 1_000_000
+BLOCK_BYTES = 2_500_000
+BLOCK_RECORDS = 400_000
 SPACE = b" \t\n\x0b\x0c\r"
 _NULL_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
