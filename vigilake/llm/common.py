@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Memo tables on workers are emptied beyond so many entries; this bounds memory and changes no result.
 MEMO_ENTRIES = 200_000
+#: Rows of a batch that are unpacked at a time.
+AT_A_TIME = 500
 #: Longer pieces of text are not memoised.
 MEMO_BYTES = 48
 
@@ -70,7 +72,7 @@ def map_texts(df: DataFrame, schema: str, make: Callable[[], Callable[[bytes], t
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
-        for batch in batches:
+        for batch in (whole.slice(k, AT_A_TIME) for whole in batches for k in range(0, whole.num_rows, AT_A_TIME)):
             if batch.num_rows:
                 made = zip(*(one(data or b"") for data in raw(batch.column(1))), strict=True)
                 arrays = [batch.column(0), *(pa.array(list(x), kind.type) for x, kind in zip(made, list(kinds)[1:], strict=True)), *batch.columns[2:]]
