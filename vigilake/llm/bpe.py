@@ -68,7 +68,7 @@ class BacktrackingEncoder:
         """Whether these tokens, each encoding to itself, stay apart when their joined bytes are merged."""
         known = self._apart.get((left, right))
         if known is None:
-            if len(self._apart) > 4 * MEMO_ENTRIES:
+            if len(self._apart) > MEMO_ENTRIES:
                 self._apart.clear()
             known = self._apart[left, right] = self._stay_apart(left, right)
         return known

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 MEMO_ENTRIES = 200_000
 #: Rows of a batch that are unpacked at a time.
 AT_A_TIME = 500
+#: Rows of a batch between Spark and a worker, where the session sets none: Spark's own 10,000 texts would be held on both sides, whatever their length.
+BATCH_ROWS = 1000
 #: Longer pieces of text are not memoised.
 MEMO_BYTES = 48
 
@@ -37,8 +39,16 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of a batch by BATCH_ROWS, unless the session sets a bound itself."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def slim(df: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """The id and the text alone, and columns to carry along, under names of ours, so that other columns can't clash."""
+    small_batches(df.sparkSession)
     more = (F.col(f"`{name}`").alias(f"carry_{k}") for k, name in enumerate(carry))
     return df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)
 

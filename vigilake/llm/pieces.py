@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from vigilake.llm.common import raw
+from vigilake.llm.common import raw, small_batches
 
 
 def pack(columns: list[np.ndarray]) -> bytes:
@@ -44,6 +44,7 @@ def parts_of(df: DataFrame, column: str, part_bytes: int, least: int) -> int:
 
 def packed_text(df: DataFrame, column: str = "text") -> DataFrame:
     """The same rows with their texts compressed, for shuffles. Null becomes empty."""
+    small_batches(df.sparkSession)
     schema = StructType([StructField(x.name, BinaryType()) if x.name == column else x for x in df.schema.fields])
 
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
