@@ -90,6 +90,7 @@ def is_test_file(path: Column) -> Column:
 
 
 def glob_regex(pattern: str) -> str:
+    """A shell pattern as a regular expression over whole texts."""
     import fnmatch
 
-    return fnmatch.translate(pattern)
+    return "^" + fnmatch.translate(pattern).removesuffix("\\Z").removesuffix("\\z") + "\\z"

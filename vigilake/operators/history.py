@@ -71,6 +71,11 @@ def normal_path(path: Column, archive_kind: Column) -> Column:
     return F.when(archive_kind.isin("sdist", "crate", "gomod_zip", "npm_tarball"), F.regexp_replace(path, "^[^/]+/", "")).otherwise(path)
 
 
+def finding_path(path: Column) -> Column:
+    """The path of a finding as the file table has it: without the top folder of npm archives."""
+    return F.regexp_replace(path, "^package/", "")
+
+
 def changed_files(current: DataFrame, previous: DataFrame) -> DataFrame:
     """(scan_id, archive_kind, path, sha256, entropy) of files that are new or differ from the package's previous scan, joined by (package, kind, path)."""
     old = previous.select("package", "archive_kind", "path", F.col("sha256").alias("old_sha"), F.col("entropy").alias("old_entropy"))

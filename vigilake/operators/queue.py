@@ -127,6 +127,15 @@ def refresh_merge(watchlist: DataFrame, fresh: DataFrame, sentinel: int) -> Data
     return both.where(kept.isNotNull()).select("ecosystem", "name", kept.alias("rank"), action.alias("action"))
 
 
+def canonical_names(watchlist: DataFrame, renames: DataFrame) -> DataFrame:
+    """The watch list under canonical names, renames being (ecosystem, original, canonical). A row that already has the name stays; of several that come to it, the best ranked."""
+    one = renames.groupBy("ecosystem", F.col("original").alias("name")).agg(F.min("canonical").alias("canonical"))
+    told = watchlist.join(one, ["ecosystem", "name"], "left").withColumn("canonical", F.coalesce("canonical", "name"))
+    rest = [x for x in watchlist.columns if x not in ("ecosystem", "name", "rank")]
+    best = told.groupBy("ecosystem", "canonical").agg(F.min(F.struct(F.col("canonical") != F.col("name"), "rank", "name", *rest)).alias("x"))
+    return best.select("ecosystem", F.col("canonical").alias("name"), "x.rank", *(F.col(f"x.{x}") for x in rest))
+
+
 def missing_from(wanted: DataFrame, held: DataFrame, *keys: str) -> DataFrame:
     return wanted.join(held.select(*keys).distinct(), list(keys), "left_anti")
 

@@ -70,10 +70,20 @@ def campaign_counts(fingerprints: DataFrame) -> DataFrame:
     )
 
 
-def promote_campaign(fingerprints: DataFrame, name: str) -> DataFrame:
-    """Fingerprints in which a campaign's automatic seeds have become confirmed ones."""
-    auto = F.col("campaign").like(f"auto:%:{name}") | ((F.col("campaign") == name) & F.startswith("source", F.lit("auto")))
-    return fingerprints.withColumns({"campaign": F.when(auto, F.lit(name)).otherwise(F.col("campaign")), "source": F.when(auto, "promoted").otherwise(F.col("source"))})
+def of_campaign(campaign: str) -> Column:
+    """Rows of a campaign: by its whole name, or by the package alone that automatic seeds were named after."""
+    return F.col("campaign") == campaign if campaign.startswith("auto:") else F.col("campaign").like(f"auto:%:{campaign}")
+
+
+def promote_campaign(fingerprints: DataFrame, campaign: str) -> DataFrame:
+    """Fingerprints in which a campaign's automatic seeds are promoted: they match near copies from then on."""
+    auto = F.coalesce((F.col("source") == "auto") & of_campaign(campaign), F.lit(False))
+    return fingerprints.withColumn("source", F.when(auto, "promoted").otherwise(F.col("source")))
+
+
+def remove_campaign(fingerprints: DataFrame, campaign: str) -> DataFrame:
+    """Fingerprints without a campaign's seeds, automatic or promoted; those entered by hand stay."""
+    return fingerprints.where(~F.coalesce(F.col("source").isin("auto", "promoted") & of_campaign(campaign), F.lit(False)))
 
 
 def seed_candidates(findings: DataFrame, files: DataFrame, known: DataFrame, most: int = 25, entropy: float = 7.2) -> DataFrame:
@@ -84,7 +94,28 @@ def seed_candidates(findings: DataFrame, files: DataFrame, known: DataFrame, mos
     return one.withColumn("place", F.row_number().over(Window.partitionBy("scan_id").orderBy("path", "sha256"))).where(F.col("place") <= most).drop("place")
 
 
-def abuse_sum(queue: DataFrame, versions: DataFrame, pattern: str) -> DataFrame:
-    """(ecosystem, n, matching): queue rows by ecosystem, and how many of them have an error like a pattern, in any case."""
-    joined = queue.join(versions.select("ecosystem", "name", "version").distinct(), ["ecosystem", "name", "version"], "left_semi")
-    return joined.groupBy("ecosystem").agg(F.count("*").alias("n"), F.sum(F.when(F.lower("last_error").like(pattern), 1).otherwise(0)).alias("matching"))
+def source_coverage(scans: DataFrame) -> DataFrame:
+    """(ecosystem, n_without, n): triaged scans, and those whose reasoning says that there was no source."""
+    return scans.where(F.col("llm_reasoning").isNotNull()).groupBy("ecosystem").agg(F.count_if(F.lower("llm_reasoning").like("%no source%")).alias("n_without"), F.count("*").alias("n"))
+
+
+def triage_listing(asked: DataFrame, scans: DataFrame, findings: DataFrame) -> DataFrame:
+    """(ecosystem, name, scan_id, n_scans, columns of findings): of each package the newest scan that triage found malicious, else the newest, with its findings."""
+    keys = ["ecosystem", "name"]
+    order = F.struct(F.coalesce(F.col("llm_verdict") == "malicious", F.lit(False)), "finished_at", "scan_id")
+    chosen = scans.join(asked.select(*keys).distinct(), keys, "left_semi").groupBy(*keys).agg(F.max_by("scan_id", order).alias("scan_id"), F.count("*").alias("n_scans"))
+    return chosen.join(findings, "scan_id").select(*keys, "scan_id", "n_scans", *(x for x in findings.columns if x != "scan_id"))
+
+
+def publishers(scans: DataFrame, versions: DataFrame) -> DataFrame:
+    """(scan_id, author, author_email, maintainers, upload_user) of scans whose version names any of them, rows (scan_id, version_id) and (version_id, ...)."""
+    names = ["author", "author_email", "maintainers", "upload_user"]
+    told = scans.select("scan_id", "version_id").join(versions.select("version_id", *names), "version_id")
+    return told.where(F.length(F.concat_ws("", *names)) > 0).select("scan_id", *names)
+
+
+def entries(rows: DataFrame, order: str, **equal: str) -> DataFrame:
+    """A list's entries in order, those alone that have the given values."""
+    for name, value in equal.items():
+        rows = rows.where(F.col(name) == value)
+    return rows.orderBy(order)

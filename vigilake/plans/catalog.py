@@ -9,6 +9,7 @@ from vigilake.functions import text as T
 from vigilake.intel import BASELINE, SENTINEL_RANK, SHADOW_PREFIX
 from vigilake.operators import campaign, gates, history, matching, queue, reports, scoring, trace
 from vigilake.plans import adapters as A
+from vigilake.plans import details  # noqa: F401  (registers its queries)
 from vigilake.plans.registry import query
 
 AS_OF = f"TIMESTAMP '{A.AS_OF}'"
