@@ -1,6 +1,7 @@
 """Operators whose queries have no SQL twin, on small rows."""
 
 import datetime as dt
+import hashlib
 import io
 import json
 import random
@@ -9,8 +10,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from vigilake.functions import fuzzy, text, times
-from vigilake.operators import campaign, gates, history, matching, queue, trace
+from vigilake.functions import fuzzy, segments, text, times
+from vigilake.operators import campaign, gates, history, matching, queue, reports, scoring, trace
 from vigilake.sources import archives, feeds, tables
 from vigilake.streaming import ingest
 
@@ -254,3 +255,52 @@ def test_decoded_and_metadata_findings(spark):
     assert got == {(2, "gomod_impersonating_forge_host"), (2, "dependency_confusion_version"), (2, "rapid_release"), (3, "maintainer_change")}
     loads = spark.createDataFrame([(1, "x.whl", False, 2), (2, "y", True, 1), (3, "", False, 0)], "scan_id long, path string, intact boolean, n_files int")
     assert {(r.scan_id, r.rule_id) for r in metadata.download_findings(loads).collect()} == {(1, "fetch.sha256_mismatch"), (3, "fetch.no_release_files")}
+
+
+def test_carry_forward_matches_by_path_and_safe_base_name(spark):
+    def files(*some):
+        return spark.createDataFrame([("p", path, sha) for path, sha in some], "package string, path string, sha256 string")
+
+    def found(*some):
+        return spark.createDataFrame([("p", rule, file, "e") for rule, file in some], "package string, rule_id string, file string, evidence string")
+
+    prior = found(("r1", "a/x.js"), ("r2", "package/a/x.js"), ("r2", "a/x.js"), ("r3", "y.js"), ("r4", "z.js"), ("r5", ""), ("r6", None), ("r7", "old/y.js"), ("r8", "a/x.js"), ("r9", "new.js"))
+    before = files(("a/x.js", "1"), ("a/y.js", "2"), ("a/z.js", "3"), ("b/z.js", "4"))
+    now = files(("a/x.js", "1"), ("a/y.js", "2"), ("a/z.js", "3"), ("b/z.js", "5"), ("c/x.js", "6"), ("d/new.js", "7"))
+    got = history.carry_forward(prior, before, now, found(("r8", "package/a/x.js")))
+    # The new c/x.js makes the base name x.js unsafe, its own path is still the same; z.js has changed in one folder.
+    assert rows(got, "rule_id", "file") == [("r1", "a/x.js"), ("r2", "a/x.js"), ("r3", "y.js"), ("r7", "old/y.js")]
+    assert history.carry_forward(prior.limit(0), before, now, prior).count() == 0
+
+
+def test_prior_scans_within_the_window(spark):
+    at = lambda day: T0 + dt.timedelta(days=day)
+    scans = spark.createDataFrame([("npm", "a", 1, at(0)), ("npm", "a", 2, at(5)), ("npm", "a", 3, at(5)), ("npm", "a", 4, at(8)), ("npm", "b", 5, at(0)), ("npm", "c", 6, None)], "ecosystem string, name string, scan_id long, finished_at timestamp_ntz")
+    current = scans.where("scan_id IN (4, 5, 6)")
+    assert rows(history.prior_scans(scans, current, F.lit(at(8)).cast("timestamp_ntz")), "scan_id", "prior_id") == [(4, 3)]
+
+
+def test_function_segments(spark):
+    python = "class A:\n    def f(self):\n        return 'ä'\n\n    async def g(self): pass\n"
+    other = "export function one(a) {\n  if (a) { b }\n}\nfunc (r *T) Two() {}\nconst x = 1\ny = (a) => { c }\nfn three() { open {\n"
+    df = spark.createDataFrame([(1, "a.py", python), (2, "b.js", other), (3, "c.py", "def ("), (4, "d.go", None), (5, "e.js", "}} {{" * 50_000), (6, "f.py", "")], "scan_id long, path string, text string")
+    got = segments.function_segments(df)
+    assert rows(got.where("scan_id = 1"), "name", "kind", "line", "end_line") == [("A", "ClassDef", 1, 5), ("f", "FunctionDef", 2, 3), ("g", "AsyncFunctionDef", 5, 5)]
+    # The fixed pattern takes a condition with a block for a declaration, too.
+    assert rows(got.where("scan_id = 2"), "name", "line", "end_line") == [("Two", 4, 4), ("if", 2, 2), ("one", 1, 3), ("three", 7, 8), ("y", 6, 6)]
+    assert rows(got.where("name = 'f'"), "sha256") == [(hashlib.sha256("def f(self):\n        return 'ä'".encode()).hexdigest(),)]
+    assert rows(got.where("scan_id > 2"), "scan_id", "kind") == [(3, "unparsed")]
+
+
+def test_kept_archives_and_campaigns(spark):
+    df = spark.createDataFrame([(1, "malicious", None), (2, "malicious", "benign"), (3, "clean", "malicious"), (4, "suspicious", None)], "scan_id long, verdict string, llm_verdict string")
+    assert rows(scoring.kept_archives(df), "scan_id", "keep") == [(1, True), (2, False), (3, True), (4, False)]
+    prints = spark.createDataFrame([(1, "auto:npm:x", "auto"), (2, "auto:npm:x", "promoted"), (3, "auto:npm:x", "manual"), (4, "x", "auto"), (5, None, "auto"), (6, "auto:npm:xy", "auto")], "id long, campaign string, source string")
+    assert rows(reports.promote_campaign(prints, "x").where("source = 'promoted'"), "id") == [(1,), (2,)]
+    assert rows(reports.remove_campaign(prints, "x"), "id") == [(3,), (4,), (5,), (6,)]
+
+
+def test_canonical_names(spark):
+    held = spark.createDataFrame([("gomod", "a", 1), ("gomod", "b", 2), ("gomod", "c", 3), ("gomod", "d", 4), ("npm", "a", 5)], "ecosystem string, name string, rank long")
+    renames = spark.createDataFrame([("gomod", "a", "b"), ("gomod", "c", "z"), ("gomod", "d", "z"), ("gomod", "q", "r")], "ecosystem string, original string, canonical string")
+    assert rows(queue.canonical_names(held, renames), "ecosystem", "name", "rank") == [("gomod", "b", 2), ("gomod", "z", 3), ("npm", "a", 5)]

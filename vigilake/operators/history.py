@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 # Fixed values of the version anomaly gate.
 SIZE_RATIO, MIN_DELTA, BIG_DELTA, MIN_BASE = 3.0, 256 * 1024, 50 * 1024, 256 * 1024
 ENTROPY_JUMP = 1.5
+#: Fixed value: days after which an earlier scan's findings are no longer carried forward.
+REUSE_DAYS = 7
 
 
 def version_anomalies(versions: DataFrame, *, min_delta: float = MIN_DELTA, big_delta: float = BIG_DELTA, min_base: float = MIN_BASE) -> DataFrame:
@@ -121,19 +123,30 @@ def metadata_diff(pairs: DataFrame) -> DataFrame:
     return pairs.select("package", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("package", "x.*")
 
 
+def prior_scans(scans: DataFrame, current: DataFrame, as_of: Column, days: int = REUSE_DAYS) -> DataFrame:
+    """(ecosystem, name, scan_id, prior_id): for each current scan the package's newest other scan that ended within so many days before; without one no row."""
+    recent = scans.where(F.col("finished_at") >= as_of - F.expr(f"INTERVAL {days} DAYS")).select("ecosystem", "name", F.col("scan_id").alias("prior_id"), "finished_at")
+    both = current.select("ecosystem", "name", "scan_id").join(recent, ["ecosystem", "name"]).where("prior_id <> scan_id")
+    return both.groupBy("ecosystem", "name", "scan_id").agg(F.max_by("prior_id", F.struct("finished_at", "prior_id")).alias("prior_id"))
+
+
 def carry_forward(prior_findings: DataFrame, prior_files: DataFrame, current_files: DataFrame, current_findings: DataFrame) -> DataFrame:
     """Findings of a package's prior scan whose file is unchanged now, and which the current scan doesn't have itself.
 
-    A finding that names a base name alone counts if every file of that name is unchanged.
+    Files are compared without npm's top folder. A finding also counts by its base name, if every current file of that name is unchanged.
+    Of findings of one rule in one file the first by its path as written stays; findings without a file don't count.
     """
-    key = ["package", "path"]
-    now = current_files.select("package", "path", F.col("sha256").alias("now"))
-    paired = prior_files.join(now, key, "inner").withColumn("same", F.col("sha256") == F.col("now"))
-    base = F.substring_index("path", "/", -1)
-    by_path = paired.where("same").select("package", F.col("path").alias("file"))
-    by_base = paired.groupBy("package", base.alias("file")).agg(F.bool_and("same").alias("all")).where("all").select("package", "file")
-    unchanged = by_path.union(by_base).distinct()
-    return prior_findings.join(unchanged, ["package", "file"], "left_semi").join(current_findings.select("package", "rule_id", "file").distinct(), ["package", "rule_id", "file"], "left_anti").dropDuplicates(["package", "rule_id", "file"])
+    base = lambda column: F.substring_index(column, "/", -1)
+    old = prior_files.select("package", "path", F.col("sha256").alias("old"))
+    paired = current_files.select("package", "path", "sha256").join(old, ["package", "path"], "left").withColumn("same", F.coalesce(F.col("sha256") == F.col("old"), F.lit(False)))
+    by_path = paired.where("same").select("package", F.col("path").alias("_norm")).distinct().withColumn("_path", F.lit(True))
+    by_base = paired.groupBy("package", base("path").alias("_base")).agg(F.bool_and("same").alias("_all")).where("_all")
+    told = prior_findings.where("file <> ''").withColumn("_norm", finding_path(F.col("file"))).withColumn("_base", base("_norm"))
+    kept = told.join(by_path, ["package", "_norm"], "left").join(by_base, ["package", "_base"], "left").where("_path OR _all")
+    held = current_findings.select("package", "rule_id", finding_path(F.coalesce("file", F.lit(""))).alias("_norm")).distinct()
+    rest = [x for x in prior_findings.columns if x not in ("package", "rule_id")]
+    one = kept.join(held, ["package", "rule_id", "_norm"], "left_anti").groupBy("package", "rule_id", "_norm").agg(F.min_by(F.struct(*rest), "file").alias("x"))
+    return one.select("package", "rule_id", *(F.col(f"x.{x}") for x in rest))
 
 
 def noise_cap(findings: DataFrame, keep: int = 3) -> DataFrame:

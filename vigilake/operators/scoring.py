@@ -107,3 +107,9 @@ def final_verdicts(scans: DataFrame, floor: float = 0.7, clear_at: float = 0.80)
     tag = F.coalesce("alert_tag", F.when(final == "inconclusive", "needs_review").when(~lower & ~is_told_bad, "llm_unverified"))
     alert = (bad & ~lower) | (is_told_bad & (sure >= floor))
     return scans.withColumns({"final_verdict": final, "final_tag": tag, "alert": alert}).drop("_told")
+
+
+def kept_archives(scans: DataFrame) -> DataFrame:
+    """Rows (verdict, llm_verdict) with `keep`: the archive is put aside if triage found it malicious, or the rules did and triage didn't answer."""
+    told = F.coalesce(F.col("llm_verdict") == "malicious", F.lit(False))
+    return scans.withColumn("keep", told | ((F.col("verdict") == "malicious") & F.col("llm_verdict").isNull()))

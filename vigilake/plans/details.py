@@ -302,3 +302,20 @@ def watch_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def triage_source_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     reason = F.when(F.col("scan_id") % 5 != 0, F.when(F.col("scan_id") % 3 == 0, "There is No Source to read").otherwise("reads a file"))
     return reports.source_coverage(A.scans(spark, sf_dir).select("ecosystem", reason.alias("llm_reasoning")))
+
+
+@query(
+    "function_segments",
+    """WITH f AS (SELECT o_orderkey AS scan_id, CASE WHEN o_orderkey % 2 = 0 THEN 'a.py' ELSE 'a.js' END AS path, 'f' || o_custkey AS name,
+      CASE WHEN o_orderkey % 2 = 0 THEN 'def f' || o_custkey || E'(x):\\n    return {x}' ELSE 'async function f' || o_custkey || E'(x) {\\n  if (x) { y }\\n}' END AS segment FROM orders)
+    SELECT scan_id, path, name, CASE WHEN path = 'a.py' THEN 'FunctionDef' ELSE 'func' END AS kind, 2 AS line, CASE WHEN path = 'a.py' THEN 3 ELSE 4 END AS end_line, sha256(segment) AS sha256, strlen(segment)::INT AS size FROM f
+    UNION ALL SELECT scan_id, path, 'if', 'func', 3, 3, sha256('  if (x) { y }'), 14 FROM f WHERE path = 'a.js'""",
+)
+def function_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigilake.functions.segments import function_segments as found
+
+    python = F.col("o_orderkey") % 2 == 0
+    path = F.when(python, "a.py").otherwise("a.js")
+    text = F.when(python, said(r"'x = 1\ndef f'", "o_custkey", r"'(x):\n    return {x}\n'")).otherwise(said(r"'// a\nasync function f'", "o_custkey", r"'(x) {\n  if (x) { y }\n}\nlet z = {}\n'"))
+    files = A.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan_id"), path.alias("path"), text.alias("text"))
+    return found(files).select("scan_id", "path", "name", "kind", "line", "end_line", "sha256", "size")
