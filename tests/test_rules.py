@@ -6,6 +6,7 @@ import gzip
 from pyspark.sql import functions as F
 
 from vigilake.functions import decode, python_code
+from vigilake.operators import hooks
 from vigilake.operators.file_rules import binary_findings, entropy_findings, hook_findings, manifest_findings, shipped_findings, static_findings
 from vigilake.operators.signatures import BUILT_IN, parse, signature_findings
 
@@ -139,3 +140,11 @@ def test_python_code(spark):
     df = spark.createDataFrame([(1, p, s) for p, (s, _) in cases.items()], "scan_id long, path string, text string")
     assert {r.rule_id for r in python_code.python_findings(df).collect()} == set().union(*(w for _, w in cases.values()))
     assert python_code.python_findings(df.withColumn("text", F.lit(None).cast("string"))).count() == 0
+
+
+def test_hook_commands(spark):
+    assert hooks.plainly_benign("tsc && node-gyp rebuild; echo 'a b'") and hooks.plainly_benign("node -e 1")
+    assert not any(map(hooks.plainly_benign, ("node x.js", "tsc && ./run", "echo 'open", "", " ; ")))
+    assert hooks.run_files("./tools/setup; sh -x ./a.sh | /bin/ls && ../out; tsc; bash") == ["./tools/setup", "./a.sh"]
+    df = spark.createDataFrame([(1, "binding.gyp", "<!(curl x)"), (1, "package.json", "{}"), (2, "node_modules/binding.gyp", "<!(curl x)"), (2, "node_modules/package.json", "{}"), (3, "p/binding.gyp", "<!() <!(\"\") <!(id) <!@(id)"), (3, "p/package.json", None), (4, "binding.gyp", None)], "scan_id long, path string, text string")
+    assert sorted((r.scan_id, r.severity, r.evidence) for r in hooks.gyp_findings(df).collect()) == [(1, "critical", "curl x"), (3, "high", "id")]

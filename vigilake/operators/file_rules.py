@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from vigilake.functions import text as T
 from vigilake.intel import BASELINE, Pack
+from vigilake.operators.hooks import install_hooks, is_benign
 
 #: Top-level names of the standard library of the Python that runs here.
 STDLIB = tuple(sorted(x for x in sys.stdlib_module_names if not x.startswith("_")))
@@ -128,7 +129,6 @@ NET_RECON = r"(?i)\bos\.networkInterfaces\s*\(|\b(?:ifconfig|ipconfig|ip\s+addr)
 CI_HARVEST = r"GITHUB_TOKEN|GITHUB_ACTOR|GITHUB_REPOSITORY|GH_TOKEN|NPM_TOKEN|NODE_AUTH_TOKEN|CIRCLECI|JENKINS_URL|GITLAB_CI"
 PERSISTENCE = r"(?i)systemctl\s+(?:--user\s+)?enable|LaunchAgents|LaunchDaemons|launchctl\s+load|CurrentVersion\\+Run|\.config/autostart|crontab\s|schtasks\s"
 DETACHED = r"(?s)detached\s*:\s*true.{0,400}?\.unref\s*\(|\.unref\s*\(\s*\)"
-INSTALL_HOOKS = ("preinstall", "install", "postinstall", "prepare")
 INJECTION_SCHEMA = r"(?i)agrees_with_rules"
 INJECTION_PHRASE = (
     r"(?i)[\"']verdict[\"']\s*:\s*[\"'](?:benign|safe)|ignore\s+(?:(?:all|the|any)\s+)*+(?:previous|prior|above|preceding|earlier|system)\s+(?:instruction|prompt|message|rule)"
@@ -352,9 +352,7 @@ def told(rule: str, severity: str | Column, confidence: str = "high") -> Column:
 
 def hook_findings(manifests: DataFrame, files: DataFrame) -> DataFrame:
     """Findings of npm install hooks, rows (scan_id, path, text) of package.json: what a command does itself, and what the script it runs does."""
-    scripts = F.from_json(F.get_json_object("text", "$.scripts"), "map<string,string>")
-    root = F.regexp_extract(place(), "^(.*/)?package\\.json$", 1)
-    hooks = manifests.select("scan_id", root.alias("root"), F.explode(F.map_filter(scripts, lambda k, _: k.isin(*INSTALL_HOOKS))).alias("hook", "command"))
+    hooks = install_hooks(manifests)
     c = F.col("command")
     net, run, dec = c.rlike(SHELL_NET), c.rlike(SHELL_EXEC), c.rlike(SHELL_DECODE)
     own = (
@@ -362,7 +360,7 @@ def hook_findings(manifests: DataFrame, files: DataFrame) -> DataFrame:
         .when(net, told("installer.npm_lifecycle_network", "high", "medium"))
         .when(run | dec, told("installer.npm_lifecycle_subprocess", "medium", "medium"))
     )
-    commands = hooks.select("scan_id", F.lit("package.json").alias("file"), own.alias("x"), c.alias("evidence")).where("x IS NOT NULL")
+    commands = hooks.where(~is_benign(c)).select("scan_id", F.lit("package.json").alias("file"), own.alias("x"), c.alias("evidence")).where("x IS NOT NULL")
     refs = hooks.select("scan_id", F.explode(F.transform(F.regexp_extract_all(c, F.lit(r"(?:^|\s)(?:\./)?([\w./-]+\.(?:[cm]?jsx?|[cm]?tsx?))\b"), F.lit(1)), lambda x: F.concat("root", x))).alias("path")).distinct()
     bodies = files.join(refs, ["scan_id", "path"], "left_semi")
     net, run = has(JS_NET), has(JS_EXEC)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilake.functions import text as T
 from vigilake.functions import times
-from vigilake.operators import gates, history, metadata, queue, reports, trace
+from vigilake.operators import gates, history, hooks, metadata, queue, reports, trace
 from vigilake.plans import adapters as A
 from vigilake.plans.registry import query
 from vigilake.sources import feeds
@@ -319,3 +319,32 @@ def function_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(python, said(r"'x = 1\ndef f'", "o_custkey", r"'(x):\n    return {x}\n'")).otherwise(said(r"'// a\nasync function f'", "o_custkey", r"'(x) {\n  if (x) { y }\n}\nlet z = {}\n'"))
     files = A.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan_id"), path.alias("path"), text.alias("text"))
     return found(files).select("scan_id", "path", "name", "kind", "line", "end_line", "sha256", "size")
+
+
+@query(
+    "hook_file_findings",
+    """WITH o AS (SELECT o_orderkey AS scan_id, o_orderkey % 5 AS k, o_custkey % 2 = 0 AS image FROM orders)
+    SELECT scan_id, CASE WHEN image THEN 'installer.npm_install_runs_bundled_binary' ELSE 'installer.npm_install_runs_bundled_file' END AS rule_id, CASE WHEN image THEN 'critical' ELSE 'high' END AS severity,
+      CASE k WHEN 0 THEN 'pkg/./tools/setup' WHEN 1 THEN 'pkg/tools/x/../setup' ELSE 'pkg/tools/setup' END AS file FROM o WHERE k < 3""",
+)
+def hook_file_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey") % 5
+    command = F.when(key == 0, "echo hi && ./tools/setup --fast").when(key == 1, "sh -e tools/x/../setup").when(key == 2, "true; bash 'tools/setup'").when(key == 3, "node tools/setup").otherwise("../tools/setup")
+    orders = A.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan_id"), command.alias("command"), F.when(F.col("o_custkey") % 2 == 0, F.unhex(F.lit("7F454C460201"))).otherwise(F.unhex(F.lit("2321"))).alias("content"))
+    manifests = orders.select("scan_id", F.lit("pkg/package.json").alias("path"), F.to_json(F.struct(F.struct(F.col("command").alias("postinstall")).alias("scripts"))).alias("text"))
+    return hooks.run_file_findings(hooks.install_hooks(manifests), orders.select("scan_id", F.lit("pkg/tools/setup").alias("path"), "content")).select("scan_id", "rule_id", "severity", "file")
+
+
+@query(
+    "gyp_command_findings",
+    """WITH o AS (SELECT o_orderkey AS scan_id, o_orderkey % 4 AS k FROM orders WHERE o_orderkey % 3 <> 0)
+    SELECT scan_id, 'installer.npm_binding_gyp_command_exec' AS rule_id, CASE k WHEN 1 THEN 'critical' ELSE 'high' END AS severity, CASE k WHEN 1 THEN 'node lib/x.js' WHEN 2 THEN 'make all' ELSE 'node -p 1 && id' END AS evidence FROM o WHERE k > 0""",
+)
+def gyp_command_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey") % 4
+    command = F.when(key == 0, "node -p \"require('node-addon-api').include\"").when(key == 1, "node lib/x.js").when(key == 2, "make all").otherwise(" 'node -p 1 && id' ")
+    text = said(r"'{\'x\': [\'<!('", command, r"')\', \'<!@('", command, r"')\']}'")
+    orders = A.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("scan_id"), text.alias("text"))
+    manifests = orders.where("scan_id % 3 <> 0").select("scan_id", F.lit("pkg/package.json").alias("path"), F.lit("{}").alias("text"))
+    files = orders.select("scan_id", F.lit("pkg/binding.gyp").alias("path"), "text").union(manifests)
+    return hooks.gyp_findings(files).select("scan_id", "rule_id", "severity", "evidence")
