@@ -39,6 +39,7 @@ def test_archives(spark):
     got = {(r.archive, r.path): r.content for r in archives.extract(df).collect()}
     assert {k: bytes(v) for k, v in got.items() if v is not None} == {("a.tar.gz", "pkg/a.py"): b"1", ("a.tar.gz", "etc/x"): b"2", ("b.whl", "w/b.py"): b"4"}
     assert ("c.zip", None) in got
+    assert rows(archives.listing(df), "archive", "path") == [("a.tar.gz", "etc/x"), ("a.tar.gz", "pkg/a.py"), ("b.whl", "w/b.py")]
     import base64
     import hashlib
 

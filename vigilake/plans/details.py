@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilake.functions import text as T
 from vigilake.functions import times
-from vigilake.operators import gates, history, hooks, metadata, queue, reports, trace
+from vigilake.operators import campaign, gates, history, hooks, metadata, queue, reports, trace
 from vigilake.plans import adapters as A
 from vigilake.plans.registry import query
 from vigilake.sources import feeds
@@ -348,3 +348,15 @@ def gyp_command_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifests = orders.where("scan_id % 3 <> 0").select("scan_id", F.lit("pkg/package.json").alias("path"), F.lit("{}").alias("text"))
     files = orders.select("scan_id", F.lit("pkg/binding.gyp").alias("path"), "text").union(manifests)
     return hooks.gyp_findings(files).select("scan_id", "rule_id", "severity", "evidence")
+
+
+@query(
+    "swept_siblings",
+    f"""WITH {A.SCANS}, bad AS (SELECT DISTINCT ecosystem, maintainer, name FROM scans WHERE llm_verdict = 'malicious')
+    SELECT DISTINCT s.ecosystem, s.name FROM scans s JOIN bad b ON b.ecosystem = s.ecosystem AND b.maintainer = s.maintainer AND b.name <> s.name
+    WHERE NOT EXISTS (SELECT 1 FROM bad m WHERE m.ecosystem = s.ecosystem AND m.name = s.name)""",
+)
+def swept_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans = A.scans(spark, sf_dir)
+    bad = scans.where("llm_verdict = 'malicious'").select("ecosystem", "maintainer", "name").distinct()
+    return campaign.clean_siblings(bad, scans.select("ecosystem", "maintainer", "name").distinct(), bad)
