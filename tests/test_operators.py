@@ -8,6 +8,7 @@ import random
 import tarfile
 import zipfile
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigilake.functions import fuzzy, segments, text, times
@@ -220,6 +221,22 @@ def test_places(spark):
     assert got == want
 
 
+def test_places_of_many_rows(spark):
+    """Ranges are sampled from large inputs, and branches that read different columns must still agree on them."""
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        df = spark.range(100_000).select("id", F.when(F.col("id") % 7 < 4, "a").when(F.col("id") % 7 < 6, "b").alias("g"), F.pmod(F.xxhash64("id"), F.lit(5000)).alias("x"), F.repeat(F.lit("y"), 40).alias("wide"))
+        got = queue.placed(df, [F.col("g")], [F.desc("x"), F.col("id")]).select("id", "g", "place")
+        want = df.select("id", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("x"), "id")).cast("long").alias("want"))
+        told = got.join(want, "id")
+        assert (told.count(), told.where("place <> want").count()) == (100_000, 0)
+        cut = queue.over_cap(df, "g", "x", 900).select("id")
+        old = df.withColumn("p", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("x"), F.desc("id")))).where("p > 900").select("id")
+        assert cut.count() == old.count() and cut.exceptAll(old).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_broken_archives(spark):
     buffer = io.BytesIO()
     with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as made:

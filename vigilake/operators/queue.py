@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
+from vigilake.checkpoints import shared_checkpoint
 from vigilake.functions.times import micros
 
 MAX_ATTEMPTS, STALE_SECONDS = 3, 1800
@@ -87,15 +88,17 @@ def placed(rows: DataFrame, group: list, order: list, name: str = "place") -> Da
     """Rows with their place in the order of their group, from 1.
 
     Groups may be few and large, so no task sorts a whole one: rows are dealt by ranges of group and order, numbered within each range, and moved on by the
-    number of rows in the ranges before, which is one number for each range and group.
+    number of rows in the ranges before, which is one number for each range and group. The range of a row is written down with it, in a reliable checkpoint:
+    sizes and numbers come from the same ranges, also when a lost executor's part is made anew. Rows that are equal in group and order are placed in any order.
     """
     keys = [f"_g{k}" for k in range(len(group))]
     ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     marked = rows.withColumns(dict(zip(keys, group, strict=True)))
     dealt = marked.repartitionByRange(ranges, *keys, *order).withColumn("_range", F.spark_partition_id())
+    within = Window.partitionBy("_range", *keys).orderBy(*order)
+    own = shared_checkpoint(dealt.withColumn("_own", F.row_number().over(within)))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = dealt.groupBy("_range", *keys).agg(F.count("*").alias("_n")).withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    own = dealt.withColumn("_own", F.row_number().over(Window.partitionBy("_range", *keys).orderBy(*order)))
+    sizes = own.groupBy("_range", *keys).agg(F.max("_own").alias("_n")).withColumn("_skip", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     same = [own[k].eqNullSafe(sizes[k]) for k in ("_range", *keys)]
     return own.join(sizes, same).select(*(own[x] for x in rows.columns), (F.col("_own") + F.col("_skip")).cast("long").alias(name))
 
