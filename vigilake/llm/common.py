@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilake.checkpoints import shared_checkpoint  # noqa: F401
+
 #: Memo tables on workers are emptied beyond so many entries; this bounds memory and changes no result.
 MEMO_ENTRIES = 200_000
 #: Rows of a batch that are unpacked at a time.
@@ -24,21 +25,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint.
-
-    The folder is the cluster's own, spark.checkpoint.dir, or one that the caller has set on the context. A folder of our own choice would be
-    one machine's: executors elsewhere couldn't read it, and what a lost one wrote would be gone. Only where all of Spark is one process, as in tests, one is made.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir", "")
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vigilake-checkpoint-"))
-    return df.checkpoint()
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the rows of a batch by BATCH_ROWS, unless the session sets a bound itself."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
