@@ -11,6 +11,7 @@ from vigilake.llm.line_neighbourhood import op3_line_dedup
 from vigilake.llm.merkle import OP12_SQL, op12_merkle_manifest
 from vigilake.llm.order_minhash import op1_minhash_near_dedup
 from vigilake.llm.quality_ledger import OP7_SQL, op7_quality_rules
+from vigilake.llm.source_divergence import OP11_SQL, op11_source_divergence
 from vigilake.llm.suffix_dedup import OP4_SQL, op4_substring_dedup
 from vigilake.llm.token_count import op2_token_counts
 
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_benchmark_decontamination": (op8_benchmark_decontamination, OP8_SQL),
     "op9_license_scan": (op9_license_scan, None),
     "op10_chat_format": (op10_chat_format, OP10_SQL),
+    "op11_source_divergence": (op11_source_divergence, OP11_SQL),
     "op12_merkle_manifest": (op12_merkle_manifest, OP12_SQL),
 }
