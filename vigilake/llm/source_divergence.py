@@ -26,6 +26,8 @@ LEAST_DOCUMENTS, TOP = 30, 50
 SMOOTHING = 5
 #: Counts of a slice, sources of a block, (source, term) entries that a task sums up before it sends them on.
 CELLS, BLOCK, ENTRIES = 60_000, 256, 500_000
+#: So many parts a language's rows are dealt to where they meet what is known of the language.
+SALTS = 64
 
 #: A-Z lower-cased, every other ASCII byte but a-z a space; bytes from 0x80 on belong to terms.
 _TABLE = bytes(x + 32 if 0x41 <= x <= 0x5A else x if 0x61 <= x <= 0x7A or x >= 0x80 else 0x20 for x in range(256))
@@ -99,12 +101,18 @@ def shares(count: np.ndarray, total: int, v: int) -> np.ndarray:
     return told + 1
 
 
+def with_lang(rows: DataFrame, by: str, of_lang: DataFrame) -> DataFrame:
+    """An equi-join on the language, for a few or many languages, one of which may hold most rows: rows are dealt by a hash of a column, too, and what is known of a language goes to all parts."""
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS).cast("long"))).join(of_lang.withColumn("_salt", salts), ["lang", "_salt"]).drop("_salt")
+
+
 def group_totals(groups: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, total, v) of every group; v and total are 0 without kept terms."""
-    v = kept.groupBy("lang", "term").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("*").alias("v"))
+    """(lang, source, total, v, all) of every group: its count, its language's terms and count; all are 0 without kept terms."""
+    terms = kept.groupBy("lang", "term").agg(F.first("n_lang").alias("n")).groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("all"))
     own = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    told = groups.join(own, ["lang", "source"], "left").join(v, "lang", "left")
-    return told.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("v", F.lit(0)).alias("v"))
+    told = groups.join(own, ["lang", "source"], "left").join(terms, "lang", "left")
+    return told.select("lang", "source", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("total", "v", "all")))
 
 
 _TALLY = "lang string, a string, b string, cells binary"
@@ -152,7 +160,7 @@ def histograms(kept: DataFrame, groups: DataFrame) -> DataFrame:
     """
     cells = kept.groupBy("lang").agg(F.count("*").alias("n_cells")).join(groups.groupBy("lang").agg(F.count("*").alias("n_sources")), "lang")
     sizes = cells.select("lang", F.ceil(F.col("n_cells") / CELLS).alias("slices"), F.ceil(F.col("n_sources") / BLOCK).alias("blocks"))
-    counts = kept.join(sizes, "lang").select("lang", "source", "term", "n", "blocks", F.pmod(F.xxhash64("term"), "slices").alias("slice"))
+    counts = with_lang(kept, "term", sizes).select("lang", "source", "term", "n", "blocks", F.pmod(F.xxhash64("term"), "slices").alias("slice"))
     upto = lambda name: F.explode(F.sequence(F.lit(0).cast("long"), F.col(name) - 1))
     listed = groups.join(sizes, "lang").select("lang", "source", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), "blocks", upto("slices").alias("slice"))
     told = counts.unionByName(listed).withColumn("block", F.pmod(F.xxhash64("source"), "blocks")).withColumn("other", upto("blocks"))
@@ -165,7 +173,7 @@ def pair_values(kept: DataFrame, totals: DataFrame) -> DataFrame:
     made = histograms(kept, totals)
     one, two = (totals.select("lang", F.col("source").alias(x), F.col("total").alias(f"n{x}"), *(["v"] if x == "a" else [])) for x in "ab")
     # the pairs are what is asked for, one row each; a pair's slices meet by its own key
-    asked = one.join(two, "lang").where("a < b").select("lang", "a", "b", F.lit(None).cast("binary").alias("cells"), "na", "nb", "v")
+    asked = with_lang(one, "a", two).where("a < b").select("lang", "a", "b", F.lit(None).cast("binary").alias("cells"), "na", "nb", "v")
     told = made.join(one, ["lang", "a"]).join(two, ["lang", "b"]).select("lang", "a", "b", "cells", "na", "nb", "v")
 
     def go(key: tuple, rows: pa.Table) -> pa.Table:
@@ -202,9 +210,8 @@ def audit(df: DataFrame, lang: str = "lang", source: str = "source", text: str =
     totals = group_totals(groups, kept)
     pairs = pair_values(kept, totals)
     both = pairs.select("lang", F.col("a").alias("source"), F.col("b").alias("item"), "value").unionByName(pairs.select("lang", F.col("b").alias("source"), F.col("a").alias("item"), "value"))
-    langs = totals.groupBy("lang").agg(F.sum("total").alias("all"))
     p, q = share(F.col("n"), F.col("total"), F.col("v")), share(F.col("n_lang"), F.col("all"), F.col("v"))
-    terms = kept.join(totals, ["lang", "source"]).join(langs, "lang").select("lang", "source", F.col("term").alias("item"), (p - q).alias("value")).where("value > 0")
+    terms = kept.join(totals, ["lang", "source"]).select("lang", "source", F.col("term").alias("item"), (p - q).alias("value")).where("value > 0")
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     first = terms.withColumn("rank", rank).where(F.col("rank") <= top)
     told = both.withColumn("rank", rank).withColumn("part", F.lit("pair")).unionByName(first.withColumn("part", F.lit("term")))
