@@ -14,6 +14,7 @@ from vigilake.llm.quality_ledger import OP7_SQL, op7_quality_rules
 from vigilake.llm.source_divergence import OP11_SQL, op11_source_divergence
 from vigilake.llm.suffix_dedup import OP4_SQL, op4_substring_dedup
 from vigilake.llm.token_count import op2_token_counts
+from vigilake.llm.toxicity import op13_toxicity
 
 QUERIES = {
     "op1_minhash_near_dedup": (op1_minhash_near_dedup, None),
@@ -28,4 +29,5 @@ QUERIES = {
     "op10_chat_format": (op10_chat_format, OP10_SQL),
     "op11_source_divergence": (op11_source_divergence, OP11_SQL),
     "op12_merkle_manifest": (op12_merkle_manifest, OP12_SQL),
+    "op13_toxicity": (op13_toxicity, None),
 }
