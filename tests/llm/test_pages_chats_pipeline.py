@@ -1,6 +1,7 @@
 """Page texts, chats, and the pipeline."""
 
 import random
+import re
 import time
 
 import pytest
@@ -127,8 +128,9 @@ def test_alignment(cells, monkeypatch):
 
 
 def test_chats(spark):
-    hard = ["a<|im_end|>\nb", "<|im_start|>user\nx<|im_end|>\n", "<\\|im_end|> <|x <\\\\|", "<", "<|im_end<|im_end|>|>", "</s>[INST] ok [/INST]", "", None, "plain", "x\\", "<\\", "日本 👩"]
-    rows = [(k, j, "user" if j % 2 == 0 else "assistant", hard[(k + j) % len(hard)], "x") for k in range(12) for j in range(3)]
+    hard = ["a<|im_end|>\nb", "<|im_start|>user\nx<|im_end|>\n", "<\\|im_end|> <|x <\\\\|", "<", "<|im_end<|im_end|>|>", "</s>[INST] ok [/INST]", "", None, "plain", "x\\", "<\\", "日本 👩", "\ufeffmark", "👩<|im_end|>👩"]
+    rows = [(k, j, "user" if j % 2 == 0 else "assistant", hard[(k + j) % len(hard)], "x") for k in range(14) for j in range(3)]
+    rows += [(60, j, "assistant" if j % 3 else "user", f"turn {j} <|im_end|>" * (j % 4), "x") for j in range(3000)] + [(61, 0, "assistant", "long 👩 <|x " * 100_000, "x")]
     rows += [(50, 1, "assistant", "tie", "x"), (50, 1, "assistant", "tie", "x"), (50, None, "us%|er\nz", "first", "x"), (None, None, None, "q", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
     got = {r.conv_id: r for r in chat_grammar.format_chats(df).collect()}
@@ -136,13 +138,16 @@ def test_chats(spark):
         own = sorted(((-1 if t is None else t, r or "", x or "") for c, t, r, x, _ in rows if c == conv))
         assert [(x.role, x.text) for x in got[conv].turns] == [x[1:] for x in own]
         assert got[conv].loss == "".join(x[2] for x in own if x[1] == "assistant")
+        spans = [(x.start, x.end) for x in got[conv].mask]
+        pieces = [got[conv].formatted[a:b] for a, b in spans]
+        assert [re.sub(r"<\\(\\*)\|", r"<\1|", x) for x in pieces] == [x[2] for x in own if x[1] == "assistant"] and spans == sorted(spans)
         assert got[conv].formatted.count(chat_grammar.START) == len(own) == got[conv].formatted.count(chat_grammar.END)
     assert chat_grammar.format_chats(df.limit(0)).count() == 0
 
 
 def test_names():
     numbers = sorted(int(name[2:].split("_")[0]) for name in queries.QUERIES)
-    assert numbers == list(range(1, 11)) and [f.__name__ for _, f in corpus_pipeline.STAGES] == [f.__name__ for _, f in corpus_pipeline.STAGES]
+    assert numbers == list(range(1, 14)) and [f.__name__ for _, f in corpus_pipeline.STAGES] == [f.__name__ for _, f in corpus_pipeline.STAGES]
 
 
 def test_pipeline(spark, tmp_path):

@@ -18,13 +18,13 @@ string, so all its turns meet in one task; no other grouping is done.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilake.llm.common import table
 
 START, END = "<|im_start|>", "<|im_end|>"
-LOSS_ROLE = "assistant"
+LOSS_ROLE, WIDE = "assistant", "UTF-32"
 
 
 def escape(text: Column) -> Column:
@@ -60,8 +60,21 @@ def parse(formatted: Column) -> Column:
     return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), turn)
 
 
+def slices(text: Column, spans: Column) -> Column:
+    """The pieces of a text at (start, end), in code points. Four bytes each, so that a piece is cut out without reading what stands before it.
+
+    A letter goes before each piece while it is decoded, as a U+FEFF at its start would be taken for a mark of the byte order.
+    """
+    first = F.encode(F.lit("x"), WIDE)
+    cut = lambda wide, x: F.substring(F.decode(F.concat(first, F.substring(wide, x.start.cast("int") * 4 + 1, (x.end - x.start).cast("int") * 4)), WIDE), 2, 2**31 - 1)
+    return F.transform(F.array(F.encode(text, WIDE)), lambda wide: F.transform(spans, lambda x: cut(wide, x)))[0]
+
+
 def format_chats(df: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """(conv, formatted, turns: array<struct<role, text>> read back, loss: the text under the loss mask, read back, n_escaped)."""
+    """(conv, formatted, turns: array<struct<role, text>> read back, mask: array<struct<start, end>>, loss, n_escaped).
+
+    mask: where the assistant's texts stand in `formatted`, in code points from 0, `end` excluded; each such turn has an entry, an empty text too. loss: what `formatted` has there, unescaped.
+    """
     source = df.select(
         F.col(f"`{conv_col}`").alias("conv"), F.col(f"`{turn_col}`").alias("turn"),
         F.coalesce(F.col(f"`{role_col}`").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"),
@@ -69,17 +82,21 @@ def format_chats(df: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "t
     plain = render(coded(F.col("role")), F.col("text"))
     same = F.coalesce(parse(plain) == F.array(F.struct("role", "text", F.lit(True).alias("whole"))), F.lit(False))
     rows = source.withColumn("same", same).withColumn("made", F.when(F.col("same"), plain).otherwise(render(coded(F.col("role")), escape(F.col("text")))))
+    before = Window.partitionBy("conv").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.coalesce(F.sum(F.length("made")).over(before), F.lit(0)) + F.length(F.concat(F.lit(START), coded(F.col("role")))) + 1
+    end = start + F.length("made") - F.length(render(coded(F.col("role")), F.lit("")))
+    rows = rows.withColumns({"start": start.cast("long"), "end": end.cast("long")})
     chats = rows.groupBy("conv").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "role", "text", "made"))).alias("source"), F.count_if(~F.col("same")).alias("n_escaped")
+        F.sort_array(F.collect_list(F.struct("turn", "role", "text", "made", "start", "end"))).alias("source"), F.count_if(~F.col("same")).alias("n_escaped")
     )
-    out = chats.select("conv", "n_escaped", "source", F.array_join(F.col("source.made"), "").alias("formatted")).withColumn("parsed", parse(F.col("formatted")))
+    mask = F.transform(F.filter("source", lambda x: x.role == LOSS_ROLE), lambda x: F.struct(x.start.alias("start"), x.end.alias("end")))
+    out = chats.select("conv", "n_escaped", "source", mask.alias("mask"), F.array_join(F.col("source.made"), "").alias("formatted")).withColumn("parsed", parse(F.col("formatted")))
     wanted = F.transform("source", lambda x: F.struct(x.role.alias("role"), x.text.alias("text"), F.lit(True).alias("whole")))
     turns = F.when(F.col("parsed") == wanted, F.transform("parsed", lambda x: F.struct(x.role.alias("role"), x.text.alias("text")))).otherwise(
         F.raise_error(F.lit("a conversation doesn't survive its round trip"))
     )
-    out = out.select(F.col("conv").alias(conv_col), "formatted", turns.alias("turns"), "n_escaped")
-    loss = F.array_join(F.transform(F.filter("turns", lambda x: x.role == LOSS_ROLE), lambda x: x.text), "")
-    return out.withColumn("loss", loss)
+    loss = F.array_join(F.transform(slices(F.col("formatted"), F.col("mask")), unescape), "")
+    return out.select(F.col("conv").alias(conv_col), "formatted", turns.alias("turns"), "mask", loss.alias("loss"), "n_escaped")
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
