@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from vigilake.checkpoints import shared_checkpoint
 from vigilake.functions.times import micros
+from vigilake.sources import commits
 
 MAX_ATTEMPTS, STALE_SECONDS = 3, 1800
 RESERVED_FRACTION, MAX_SHARE = 0.4, 0.7
@@ -73,7 +75,7 @@ def next_per_tier(queue: DataFrame) -> DataFrame:
 
 
 def claim(queue: DataFrame, ids: DataFrame, token: str, as_of: Column) -> DataFrame:
-    """The queue after pending rows among the ids are claimed; attempts grow with the claim. One writer."""
+    """The queue after pending rows among the ids are claimed; attempts grow with the claim. One writer; for several there is claim_rows()."""
     taken = ids.select("id").distinct().withColumn("taken", F.lit(True))
     now = F.coalesce("taken", F.lit(False)) & (F.col("status") == "pending")
     marked = queue.join(taken, "id", "left")
@@ -84,6 +86,47 @@ def claim(queue: DataFrame, ids: DataFrame, token: str, as_of: Column) -> DataFr
     return marked.withColumns(changes).drop("taken")
 
 
+CLAIM_ROWS = "id long, ecosystem string, priority string, enqueued_at timestamp_ntz, status string, attempts int, claim_token string, claimed_at timestamp_ntz"
+
+
+def first_waiting(queue: DataFrame, most: int) -> DataFrame:
+    """The `most` pending rows that are claimed next: by priority, then the oldest. A limit under an order, so a task hands on that many rows at most."""
+    return queue.where("status = 'pending'").orderBy(priority_rank(F.col("priority")), "enqueued_at", "id").limit(most)
+
+
+def claim_rows(spark: SparkSession, root: str, token: str, most: int, as_of: Column, tries: int = 20, meanwhile: Callable[[int], None] | None = None) -> int:
+    """Claim up to `most` pending rows of a committed queue (CLAIM_ROWS) for a worker; the version that has the claim.
+
+    Compare-and-set: the claim is decided on a version of the table and published only if no other change was published since; else it is decided anew, so a row is never claimed
+    twice, whatever the number of workers. Only claimed rows are written. `meanwhile`, for tests, is called between decision and publication.
+    """
+
+    def decide(base: int) -> DataFrame:
+        taken = first_waiting(commits.current(commits.read(spark, root, CLAIM_ROWS, base), "id"), most)
+        if meanwhile:
+            meanwhile(base)
+        return taken.withColumns({"status": F.lit("claimed"), "attempts": F.col("attempts") + 1, "claim_token": F.lit(token), "claimed_at": as_of.cast("timestamp_ntz")})
+
+    return commits.attempted(root, decide, tries, note=token)
+
+
+def settle_rows(spark: SparkSession, root: str, token: str, status: str, tries: int = 20) -> int:
+    """Rows of a claim become done or failed, if the claim still holds: one that went stale and was claimed by another worker is left alone."""
+    own = lambda base: commits.current(commits.read(spark, root, CLAIM_ROWS, base), "id").where((F.col("claim_token") == token) & (F.col("status") == "claimed"))
+    return commits.attempted(root, lambda base: own(base).withColumn("status", F.lit(status)), tries, note=f"{status} {token}")
+
+
+def release_stale(spark: SparkSession, root: str, as_of: Column, seconds: int = STALE_SECONDS, max_attempts: int = MAX_ATTEMPTS, tries: int = 20) -> int:
+    """stale_claims() of a committed queue, published in the same way; the claim's token goes."""
+
+    def decide(base: int) -> DataFrame:
+        held = commits.current(commits.read(spark, root, CLAIM_ROWS, base), "id")
+        told = held.drop("status").join(stale_claims(held, as_of.cast("timestamp_ntz"), seconds, max_attempts).drop("last_error"), "id")
+        return told.withColumn("claim_token", F.lit(None).cast("string")).select(*held.columns)
+
+    return commits.attempted(root, decide, tries, note="stale")
+
+
 def placed(rows: DataFrame, group: list, order: list, name: str = "place") -> DataFrame:
     """Rows with their place in the order of their group, from 1.
 

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigilake.checkpoints import shared_folder
 from vigilake.functions import text as T
 from vigilake.functions import times
 from vigilake.operators import campaign, gates, history, hooks, metadata, queue, reports, trace
 from vigilake.plans import adapters as A
 from vigilake.plans.registry import query
-from vigilake.sources import feeds
+from vigilake.sources import commits, feeds
 
 AS_OF = f"TIMESTAMP '{A.AS_OF}'"
 
@@ -360,3 +363,40 @@ def swept_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = A.scans(spark, sf_dir)
     bad = scans.where("llm_verdict = 'malicious'").select("ecosystem", "maintainer", "name").distinct()
     return campaign.clean_siblings(bad, scans.select("ecosystem", "maintainer", "name").distinct(), bad)
+
+
+# --- claims ----------------------------------------------------------------------------------------------------------
+
+#: Rows that a worker takes in a round; rounds; every second round another worker publishes in between.
+CLAIMED, CLAIM_ROUNDS = 400, 4
+
+
+@query(
+    "claim_rounds",
+    "WITH "
+    + A.QUEUE
+    + f""", n AS (SELECT *, row_number() OVER (PARTITION BY status ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END, enqueued_at, id) AS place FROM queue),
+    t AS (SELECT id, ecosystem, status, attempts, status = 'pending' AND place <= {CLAIMED} * {CLAIM_ROUNDS} AS took, (place - 1) // {CLAIMED} AS round FROM n)
+    SELECT id, ecosystem, CASE WHEN NOT took THEN status WHEN round = 0 THEN 'done' ELSE 'claimed' END AS status, (attempts + took::INT)::INT AS attempts,
+    CASE WHEN took THEN 'worker' || ['0', 'x', '2', '3'][round + 1] END AS claim_token FROM t""",
+)
+def claim_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The queue after rounds of claims by workers that race: in the second round one publishes while another decides, which then decides again. The first worker's claim is settled.
+
+    The queue is a committed table in the shared folder; every claim goes through its sink."""
+    root = f"{shared_folder(spark)}/queue-{uuid.uuid4().hex}"
+    held = A.queue(spark, sf_dir).withColumns({"claim_token": F.lit(None).cast("string"), "claimed_at": F.lit(None).cast("timestamp_ntz")})
+    commits.write(held.select(*(x.split()[0] for x in queue.CLAIM_ROWS.split(", "))), root, -1)
+    now = A.as_of()
+    queue.claim_rows(spark, root, "worker0", CLAIMED, now)
+    raced: list[int] = []
+
+    def other(base: int) -> None:
+        if not raced:
+            raced.append(base)
+            queue.claim_rows(spark, root, "workerx", CLAIMED, now)
+
+    queue.claim_rows(spark, root, "worker2", CLAIMED, now, meanwhile=other)
+    queue.settle_rows(spark, root, "worker0", "done")
+    queue.claim_rows(spark, root, "worker3", CLAIMED, now)
+    return commits.current(commits.read(spark, root, queue.CLAIM_ROWS), "id").select("id", "ecosystem", "status", "attempts", "claim_token")
