@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vigilake.functions import fuzzy, segments, text, times
-from vigilake.operators import campaign, gates, history, matching, queue, reports, scoring, trace
+from vigilake.operators import campaign, gates, history, limits, matching, queue, reports, scoring, trace
 from vigilake.sources import archives, feeds, tables
 from vigilake.streaming import ingest
 
@@ -207,7 +207,7 @@ def test_admitted_against_brute_force(spark):
             near = [x for x in held.get(key, ()) if (at - x).total_seconds() < 1800 + closed]
             want[k] = len(near) < limit
             held[key] = [*near, at] if want[k] else near
-        assert {r.id: r.allowed for r in queue.admitted(df, ["key"], "at", "id", 1800, limit, closed).collect()} == want
+        assert {r.id: r.allowed for r in limits.admitted(df, ["key"], "at", "id", 1800, limit, closed).collect()} == want
 
 
 def test_places(spark):

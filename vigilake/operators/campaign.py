@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilake.intel import SENTINEL_RANK
-from vigilake.operators.queue import admitted
+from vigilake.operators.limits import admitted
 
 # Limits of the maintainer sweep and of promotions.
 MOST_PACKAGES, CORRELATED, CORRELATION_DAYS, DEDUP_SECONDS, ADDS_PER_HOUR = 100, 2, 30, 3600, 100

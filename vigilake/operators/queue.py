@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StructField, StructType
 
 from vigilake.checkpoints import shared_checkpoint
 from vigilake.functions.times import micros
@@ -200,52 +198,6 @@ def hold_back(changes: DataFrame, unresolved: DataFrame, attempts: int = 5) -> D
     return top.crossJoin(held).select(F.least(F.col("held") - 1, "top").alias("cursor"))  # two single rows
 
 
-def trailing_counts(events: DataFrame, key: str, at: str, seconds: int) -> DataFrame:
-    """(…, n): how many events of the key, this one included, fall in the trailing window."""
-    window = Window.partitionBy(key).orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("_at", micros(F.col(at))).withColumn("n", F.count("*").over(window)).drop("_at")
-
-
-def admitted(events: DataFrame, keys: list[str], at: str, tie: str, seconds: int, limit: int, closed: bool = True) -> DataFrame:
-    """(…, allowed): events in the order of time, refused while `limit` admitted ones of their key lie in the trailing window. Refused ones don't count.
-
-    Whether an event is admitted hangs on all before it, so each key is read in order; the state is the last `limit` times, so a key of any length takes constant
-    memory. `closed`: whether an admitted event exactly `seconds` ago still counts. A limit of 0 admits nothing.
-    """
-    import pyarrow as pa
-
-    given = events.withColumns({"_key": F.to_json(F.struct(*(F.lower(F.col(x).cast("string")).alias(f"k{n}") for n, x in enumerate(keys)))), "_at": micros(F.col(at))})
-    sent = given.repartition("_key").sortWithinPartitions("_key", "_at", tie)
-    span = seconds * 1_000_000
-
-    def go(batches):
-        now, times = None, deque()
-        for batch in batches:
-            n, allowed = batch.num_columns, []
-            for key, when in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist(), strict=True):
-                if key != now:
-                    now, times = key, deque()
-                if when is None:  # without a time nothing can be counted
-                    allowed.append(False)
-                    continue
-                while times and (when - times[0] > span or not closed and when - times[0] == span):
-                    times.popleft()
-                allowed.append(len(times) < limit)
-                if allowed[-1]:
-                    times.append(when)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(allowed, pa.bool_())], names=[*batch.schema.names[: n - 2], "allowed"])
-
-    return sent.mapInArrow(go, StructType([*events.schema.fields, StructField("allowed", BooleanType())]))
-
-
-def spend_blocked(calls: DataFrame, at: str, cost: str, seconds: int = 3600, most_cost: float = 20.0, most_calls: int = 1000, key: str = "model") -> DataFrame:
-    """Calls by whether cost or number in the hour before them had used up the budget."""
-    window = Window.partitionBy(key).orderBy("_at").rangeBetween(-seconds * 1_000_000, -1)
-    told = calls.withColumn("_at", micros(F.col(at)))
-    spent = F.coalesce(F.sum(cost).over(window), F.lit(0.0))
-    return told.withColumn("blocked", (spent >= most_cost) | (F.count("*").over(window) >= most_calls)).drop("_at")
-
-
 def candidate_batch(backlog: DataFrame, fresh: DataFrame, quota: int, overflow: int = 5000) -> DataFrame:
     """(name, seq, action) of one poll's candidates: up to half the quota from the backlog, oldest first, the rest fresh; what is left is carried over, the newest `overflow` at most."""
     both = backlog.select("name", "seq", F.lit(0).alias("kind")).unionByName(fresh.select("name", "seq", F.lit(1).alias("kind")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vigilake.functions import text as T
 from vigilake.intel import BASELINE, SENTINEL_RANK, SHADOW_PREFIX
-from vigilake.operators import campaign, gates, history, matching, queue, reports, scoring, trace
+from vigilake.operators import campaign, gates, history, limits, matching, queue, reports, scoring, trace
 from vigilake.plans import adapters as A
 from vigilake.plans import details  # noqa: F401  (registers its queries)
 from vigilake.plans.registry import query
@@ -232,13 +232,20 @@ def watchlist_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT event_id, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW)",
 )
 def trailing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queue.trailing_counts(A.read(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "event_type", "ts", 3600).select("event_id", "n")
+    return limits.trailing_counts(A.read(spark, sf_dir, "events").select("event_id", "event_type", "ts"), "event_type", "ts", 3600).select("event_id", "n")
 
 
-@query("trailing_rate_limit")
+@query(
+    "trailing_rate_limit",
+    """WITH RECURSIVE e AS (SELECT event_id, lower(event_type) AS k, epoch_us(ts) AS t, row_number() OVER (PARTITION BY lower(event_type) ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT k, 0::BIGINT AS n, NULL::BIGINT AS event_id, false AS allowed, []::BIGINT[] AS held FROM (SELECT DISTINCT k FROM e)
+      UNION ALL SELECT k, n, event_id, len(h) < 20, CASE WHEN len(h) < 20 THEN list_append(h, t) ELSE h END
+      FROM (SELECT e.*, list_filter(r.held, lambda x: e.t - x <= 3600000000) AS h FROM r JOIN e ON e.k = r.k AND e.n = r.n + 1))
+    SELECT event_id, allowed FROM r WHERE n > 0""",
+)
 def trailing_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a limit of 20 an hour admits. No SQL twin: each decision hangs on those before; a brute-force version is in the tests."""
-    return queue.admitted(A.read(spark, sf_dir, "events").select("event_id", "event_type", "ts"), ["event_type"], "ts", "event_id", 3600, 20).select("event_id", "allowed")
+    """What a limit of 20 an hour admits; the SQL twin decides event by event."""
+    return limits.admitted(A.read(spark, sf_dir, "events").select("event_id", "event_type", "ts"), ["event_type"], "ts", "event_id", 3600, 20).select("event_id", "allowed")
 
 
 @query(
@@ -248,7 +255,7 @@ def trailing_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def spend_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls = A.read(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("model"), "ts", (F.col("event_id") % 37).cast("double").alias("cost"))
-    return queue.spend_blocked(calls, "ts", "cost", most_cost=300.0).select("event_id", "blocked")
+    return limits.spend_blocked(calls, "ts", "cost", most_cost=300.0).select("event_id", "blocked")
 
 
 @query(

@@ -13,7 +13,7 @@ from vigilake.functions import times
 from vigilake.operators import campaign, gates, history, hooks, metadata, queue, reports, trace
 from vigilake.plans import adapters as A
 from vigilake.plans.registry import query
-from vigilake.sources import commits, feeds
+from vigilake.sources import changes, commits, feeds
 
 AS_OF = f"TIMESTAMP '{A.AS_OF}'"
 
@@ -400,3 +400,21 @@ def claim_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue.settle_rows(spark, root, "worker0", "done")
     queue.claim_rows(spark, root, "worker3", CLAIMED, now)
     return commits.current(commits.read(spark, root, queue.CLAIM_ROWS), "id").select("id", "ecosystem", "status", "attempts", "claim_token")
+
+
+# --- the log of changes ----------------------------------------------------------------------------------------------
+
+
+@query(
+    "change_log_names",
+    """SELECT name, max(seq) AS seq FROM (SELECT o_orderkey AS seq, CASE WHEN o_custkey % 17 = 0 THEN '_design/' ELSE '' END || 'pkg' || o_custkey AS name, o_orderkey % 13 = 0 AS gone FROM orders)
+    WHERE NOT gone AND name NOT LIKE '\\_design/%' ESCAPE '\\' AND seq > 100 GROUP BY name""",
+)
+def change_log_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of a registry's log after a cursor, each with its newest number: the log is written as pages to the shared folder and read through the source that streams use, too."""
+    root = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    name = said("CASE WHEN o_custkey % 17 = 0 THEN '_design/' ELSE '' END", "'pkg'", "o_custkey")
+    value = F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("seq"), name.alias("id"), (F.col("o_orderkey") % 13 == 0).alias("deleted")))
+    changes.write_pages(A.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), value.alias("value")), root, 5000)
+    rows = changes.changes(spark, root, since=100).select(F.from_json("value", "seq string, id string, deleted boolean").alias("x")).select("x.*")
+    return feeds.npm_changes(rows)
