@@ -14,6 +14,7 @@ from vigilake.operators import campaign, gates, history, hooks, metadata, queue,
 from vigilake.plans import adapters as A
 from vigilake.plans.registry import query
 from vigilake.sources import changes, commits, feeds
+from vigilake.streaming import stateful
 
 AS_OF = f"TIMESTAMP '{A.AS_OF}'"
 
@@ -418,3 +419,21 @@ def change_log_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes.write_pages(A.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), value.alias("value")), root, 5000)
     rows = changes.changes(spark, root, since=100).select(F.from_json("value", "seq string, id string, deleted boolean").alias("x")).select("x.*")
     return feeds.npm_changes(rows)
+
+
+@query(
+    "held_poll_cursors",
+    """WITH n AS (SELECT ['pypi', 'npm', 'gomod', 'crates'][(o_custkey % 4 + 1)::INT] AS feed, o_orderkey % 12 + 1 AS poll, 'pkg' || o_custkey AS name, max(o_orderkey) AS seq, bool_or(o_orderstatus <> 'F') AS resolved
+      FROM orders GROUP BY ALL),
+    r AS (SELECT *, (SELECT max(poll) FROM n b WHERE b.feed = n.feed AND b.name = n.name AND b.resolved AND b.poll < n.poll) AS since FROM n),
+    t AS (SELECT *, (SELECT count(*) FROM n b WHERE b.feed = r.feed AND b.name = r.name AND b.poll <= r.poll AND b.poll > coalesce(r.since, 0)) AS tries FROM r),
+    p AS (SELECT feed, poll, least(max(seq), min(seq) FILTER (NOT resolved AND tries % 2 <> 0) - 1) AS safe FROM t GROUP BY ALL)
+    SELECT feed, poll, max(safe) OVER (PARTITION BY feed ORDER BY poll) AS cursor FROM p""",
+)
+def held_poll_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cursors of polls, held before names that couldn't be resolved for less than two polls in a row; the batch form of a stream's state."""
+    orders = A.read(spark, sf_dir, "orders")
+    names = orders.select(A.ecosystem("o_custkey").alias("feed"), (F.col("o_orderkey") % 12 + 1).alias("poll"), said("'pkg'", "o_custkey").alias("name"), "o_orderkey", (F.col("o_orderstatus") != "F").alias("ok"))
+    names = names.groupBy("feed", "poll", "name").agg(F.max("o_orderkey").alias("seq"), F.bool_or("ok").alias("resolved"))
+    ends = names.groupBy("feed", "poll").agg(F.max("seq").alias("seq"), F.count("*").cast("int").alias("size")).withColumns({"name": F.lit(None).cast("string"), "resolved": F.lit(None).cast("boolean")})
+    return stateful.held_polls(names.unionByName(ends, allowMissingColumns=True), 2)
