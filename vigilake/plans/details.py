@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vigilake.checkpoints import shared_folder
 from vigilake.functions import text as T
 from vigilake.functions import times
-from vigilake.operators import campaign, gates, history, hooks, metadata, queue, reports, trace
+from vigilake.operators import campaign, closure, gates, history, hooks, metadata, queue, reports, trace
 from vigilake.plans import adapters as A
 from vigilake.plans.registry import query
 from vigilake.sources import changes, commits, feeds
@@ -437,3 +437,22 @@ def held_poll_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = names.groupBy("feed", "poll", "name").agg(F.max("o_orderkey").alias("seq"), F.bool_or("ok").alias("resolved"))
     ends = names.groupBy("feed", "poll").agg(F.max("seq").alias("seq"), F.count("*").cast("int").alias("size")).withColumns({"name": F.lit(None).cast("string"), "resolved": F.lit(None).cast("boolean")})
     return stateful.held_polls(names.unionByName(ends, allowMissingColumns=True), 2)
+
+
+@query(
+    "npm_hook_closure",
+    """WITH RECURSIVE l AS (SELECT l_orderkey AS scan_id, l_linenumber AS n, max(l_partkey) AS part FROM lineitem GROUP BY ALL),
+    e AS (SELECT scan_id, n, part % 7 + 1 AS m FROM l UNION SELECT scan_id, n, (part // 7) % 7 + 1 FROM l WHERE part % 3 = 0),
+    r AS (SELECT scan_id, n FROM l WHERE n = 1 UNION SELECT e.scan_id, e.m FROM r JOIN e USING (scan_id, n) JOIN l ON l.scan_id = e.scan_id AND l.n = e.m)
+    SELECT scan_id, CASE WHEN n % 2 = 0 THEN 'pkg/d' || n || '/index.js' ELSE 'pkg/f' || n || '.js' END AS path FROM r""",
+)
+def npm_hook_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that an install hook reaches through what they load; files of an order are its lines, which load one or two others, by name, with a suffix or by folder."""
+    lines = A.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("scan_id"), F.col("l_linenumber").alias("n")).agg(F.max("l_partkey").alias("part"))
+    name = lambda n: F.when(F.expr(f"({n}) % 2 = 0"), said("'d'", n)).when(F.col("part") % 2 == 0, said("'f'", n)).otherwise(said("'f'", n, "'.js'"))
+    up = F.when(F.col("n") % 2 == 0, "../").otherwise("./")
+    text = F.concat(F.lit("const a = require('"), up, name("part % 7 + 1"), F.lit("');"), F.when(F.col("part") % 3 == 0, F.concat(F.lit(' import b from "'), up, name("(part div 7) % 7 + 1"), F.lit('";'))).otherwise(""))
+    path = F.when(F.col("n") % 2 == 0, said("'pkg/d'", "n", "'/index.js'")).otherwise(said("'pkg/f'", "n", "'.js'"))
+    files = lines.select("scan_id", path.alias("path"), text.alias("text"))
+    started = lines.select("scan_id").distinct().select("scan_id", F.lit("pkg/").alias("root"), F.lit("postinstall").alias("hook"), F.lit("node f1 && echo done").alias("command"))
+    return closure.hook_closure(started, files).select("scan_id", "path")
