@@ -87,7 +87,7 @@ def test_signatures(spark):
         (4, "other.rs", b"reqwest Command::new"), (5, "a.py", b"exec(base64.b64decode (x))"), (6, "x.png", b"exec(base64.b64decode(x))"), (7, "z", None),
     ]
     got = {}
-    for r in signature_findings(spark.createDataFrame(rows, "scan_id long, path string, content binary"), parse(BUILT_IN)).collect():
+    for r in signature_findings(spark.createDataFrame(rows, "scan_id long, path string, content binary"), BUILT_IN).collect():
         got.setdefault(r.scan_id, set()).add(r.rule_id)
     assert got == {1: {"yara.reverse_shell_pattern"}, 3: {"yara.rust_buildrs_network_exec"}, 5: {"yara.base64_exec_chain"}}
     told = parse('rule x { meta: severity = "low"\n strings: $a = "one" nocase $b = /t(w|v)o/ $c = "3" fullword\n condition: (2 of ($a, $b) or not $c) and filesize < 1KB\n}')
@@ -108,7 +108,7 @@ def test_long_literals(spark):
     assert {(0, "obfuscation.charcode_eval"), (4, "iocs.llm_injection_phrase"), (6, "crates.build_rs_encoded_payload")} <= got
     looping = parse('rule x {\n strings: $a = /(?:[a-z0-9]+,\\s*)*end/ $b = /(?:ab|c)+d/\n condition: any of them\n}')
     contents = spark.createDataFrame([(1, "a.js", b"12, " * (n // 4) + b"end"), (2, "b.js", b"abc" * (n // 4) + b"d"), (3, "c.js", b"plain")], "scan_id long, path string, content binary")
-    assert {r.scan_id for r in signature_findings(contents, looping + parse(BUILT_IN)).collect()} == {1, 2}
+    assert {r.scan_id for r in signature_findings(contents, looping + BUILT_IN).collect()} == {1, 2}
 
 
 def test_decoding(spark):

@@ -1,6 +1,6 @@
 """Content signatures, compiled to columns.
 
-A signature is text: a name, a severity, named strings (plain, or /patterns/ with flags), and a condition over them. Strings become boolean
+Those that come with the engine are thresholds (thresholds.py). Those of a directory are text: a name, a severity, named strings (plain, or /patterns/ with flags), and a condition over them. Strings become boolean
 columns of the content read as Latin-1, conditions boolean algebra: "all of them", "any of ($a*)", "2 of ($x*)", and, or, not,
 filesize < 5KB, filename matches /.../. So a directory of signatures is one pass over the files, inside code generation.
 
@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilake.operators.signature_values import SIGNATURES
+from vigilake.operators.thresholds import Threshold
 
 HEADER = re.compile(r"rule\s+(\w+)[^{]*\{(.*?)\n\}", re.S)
 STRING = re.compile(r"\$(\w*)\s*=\s*(?:\"((?:[^\"\\]|\\.)*)\"|/((?:[^/\\\n]|\\.)+)/([is]*))((?:\s+(?:ascii|wide|nocase|fullword))*)")
@@ -171,7 +172,7 @@ class Compiler:
 MEDIA = r"(?i)\.(?:png|jpe?g|gif|webp|ico|svg|woff2?|ttf|otf|eot|mp[34]|wav|ogg|webm|pdf)$"
 
 
-def signature_findings(files: DataFrame, signatures: list[Signature], most_bytes: int = 5 << 20) -> DataFrame:
+def signature_findings(files: DataFrame, signatures: list[Signature | Threshold], most_bytes: int = 5 << 20) -> DataFrame:
     """(scan_id, rule_id, category, severity, confidence, file, evidence) of rows (scan_id, path, content)."""
     content, size = F.decode("content", "ISO-8859-1"), F.octet_length("content")
     some = files.where(~F.col("path").rlike(MEDIA) & (size <= most_bytes))
@@ -181,7 +182,7 @@ def signature_findings(files: DataFrame, signatures: list[Signature], most_bytes
     known = {x: F.col("_matched")[k] for k, x in enumerate(slow)}
     hits = [
         F.when(
-            Compiler(s, content, size, F.col("path"), known).column(),
+            s.column(content, size, F.col("path"), known) if isinstance(s, Threshold) else Compiler(s, content, size, F.col("path"), known).column(),
             F.struct(F.lit(f"yara.{s.name}").alias("rule_id"), F.lit(s.severity).alias("severity"), F.lit(s.confidence).alias("confidence"), F.lit(", ".join(list(s.strings)[:3])).alias("evidence")),
         )
         for s in signatures

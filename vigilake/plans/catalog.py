@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from vigilake.functions import text as T
 from vigilake.intel import BASELINE, SENTINEL_RANK, SHADOW_PREFIX
 from vigilake.operators import campaign, gates, history, limits, matching, queue, reports, scoring, trace
+from vigilake.operators.signatures import BUILT_IN, MEDIA, signature_findings
+from vigilake.operators.thresholds import as_sql
 from vigilake.plans import adapters as A
 from vigilake.plans import details  # noqa: F401  (registers its queries)
 from vigilake.plans.registry import query
@@ -683,12 +685,24 @@ def static_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return static_findings(_sources(spark, sf_dir))
 
 
-@query("content_signatures")
-def content_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The built-in signatures. No SQL twin; goldens in the tests."""
-    from vigilake.operators.signatures import BUILT_IN, parse, signature_findings
+def _sources_sql() -> str:
+    """_sources() as a common table expression."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    ecosystems, paths, lines = (f"[{', '.join(map(quoted, x))}]" for x in ([x for x, _ in PLACES], [x for _, x in PLACES], LINES))
+    return f"""sources AS (SELECT doc_id AS scan_id, {ecosystems}[(doc_id % {len(PLACES)} + 1)::INT] AS ecosystem, {paths}[(doc_id % {len(PLACES)} + 1)::INT] AS path,
+    concat_ws(chr(10), text, {lines}[(doc_id % {len(LINES)} + 1)::INT]) AS text FROM documents UNION ALL SELECT -page_id - 1, 'npm', 'lib/page.js', concat_ws(chr(10), url, html) FROM pages)"""
+
+
+def _signature_sql() -> str:
+    each = " UNION ALL ".join(f"SELECT scan_id, 'yara.{x.name}' AS rule_id, '{x.severity}' AS severity, '{x.confidence}' AS confidence, path AS file FROM small WHERE {as_sql(x, 'text', 'path')}" for x in BUILT_IN)
+    return f"WITH {_sources_sql()}, small AS (SELECT * FROM sources WHERE NOT regexp_matches(path, '{MEDIA}') AND octet_length(encode(text)) <= {5 << 20}) {each}"
 
-    return signature_findings(_sources(spark, sf_dir).select("scan_id", "path", F.col("text").cast("binary").alias("content")), parse(BUILT_IN))
+
+@query("content_signatures", _signature_sql())
+def content_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The built-in signatures; the SQL twin is made of the same table of thresholds, for another engine's expressions."""
+    told = signature_findings(_sources(spark, sf_dir).select("scan_id", "path", F.col("text").cast("binary").alias("content")), BUILT_IN)
+    return told.select("scan_id", "rule_id", "severity", "confidence", "file")
 
 
 @query("hidden_layers")
