@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vigilake.checkpoints import shared_folder
 from vigilake.functions import text as T
 from vigilake.functions import times
-from vigilake.operators import campaign, closure, gates, history, hooks, metadata, queue, reports, trace
+from vigilake.operators import budget, campaign, closure, gates, history, hooks, metadata, networks, queue, reports, trace
 from vigilake.plans import adapters as A
 from vigilake.plans.registry import query
 from vigilake.sources import changes, commits, feeds
@@ -456,3 +456,40 @@ def npm_hook_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = lines.select("scan_id", path.alias("path"), text.alias("text"))
     started = lines.select("scan_id").distinct().select("scan_id", F.lit("pkg/").alias("root"), F.lit("postinstall").alias("hook"), F.lit("node f1 && echo done").alias("command"))
     return closure.hook_closure(started, files).select("scan_id", "path")
+
+
+# --- budgets and networks --------------------------------------------------------------------------------------------
+
+
+@query(
+    "reserved_budget",
+    """WITH RECURSIVE p AS (SELECT doc_id % 50 AS scan_id, 'f' || doc_id AS path, doc_id % 7 = 0 AS entry, least(length(coalesce(text, '')), CASE WHEN doc_id % 7 = 0 THEN 800 ELSE 1200 END)::BIGINT AS n,
+      row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id % 7 <> 0, doc_id % 3, 'f' || doc_id) AS place FROM documents),
+    r AS (SELECT scan_id, 0::BIGINT AS place, '' AS path, false AS entry, 0::BIGINT AS length, 0::BIGINT AS used FROM (SELECT DISTINCT scan_id FROM p)
+      UNION ALL SELECT scan_id, place, path, entry, got, used + got FROM (SELECT p.scan_id, p.place, p.path, p.entry, r.used,
+        CASE WHEN p.entry AND r.used + n <= 1600 OR NOT p.entry AND r.used + n <= 4800 THEN n WHEN NOT p.entry AND 4800 - r.used > 200 THEN 4800 - r.used ELSE 0 END AS got
+        FROM r JOIN p ON p.scan_id = r.scan_id AND p.place = r.place + 1))
+    SELECT scan_id, path, entry, length FROM r WHERE length > 0""",
+)
+def reserved_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = A.read(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("scan_id"), said("'f'", "doc_id").alias("path"), (F.col("doc_id") % 7 == 0).alias("entry"), (F.col("doc_id") % 3).alias("priority"), "text")
+    return budget.reserved_budget(pieces, 4800, 1600, 1200, 800)
+
+
+@query(
+    "network_of_address",
+    """WITH a AS (SELECT DISTINCT event_id % 3 = 0 AS six, user_id % 256 AS x, event_id % 256 AS y FROM events),
+    n AS (SELECT DISTINCT s_suppkey % 256 AS x, s_suppkey % 7 = 0 AS narrow FROM supplier),
+    m AS (SELECT a.*, n.narrow FROM a JOIN n ON a.x = n.x AND (NOT n.narrow OR a.y >= 128 AND NOT six OR six AND y < 16))
+    SELECT CASE WHEN six THEN 'fd00:' || printf('%x', x) || '::' || printf('%x', y) ELSE '93.' || x || '.7.' || y END AS addr, max(CASE WHEN six THEN CASE WHEN narrow THEN 124 ELSE 32 END ELSE CASE WHEN narrow THEN 25 ELSE 16 END END)::INT AS size FROM m GROUP BY six, x, y""",
+)
+def network_of_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The narrowest network of each address that a trace connects to, IPv4 and IPv6; networks come from a table."""
+    hexed = lambda c: F.lower(F.hex(F.expr(c)))
+    six = F.concat(F.lit("fd00:"), hexed("user_id % 256"), F.lit("::"), hexed("event_id % 256"))
+    events = A.read(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 == 0, six).otherwise(said("'93.'", "user_id % 256", "'.7.'", "event_id % 256")).alias("addr"))
+    narrow = F.col("s_suppkey") % 7 == 0
+    four_net = F.when(narrow, said("'93.'", "s_suppkey % 256", "'.7.128/25'")).otherwise(said("'93.'", "s_suppkey % 256", "'.0.0/16'"))
+    six_net = F.when(narrow, F.concat(F.lit("fd00:"), hexed("s_suppkey % 256"), F.lit("::/124"))).otherwise(F.concat(F.lit("fd00:"), hexed("s_suppkey % 256"), F.lit("::/32")))
+    nets = A.read(spark, sf_dir, "supplier").select(F.explode(F.array(four_net, six_net)).alias("network")).distinct()
+    return networks.longest(events, nets).select("addr", "size")
