@@ -232,9 +232,34 @@ def ips(kinds: tuple[str, ...], with_port: bool) -> Column:
     return F.filter(some, lambda x: T.ipv4_kind(x).isin(*kinds))
 
 
+#: Tokens of Go: heads of init functions, texts, comments, braces, and what lies between. Loops are possessive, as below.
+GO_TOKENS = r"""(?s)func\s+init\s*+\(\s*+\)\s*+\{|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|`[^`]*+`|'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|//[^\n]*+|/\*.*?\*/|[{}]|[^{}"'`/f]++|."""
+
+
+def blocks(text: Column, tokens: str, head: str) -> Column:
+    """The bodies of top-level blocks whose head starts with `head` and ends with their brace, by the running depth of braces over the text's tokens; those in texts and
+    comments, which are tokens of their own, don't count. A body that is never closed goes to the end. Only places are carried along, so a text is read in linear time."""
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("depth"), F.lit(-1).alias("start"), F.array().cast("array<struct<start:int,size:int>>").alias("spans"))
+
+    def step(held: Column, token: Column) -> Column:
+        opens, closes = token.endswith("{") & ~token.startswith("/"), token == "}"
+        depth = F.greatest(held.depth + opens.cast("int") - closes.cast("int"), F.lit(0))
+        begins, ends = opens & (held.depth == 0) & token.startswith(head), closes & (held.depth == 1)
+        return F.struct(
+            (held.at + F.length(token)).alias("at"), depth.alias("depth"), F.when(begins, held.at + F.length(token)).when(ends, -1).otherwise(held.start).alias("start"),
+            F.when(ends & (held.start >= 0), F.concat(held.spans, F.array(F.struct(held.start.alias("start"), (held.at - held.start).alias("size"))))).otherwise(held.spans).alias("spans"),
+        )
+
+    def finish(held: Column) -> Column:
+        return F.when(held.start >= 0, F.concat(held.spans, F.array(F.struct(held.start.alias("start"), (held.at - held.start).alias("size"))))).otherwise(held.spans)
+
+    spans = F.aggregate(F.regexp_extract_all(text, F.lit(tokens), F.lit(0)), start, step, finish)
+    return F.transform(spans, lambda x: F.substring(text, x.start + 1, x.size))
+
+
 def go_init() -> Column:
-    """The bodies of init functions, as far as the brace in the first column that closes them."""
-    return F.array_join(F.regexp_extract_all(body(), F.lit(r"(?ms)^func\s+init\s*\(\s*\)\s*\{(.*?)^\}"), F.lit(1)), "\n")
+    """The bodies of init functions."""
+    return F.when(body().rlike(r"func\s+init\s*\("), F.array_join(blocks(body(), GO_TOKENS, "func"), "\n")).otherwise("")
 
 
 def secrets_in(pattern: str, text: Column | None = None) -> Column:

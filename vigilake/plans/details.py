@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vigilake.checkpoints import shared_folder
 from vigilake.functions import text as T
 from vigilake.functions import times
-from vigilake.operators import budget, campaign, closure, gates, history, hooks, metadata, networks, queue, reports, trace
+from vigilake.operators import budget, campaign, closure, file_rules, gates, history, hooks, metadata, networks, queue, reports, trace
 from vigilake.plans import adapters as A
 from vigilake.plans.registry import query
 from vigilake.sources import changes, commits, feeds
@@ -493,3 +493,16 @@ def network_of_address(spark: SparkSession, sf_dir: str) -> DataFrame:
     six_net = F.when(narrow, F.concat(F.lit("fd00:"), hexed("s_suppkey % 256"), F.lit("::/124"))).otherwise(F.concat(F.lit("fd00:"), hexed("s_suppkey % 256"), F.lit("::/32")))
     nets = A.read(spark, sf_dir, "supplier").select(F.explode(F.array(four_net, six_net)).alias("network")).distinct()
     return networks.longest(events, nets).select("addr", "size")
+
+
+@query(
+    "go_init_bodies",
+    """SELECT doc_id, sha256(' s := `{' || replace(coalesce(text, ''), '`', '') || '`; if s != "}" { f(); /* } */ } ' || chr(10) || CASE WHEN doc_id % 2 = 0 THEN ' g() ' ELSE '{}' END) AS bodies_sha256 FROM documents""",
+)
+def go_init_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies of init functions of Go files that hold whole texts in literals, with braces in texts, comments and other functions around."""
+    first = F.concat(F.lit(' s := `{'), F.replace(F.coalesce("text", F.lit("")), F.lit("`"), F.lit("")), F.lit('`; if s != "}" { f(); /* } */ } '))
+    second = F.when(F.col("doc_id") % 2 == 0, " g() ").otherwise("{}")
+    source = F.concat(F.lit("package p\nfunc a() { // {\n}\nfunc init() {"), first, F.lit("}\nfunc b() { func init() { x } }\nfunc  init ( ) {"), second, F.lit("}\n"))
+    files = A.read(spark, sf_dir, "documents").select("doc_id", source.alias("source"))
+    return files.select("doc_id", F.sha2(F.array_join(file_rules.blocks(F.col("source"), file_rules.GO_TOKENS, "func"), "\n"), 256).alias("bodies_sha256"))
