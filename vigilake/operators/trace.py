@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vigilake.operators.networks import matches
+
 # Paths whose reading is sensitive.
 SENSITIVE_PATHS = (
     "/root/.ssh/", "/home/", "/.ssh/", "/root/.aws/", "/.aws/", "/root/.gnupg/", "/.gnupg/", "/root/.npmrc", "/.npmrc",
@@ -103,21 +105,28 @@ def host_matches(host: Column, pattern: Column) -> Column:
     return exact | (~F.startswith(pattern, F.lit("=")) & ((host == pattern) | F.endswith(host, F.concat(F.lit("."), pattern))))
 
 
-def drop_noise(events: DataFrame, *, paths: tuple[str, ...] = (), binaries: tuple[str, ...] = (), hosts: tuple[str, ...] = (), cidrs: tuple[str, ...] = (), abuse: tuple[str, ...] = ()) -> DataFrame:
-    """Events without known noise, connects to abused hosts marked (abuse_host). Executions of a local script stay whatever runs them."""
+def drop_noise(events: DataFrame, *, paths: tuple[str, ...] = (), binaries: tuple[str, ...] = (), hosts: tuple[str, ...] = (), cidrs: tuple[str, ...] = (), abuse: tuple[str, ...] = (), networks: DataFrame | None = None) -> DataFrame:
+    """Events without known noise, connects to abused hosts marked (abuse_host). Executions of a local script stay whatever runs them.
+
+    networks: rows (network), IPv4 or IPv6, that connects may go to; a list of any length, as an address is looked up by its prefixes. Events without an address aren't joined."""
 
     def some(values: tuple[str, ...], test) -> Column:
         return F.coalesce(F.exists(F.array(*map(F.lit, values)), test), F.lit(False)) if values else F.lit(False)
 
+    if networks is not None:
+        sought = (F.col("category") == "network") & (F.col("operation") == "connect") & F.col("addr").isNotNull()
+        inside = matches(events.where(sought), networks).select(F.col("addr").alias("_addr")).distinct()
+        connects = events.where(sought)
+        events = connects.join(inside, connects["addr"] == inside["_addr"], "left").withColumn("_inside", F.col("_addr").isNotNull()).drop("_addr").unionByName(events.where(~F.coalesce(sought, F.lit(False))).withColumn("_inside", F.lit(False)))
     category, operation, host = F.col("category"), F.col("operation"), F.lower(F.coalesce("hostname", F.lit("")))
     local = F.coalesce(F.col("arguments"), F.lit("")).rlike(r"(?:^|\s)(?!-)\S*\.[cm]?js(?:\s|$)")
     noise = (
         ((category == "file") & some(paths, lambda p: F.contains("path", p)))
         | ((category == "process") & (operation == "exec") & some(binaries, lambda b: F.contains("binary", b)) & ~local)
-        | ((category == "network") & (operation == "connect") & (some(hosts, lambda p: host_matches(host, p)) | in_cidrs(F.col("addr"), cidrs)))
+        | ((category == "network") & (operation == "connect") & (some(hosts, lambda p: host_matches(host, p)) | in_cidrs(F.col("addr"), cidrs) | (F.col("_inside") if networks is not None else F.lit(False))))
     )
     marked = events.withColumn("abuse_host", (category == "network") & some(abuse, lambda p: host_matches(host, p)))
-    return marked.where(F.col("abuse_host") | ~noise)
+    return marked.where(F.col("abuse_host") | ~F.coalesce(noise, F.lit(False))).drop("_inside")
 
 
 def drop_launches(events: DataFrame) -> DataFrame:

@@ -506,3 +506,112 @@ def go_init_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.concat(F.lit("package p\nfunc a() { // {\n}\nfunc init() {"), first, F.lit("}\nfunc b() { func init() { x } }\nfunc  init ( ) {"), second, F.lit("}\n"))
     files = A.read(spark, sf_dir, "documents").select("doc_id", source.alias("source"))
     return files.select("doc_id", F.sha2(F.array_join(file_rules.blocks(F.col("source"), file_rules.GO_TOKENS, "func"), "\n"), 256).alias("bodies_sha256"))
+
+
+# --- more of traces, packuments, promotions --------------------------------------------------------------------------
+
+
+@query(
+    "trace_without_noise",
+    "WITH " + A.TRACE
+    + """, n AS (SELECT DISTINCT s_suppkey % 256 AS x FROM supplier WHERE s_suppkey % 3 = 0),
+    m AS (SELECT t.*, coalesce(category = 'network' AND split_part(addr, '.', 1) = '93' AND split_part(addr, '.', 2)::INT IN (SELECT x FROM n), false) AS inside,
+      category = 'network' AND event_id % 53 = 4 AS bad, CASE WHEN category = 'network' THEN CASE WHEN event_id % 53 = 4 THEN 'x.evil.example' WHEN event_id % 7 = 0 THEN 'cdn.registry.example' ELSE 'other.example' END END AS host FROM trace t)
+    SELECT event_id, bad AS abuse_host FROM m WHERE bad OR NOT coalesce(category = 'file' AND contains(path, '/lib/1') OR category = 'process' AND operation = 'exec' AND contains(bin, 'docker') AND event_id % 5 <> 0
+      OR category = 'network' AND operation = 'connect' AND (inside OR host = 'cdn.registry.example'), false)""",
+)
+def trace_without_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events without known noise: paths, binaries that run no local script, hosts, and networks from a table."""
+    at = F.col("event_id")
+    host = F.when(F.col("category") == "network", F.when(at % 53 == 4, "x.evil.example").when(at % 7 == 0, "cdn.registry.example").otherwise("other.example"))
+    events = A.trace(spark, sf_dir).withColumns({"hostname": host, "arguments": F.when(at % 5 == 0, "run ./setup.js").otherwise("ps")})
+    nets = A.read(spark, sf_dir, "supplier").where("s_suppkey % 3 = 0").select(said("'93.'", "s_suppkey % 256", "'.0.0/16'").alias("network")).distinct()
+    return trace.drop_noise(events, paths=("/lib/1",), binaries=("docker",), hosts=("registry.example",), abuse=("evil.example",), networks=nets).select("event_id", "abuse_host")
+
+
+@query(
+    "trace_log_events",
+    """SELECT event_id AS pid, CASE WHEN event_id % 4 = 0 THEN 'process' WHEN event_id % 4 = 1 THEN 'network' ELSE 'file' END AS category,
+    CASE WHEN event_id % 4 = 0 THEN 'exec' WHEN event_id % 4 = 1 THEN 'connect' WHEN event_id % 4 = 2 THEN 'open' ELSE 'write' END AS operation,
+    CASE WHEN event_id % 4 > 1 THEN '/tmp/' || user_id END AS path, CASE WHEN event_id % 4 = 1 THEN '10.0.0.' || user_id % 256 END AS addr, CASE WHEN event_id % 4 = 1 THEN 443.0::DOUBLE END AS port, epoch_us(ts) AS micros
+    FROM events WHERE user_id % 5 <> 0 AND event_id % 11 <> 0""",
+)
+def trace_log_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a log of executions and probes as events; lines of other containers and broken ones give nothing."""
+    k = F.expr("event_id % 4")
+    process = F.struct(F.col("event_id").cast("int").alias("pid"), F.lit("/usr/bin/node").alias("binary"), F.when(F.col("user_id") % 5 == 0, "other").otherwise("abcdef0123").alias("docker"))
+    arg = F.struct(F.when(k == 1, F.struct(said("'10.0.0.'", "user_id % 256").alias("daddr"), F.lit(443).alias("dport"))).alias("sock_arg"), F.when(k > 1, said("'/tmp/'", "user_id")).alias("string_arg"))
+    name = F.when(k == 1, "tcp_connect").when(k == 2, "security_file_open").otherwise("__x64_sys_write")
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    line = F.when(k == 0, F.to_json(F.struct(time.alias("time"), F.struct(process.alias("process")).alias("process_exec")))).otherwise(
+        F.to_json(F.struct(time.alias("time"), F.struct(name.alias("function_name"), process.alias("process"), F.array(arg).alias("args")).alias("process_kprobe")))
+    )
+    lines = A.read(spark, sf_dir, "events").select(F.when(F.col("event_id") % 11 == 0, F.substring(line, 2, 50)).otherwise(line).alias("value"))
+    return trace.parse_log(lines, ("abcdef",)).select(F.col("pid").cast("long").alias("pid"), "category", "operation", "path", "addr", "port", F.unix_micros("ts").alias("micros"))
+
+
+@query(
+    "packument_flags",
+    """WITH v AS (SELECT 'pkg' || o_custkey AS name, o_orderkey AS version, o_orderdate AS day, CASE WHEN o_orderkey % 3 = 0 THEN 'node setup.js' WHEN o_orderkey % 3 = 1 THEN 'echo hi' END AS hook, floor(o_totalprice)::BIGINT AS size,
+      o_orderkey % 40 + 1 AS files, o_orderpriority AS publisher FROM orders),
+    l AS (SELECT *, lag(version) OVER w AS pv, lag(hook) OVER w AS ph, lag(size) OVER w AS ps, lag(files) OVER w AS pf, lag(publisher) OVER w AS pp, row_number() OVER (PARTITION BY name ORDER BY day DESC, version DESC) AS age FROM v WINDOW w AS (PARTITION BY name ORDER BY day, version)),
+    f AS (SELECT name, version, hook IS NOT NULL AND ph IS NULL AS added, hook IS NOT NULL AND ph IS NOT NULL AND hook <> ph AS changed, coalesce(hook, '') LIKE 'node %' AS bundled, ps > 0 AND size >= 3 * ps AS jump, pf > 0 AND files >= 3 * pf AS fjump, publisher <> pp AS pub
+      FROM l WHERE age = 1 AND pv IS NOT NULL),
+    t AS (SELECT *, list_filter([CASE WHEN added THEN 'hook_added' END, CASE WHEN changed THEN 'hook_changed' END, CASE WHEN (added OR changed) AND bundled THEN 'bundled_exec' END, CASE WHEN jump THEN 'size_jump' END,
+      CASE WHEN fjump THEN 'file_count_jump' END, CASE WHEN pub THEN 'publisher_change' END], lambda x: x IS NOT NULL) AS flags FROM f)
+    SELECT name, version, array_to_string(flags, ',') AS flags, CASE WHEN added OR changed OR len(flags) >= 2 THEN 'high' ELSE 'normal' END AS priority FROM t WHERE len(flags) > 0 AND flags <> ['file_count_jump']""",
+)
+def packument_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anomalies of the newest version of each package against the one before."""
+    key = F.col("o_orderkey")
+    hook = F.when(key % 3 == 0, "node setup.js").when(key % 3 == 1, "echo hi")
+    rows = A.read(spark, sf_dir, "orders").select(
+        said("'pkg'", "o_custkey").alias("name"), key.alias("version"), F.col("o_orderdate").alias("published_at"), F.when(hook.isNotNull(), F.create_map(F.lit("postinstall"), hook)).alias("scripts"),
+        F.floor("o_totalprice").alias("size"), (key % 40 + 1).alias("file_count"), F.col("o_orderpriority").alias("publisher"),
+    )
+    return history.packument_anomalies(rows)
+
+
+@query(
+    "promotion_states",
+    "WITH " + A.WATCHLIST
+    + """, c AS (SELECT DISTINCT ['pypi', 'npm', 'gomod', 'crates'][(o_custkey % 4 + 1)::INT] AS ecosystem, 'Customer#' || lpad(o_custkey::VARCHAR, 9, '0') AS name, min(o_orderdate) AS day FROM orders GROUP BY o_custkey),
+    w AS (SELECT ecosystem, name, bool_or(package_id % 10 = 0) AS sentinel FROM watchlist WHERE rank <= 300 GROUP BY ALL),
+    k AS (SELECT c.*, CASE WHEN right(c.name, 1) = '7' THEN 'blocklisted' WHEN sentinel THEN 'refreshed' WHEN sentinel IS NOT NULL THEN 'already_popularity' END AS known FROM c LEFT JOIN w USING (ecosystem, name))
+    SELECT ecosystem, name, known AS status FROM k WHERE known IS NOT NULL UNION ALL
+    SELECT ecosystem, name, CASE WHEN row_number() OVER (PARTITION BY ecosystem, day ORDER BY name) <= 2 THEN 'added' ELSE 'rate_limited' END FROM k WHERE known IS NULL""",
+)
+def promotion_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What adding confirmed names to the watch list does, with at most two an hour for an ecosystem."""
+    orders = A.read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min("o_orderdate").alias("at"))
+    candidates = orders.select(A.ecosystem("o_custkey").alias("ecosystem"), F.concat(F.lit("Customer#"), F.lpad(F.col("o_custkey").cast("string"), 9, "0")).alias("name"), "at")
+    watched = A.watchlist(spark, sf_dir, 300).select("ecosystem", "name", F.when(F.col("package_id") % 10 == 0, campaign.SENTINEL_RANK).otherwise(F.col("rank")).alias("rank"))
+    blocked = candidates.where(F.endswith("name", F.lit("7"))).select("ecosystem", "name")
+    return campaign.promotion_status(candidates, watched, blocked, per_hour=2)
+
+
+@query(
+    "prior_scan_of_package",
+    "WITH " + A.SCANS
+    + """, c AS (SELECT ecosystem, name, max(scan_id) AS scan_id FROM scans GROUP BY ALL)
+    SELECT c.ecosystem, c.name, c.scan_id, max_by(s.scan_id, (s.finished_at, s.scan_id)) AS prior_id FROM c JOIN scans s ON s.ecosystem = c.ecosystem AND s.name = c.name AND s.scan_id <> c.scan_id
+    WHERE s.finished_at >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 7 DAY GROUP BY ALL""",
+)
+def prior_scan_of_package(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans = A.scans(spark, sf_dir)
+    current = scans.groupBy("ecosystem", "name").agg(F.max("scan_id").alias("scan_id"))
+    return history.prior_scans(scans, current, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"))
+
+
+@query(
+    "serial_log_rows",
+    """WITH s AS (SELECT 'p' || o_custkey AS name, CASE WHEN o_orderkey % 4 <> 0 THEN '1.' || o_orderkey END AS version, o_orderkey AS serial, CASE WHEN o_orderkey % 4 = 0 THEN 'create' WHEN o_orderkey % 9 = 1 THEN 'remove release' ELSE 'new release' END AS action
+      FROM orders WHERE o_orderkey > 200 ORDER BY serial LIMIT 3000)
+    SELECT name, version, serial, name IN (SELECT name FROM s WHERE action = 'create') AS brand_new FROM s WHERE version IS NOT NULL AND action NOT LIKE 'remove%'""",
+)
+def serial_log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A poll of the serial log: the rows after a cursor, at most so many."""
+    key = F.col("o_orderkey")
+    action = F.when(key % 4 == 0, "create").when(key % 9 == 1, "remove release").otherwise("new release")
+    rows = A.read(spark, sf_dir, "orders").select(said("'p'", "o_custkey").alias("name"), F.when(key % 4 != 0, said("'1.'", "o_orderkey")).alias("version"), key.alias("serial"), action.alias("action"))
+    return feeds.serial_changes(rows, 200, 3000)
