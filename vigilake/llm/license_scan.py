@@ -11,7 +11,8 @@ match contains; matches start near it, so texts without license wording cost one
 Base phrases are counted apart from templates, by exact runs of words, overlapping ones included.
 
 Rows: one for each input row, in place. A null or empty text has no words: no places, no labels, score 0.
-A null id stays null, repeated rows stay repeated, other columns are not read. The score is the share of
+A null id stays null, repeated rows stay repeated, other columns are not read, an empty table gives no rows.
+Texts of any length are scanned whole. The score is the share of
 the text's words inside base phrases or matched templates.
 """
 
