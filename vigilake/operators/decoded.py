@@ -53,30 +53,32 @@ def odd_ip(ip: Column) -> Column:
     return T.ipv4_kind(ip).isin("metadata", "routable") & ~ip.isin(*T.RESOLVERS)
 
 
-def _finding(rows: DataFrame, rule: str, severity: Column, confidence: Column, evidence: Column) -> DataFrame:
-    return rows.select("scan_id", F.lit(rule).alias("rule_id"), F.lit("iocs").alias("category"), severity.alias("severity"), confidence.alias("confidence"), F.col("path").alias("file"), F.substring(evidence, 1, 200).alias("evidence"))
-
-
 def decoded_findings(files: DataFrame, pack: Pack = BASELINE) -> DataFrame:
-    """(scan_id, rule_id, category, severity, confidence, file, evidence): addresses behind an encoding, hidden executables and hidden code. Documentation is left out."""
+    """(scan_id, rule_id, category, severity, confidence, file, evidence): addresses behind an encoding, hidden executables and hidden code. Documentation is left out.
+
+    The search for layers runs once a file: a layer's row gives all that it has to tell, as pairs of a kind and a text, and only these travel to where it is known which files run something.
+    """
     some = files.where(~T.is_doc_file(F.col("path")) & F.col("text").isNotNull()).select("scan_id", "path", "text")
-    texts = some.select("scan_id", "path", F.explode(single_layers()).alias("said"))
+    pairs = lambda kind, values: F.transform(values, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("x")))
+    met = lambda pattern: F.array_distinct(F.regexp_extract_all("said", F.lit(pattern), F.lit(0)))
+    only = lambda condition, value: F.when(F.coalesce(condition, F.lit(False)), F.array(value)).otherwise(F.array().cast("array<string>"))
+    texts = some.select("scan_id", "path", F.explode(single_layers()).alias("said")).select("scan_id", "path", F.explode(F.concat(pairs("url", met(URL)), pairs("ip", met(T.IPV4)))).alias("y"))
     layers = decode.layers(some.select("scan_id", "path", F.encode("text", "UTF-8").alias("content"))).withColumn("said", _as_text(F.col("layer")))
-    named = lambda pattern: F.explode(F.array_distinct(F.regexp_extract_all("said", F.lit(pattern), F.lit(0))))
-    both = texts.select("scan_id", "path", "said").unionByName(layers.where("NOT executable").select("scan_id", "path", "said"))
-    urls = both.select("scan_id", "path", named(URL).alias("x")).where(odd_url(F.col("x"), pack))
-    ips = texts.select("scan_id", "path", named(T.IPV4).alias("x")).where(odd_ip(F.col("x")))
     real = F.exists(F.split("chain", ">"), lambda x: x != "reverse")
-    # Only files with a layer of interest are looked at again.
-    hidden = layers.where(real & F.col("executable")).select("scan_id", "path", "chain").distinct().join(some.select("scan_id", "path", F.col("text").rlike(FILE_SINK).alias("runs")), ["scan_id", "path"])
-    test = T.is_test_file(F.col("path"))
-    severity = F.when(F.col("runs"), F.when(test, "high").otherwise("critical")).otherwise(F.when(test, "low").otherwise("medium"))
-    confidence = F.when(F.col("runs"), F.when(test, "medium").otherwise("high")).otherwise(F.when(test, "low").otherwise("medium"))
-    code = layers.where(real & ~F.col("executable") & F.col("said").rlike(LAYER_SINK)).select("scan_id", "path", "chain")
-    found = (
-        _finding(urls, "iocs.encoded_url", F.lit("medium"), F.lit("medium"), F.concat(F.lit("decoded: "), "x")),
-        _finding(ips, "iocs.encoded_ip", F.lit("high"), F.lit("medium"), F.concat(F.lit("decoded: "), "x")),
-        _finding(hidden, "iocs.decoded_executable", severity, confidence, F.concat(F.lit("an executable behind "), "chain")),
-        _finding(code, "iocs.decoded_code", F.lit("high"), F.lit("medium"), F.concat(F.lit("calls behind "), "chain")),
-    )
-    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).distinct()
+    urls = F.when(F.col("executable"), F.array().cast("array<string>")).otherwise(met(URL))
+    told = F.concat(pairs("url", urls), pairs("hidden", only(real & F.col("executable"), F.col("chain"))), pairs("code", only(real & ~F.col("executable") & F.col("said").rlike(LAYER_SINK), F.col("chain"))))
+    each = texts.unionByName(layers.select("scan_id", "path", F.explode(told).alias("y"))).select("scan_id", "path", "y.kind", "y.x").distinct()
+    kind, x = F.col("kind"), F.col("x")
+    each = each.where(F.when(kind == "url", odd_url(x, pack)).when(kind == "ip", odd_ip(x)).otherwise(True))
+    runs = some.where(F.col("text").rlike(FILE_SINK)).select("scan_id", "path").distinct().withColumn("runs", F.lit(True))
+    each = each.join(runs, ["scan_id", "path"], "left")
+    test, run = T.is_test_file(F.col("path")), F.coalesce("runs", F.lit(False))
+    rule = F.when(kind == "url", "iocs.encoded_url").when(kind == "ip", "iocs.encoded_ip").when(kind == "hidden", "iocs.decoded_executable").otherwise("iocs.decoded_code")
+    worst = F.when(run, F.when(test, "high").otherwise("critical")).otherwise(F.when(test, "low").otherwise("medium"))
+    sure = F.when(run, F.when(test, "medium").otherwise("high")).otherwise(F.when(test, "low").otherwise("medium"))
+    severity = F.when(kind == "url", "medium").when(kind == "hidden", worst).otherwise("high")
+    evidence = F.concat(F.when(kind == "hidden", "an executable behind ").when(kind == "code", "calls behind ").otherwise("decoded: "), x)
+    return each.select(
+        "scan_id", rule.alias("rule_id"), F.lit("iocs").alias("category"), severity.alias("severity"), F.when(kind == "hidden", sure).otherwise("medium").alias("confidence"),
+        F.col("path").alias("file"), F.substring(evidence, 1, 200).alias("evidence"),
+    ).distinct()
