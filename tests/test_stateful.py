@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 import random
 
 import pytest
@@ -27,8 +28,11 @@ def replayed(spark, tmp_path, schema, files, make):
     folder.mkdir()
     half = len(files) // 2
     for part in (files[:half], files[half:]):
-        for k, rows in enumerate(part):
-            (folder / f"{'ab'[part is not files[:half]]}{len(list(folder.iterdir())):04d}.json").write_text("\n".join(json.dumps(r) for r in rows))
+        for rows in part:
+            n = len(list(folder.glob("*.json")))
+            path = folder / f"{n:04d}.json"
+            path.write_text("\n".join(json.dumps(r) for r in rows))
+            os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))  # files arrive in the order of their times, which must differ
         stream = make(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(folder)))
         query = stream.writeStream.outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).foreachBatch(lambda df, k: got.extend(df.collect())).trigger(availableNow=True).start()
         assert query.awaitTermination(200)
