@@ -454,7 +454,7 @@ def npm_hook_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("const a = require('"), up, name("part % 7 + 1"), F.lit("');"), F.when(F.col("part") % 3 == 0, F.concat(F.lit(' import b from "'), up, name("(part div 7) % 7 + 1"), F.lit('";'))).otherwise(""))
     path = F.when(F.col("n") % 2 == 0, said("'pkg/d'", "n", "'/index.js'")).otherwise(said("'pkg/f'", "n", "'.js'"))
     files = lines.select("scan_id", path.alias("path"), text.alias("text"))
-    started = lines.select("scan_id").distinct().select("scan_id", F.lit("pkg/").alias("root"), F.lit("postinstall").alias("hook"), F.lit("node f1 && echo done").alias("command"))
+    started = A.read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("scan_id")).distinct().select("scan_id", F.lit("pkg/").alias("root"), F.lit("postinstall").alias("hook"), F.lit("node f1 && echo done").alias("command"))
     return closure.hook_closure(started, files).select("scan_id", "path")
 
 
