@@ -235,3 +235,15 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {r.node: r.root for r in order_minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(got.get(x, x) == find(x) for x in parent)
+
+
+def test_pairs_of_two_beyond_the_candidates(spark, monkeypatch):
+    """A sketch of two nodes is compared in the first pass alone, so no number of smaller candidates may crowd its pair out."""
+    unlike = order_minhash.CENTERS + 2
+    base = [f"w{k}" for k in range(40)]
+    texts = {k: " ".join(f"x{k}y{i}" for i in range(40)) for k in range(1, unlike + 1)} | {50: " ".join(base), 60: " ".join(["other", *base[1:]])}
+    keys = {k: [k] for k in range(1, unlike + 1)} | {50: [50], 60: [*range(1, unlike + 1), 50]}
+    rows = [(*order_minhash.node_of(k, plain_words(x.encode())), 40, keys[k]) for k, x in texts.items()]
+    monkeypatch.setattr(order_minhash, "signatures", lambda *_: spark.createDataFrame([(bytearray(a), bytearray(b), n, x) for a, b, n, x in rows], "node binary,digest binary,n_words long,keys array<long>"))
+    got = {r.doc_id: r.class_id for r in order_minhash.near_classes(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {k: k for k in texts} | {60: 50}

@@ -8,7 +8,7 @@ similarity = 1 - edits / words of the longer text, 0.8 or more.
 
 A node is a text, known by 128 bits of hash over its words and, before them, the smallest id that holds it; so equal texts are one
 node, two texts that share an id are two, and the smallest node of a class gives its smallest id. First, a sketch that many nodes
-share gives each of them one candidate, the smallest node among them; of a node's candidates the CENTERS smallest are verified. Verified links are joined to components by alternating
+share gives each of them one candidate, the smallest node among them; all candidates by sketches of two nodes are verified, and the CENTERS smallest of the others. Verified links are joined to components by alternating
 stars. Where a sketch then still holds several components, its members are compared with each other, with their texts at hand: in blocks of
 MEMBERS, so a sketch of any size is divided over tasks, and no pairs are listed. Pairs of one component need no comparison,
 pairs whose lengths differ too much can't be alike, and texts within e edits share all but q * e of their runs of q words, which counts
@@ -46,7 +46,7 @@ WORD_MEMO = 200_000
 AT_ONCE = 20_000
 #: Rows of a batch that are unpacked at a time.
 AT_A_TIME = 500
-#: Candidates of a node in the first pass.
+#: Candidates of a node in the first pass, of sketches of more than two nodes.
 CENTERS = 4
 #: Runs whose counts bound the edits, buckets of these counts, words beyond which texts are aligned without; members of a sketch in one block.
 RUNS, BUCKETS, MOST_WORDS, MEMBERS = (3, 2, 1), 1024, 60_000, 1_000
@@ -352,8 +352,9 @@ def near_links(docs: DataFrame, k: int, n_sketches: int, chosen: int, similarity
         some = only_nodes(texts, asked.select(F.explode(F.array("a", "b")).alias("node")).distinct())
         return verified(asked.join(some.toDF("a", "text_a"), "a").join(some.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b"), similarity)
 
-    # A node's few smallest candidates join most of a class; what they leave apart is compared below.
-    few = held.where("node <> center").groupBy(F.col("node").alias("a")).agg(F.slice(F.array_sort(F.collect_set("center")), 1, CENTERS).alias("b"))
+    # A node's few smallest candidates join most of a class; what they leave apart is compared below, but for sketches of two nodes, whose one pair is compared here.
+    some, pair = F.collect_set(F.when(F.col("n") > 2, F.col("center"))), F.collect_set(F.when(F.col("n") == 2, F.col("center")))
+    few = held.where("node <> center").groupBy(F.col("node").alias("a")).agg(F.array_union(F.slice(F.array_sort(some), 1, CENTERS), pair).alias("b"))
     roots = components(links(few.select("a", F.explode("b").alias("b"))))
     members = shared_checkpoint(unresolved(held, roots))
     if not members.isEmpty():
