@@ -148,3 +148,11 @@ def test_hook_commands(spark):
     assert hooks.run_files("./tools/setup; sh -x ./a.sh | /bin/ls && ../out; tsc; bash") == ["./tools/setup", "./a.sh"]
     df = spark.createDataFrame([(1, "binding.gyp", "<!(curl x)"), (1, "package.json", "{}"), (2, "node_modules/binding.gyp", "<!(curl x)"), (2, "node_modules/package.json", "{}"), (3, "p/binding.gyp", "<!() <!(\"\") <!(id) <!@(id)"), (3, "p/package.json", None), (4, "binding.gyp", None)], "scan_id long, path string, text string")
     assert sorted((r.scan_id, r.severity, r.evidence) for r in hooks.gyp_findings(df).collect()) == [(1, "critical", "curl x"), (3, "high", "id")]
+
+
+def test_rotations_are_told_once():
+    """A text's rotations are those of each of them, so what they give is known: chains and layers stay, and each wheel turns once."""
+    turned: set[bytes] = set()
+    told = lambda text, last: [x for x, _ in decode.decodings(text, last, turned) if x.startswith("rot")]
+    assert len(told(b"Abcd efgh", "")) == 25 and turned == {b"Abcd efgh"}
+    assert told(b"Zabc defg", "reverse") == [] and turned == {b"Abcd efgh"} and len(told(b"Zabc defh", "reverse")) == 25
