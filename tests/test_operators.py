@@ -310,6 +310,26 @@ def test_function_segments(spark):
     assert rows(got.where("scan_id > 2"), "scan_id", "kind") == [(3, "unparsed")]
 
 
+
+def test_segments_come_in_batches():
+    """Segments of many small files share a batch, many large ones don't; definitions are found wherever statements are held."""
+    import ast
+
+    import pyarrow as pa
+
+    def found(texts, path="a.py"):
+        given = pa.RecordBatch.from_pydict({"scan_id": list(range(len(texts))), "path": [path] * len(texts), "text": texts}, schema=pa.schema([("scan_id", pa.int64()), ("path", pa.string()), ("text", pa.string())]))
+        return list(segments.segments_of(iter([given, given])))
+
+    small = found([f"def f{k}(): pass" for k in range(segments.MOST_ROWS)] + [None, "x = 1"])
+    assert [x.num_rows for x in small] == [segments.MOST_ROWS] * 2 and small[1].column("name")[-1].as_py() == f"f{segments.MOST_ROWS - 1}"
+    assert [x.num_rows for x in found(["function f() {" + " " * segments.MOST_BYTES + "}", "function g() {}"], "a.js")] == [1, 2, 1]
+    held = "if a:\n  def a(): pass\nelif b:\n  def b(): pass\nelse:\n  def c():\n    class D: pass\ntry:\n  def e(): pass\nexcept* E:\n  async def f(): pass\nelse:\n  def g(): pass\nfinally:\n  def h(): pass\n"
+    held += "for x in y:\n  def i(): pass\nelse:\n  def j(): pass\nwhile x:\n  def k(): pass\nwith x:\n  def l(): pass\nmatch x:\n  case 1 if (lambda: 1):\n    def m(): pass\ntry:\n  pass\nexcept E:\n  def n(): pass\n"
+    want = [x.name for x in ast.walk(ast.parse(held)) if isinstance(x, segments.DEFINITIONS)]
+    assert [x[0] for x in segments.by_tree(held)] == want and len(want) == 14
+
+
 def test_kept_archives_and_campaigns(spark):
     df = spark.createDataFrame([(1, "malicious", None), (2, "malicious", "benign"), (3, "clean", "malicious"), (4, "suspicious", None)], "scan_id long, verdict string, llm_verdict string")
     assert rows(scoring.kept_archives(df), "scan_id", "keep") == [(1, True), (2, False), (3, True), (4, False)]

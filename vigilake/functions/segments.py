@@ -21,6 +21,11 @@ DECLARED = re.compile(
     r"(?:function\s+(?P<f>\w+)|func\s+(?:\([^)]*\)\s*)?(?P<g>\w+)|fn\s+(?P<r>\w+)"
     r"|(?P<j>\w+)\s*(?:=\s*(?:async\s*)?\([^)]*\)\s*=>|\([^)]*\)\s*\{))"
 )
+DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
+#: Where statements hold others.
+HOLDERS = ("body", "cases", "handlers", "orelse", "finalbody")
+#: A batch of segments is handed on when it has so many rows or bytes: one for each file would cost more than the files.
+MOST_ROWS, MOST_BYTES = 2_000, 4 << 20
 Segment = tuple[str | None, str, int | None, int | None, bytes | None]
 
 
@@ -28,17 +33,19 @@ def by_tree(text: str) -> Iterator[Segment]:
     """(name, kind, first line, last line, segment) of each function and class; one row of the kind "unparsed" if Python can't read the text."""
     data = text.encode("utf-8", "surrogatepass")
     try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            tree = ast.parse(data)
+        tree = ast.parse(data)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
         yield None, "unparsed", None, None, None
         return
-    starts = [0, *accumulate(map(len, re.findall(rb"[^\r\n]*(?:\r\n|\r|\n)", data)))]
-    for node in ast.walk(tree):
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
+    starts = None
+    todo = [tree]
+    for node in todo:
+        if isinstance(node, DEFINITIONS):
+            starts = starts or [0, *accumulate(map(len, re.findall(rb"[^\r\n]*(?:\r\n|\r|\n)", data)))]
             first, last = starts[node.lineno - 1] + node.col_offset, starts[node.end_lineno - 1] + node.end_col_offset
             yield node.name, type(node).__name__, node.lineno, node.end_lineno, data[first:last]
+        for held in HOLDERS:  # definitions are statements, so expressions needn't be walked
+            todo += getattr(node, held, None) or ()
 
 
 def by_braces(text: str) -> Iterator[Segment]:
@@ -59,17 +66,32 @@ def by_braces(text: str) -> Iterator[Segment]:
             yield name, "func", bisect_left(breaks, found.start()) + 1, bisect_left(breaks, end) + 1, text[found.start() : end + 1].encode("utf-8", "surrogatepass")
 
 
-def function_segments(files: DataFrame) -> DataFrame:
-    """(scan_id, path, name, kind, line, end_line, sha256, size, ssdeep, tlsh) of rows (scan_id, path, text); a null text has no functions."""
-    names = ("scan_id", "path", "name", "kind", "line", "end_line", "segment")
-    kinds = pa.schema(list(zip(names, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)))
+NAMES = ("scan_id", "path", "name", "kind", "line", "end_line", "segment")
+KINDS = pa.schema(list(zip(NAMES, (pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)))
+
+
+def segments_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Segments of files, batches (scan_id, path, text), in batches of their own size."""
+    made, size = [], 0
 
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def taken() -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict(dict(zip(NAMES, zip(*made, strict=True), strict=True)), schema=KINDS)
+
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
         for batch in batches:
             for scan, path, text in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                find = by_tree if (path or "").endswith(".py") else by_braces
-                if made := [(scan, path, *x) for x in find(text or "")]:
-                    yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*made, strict=True), strict=True)), schema=kinds)
+                for found in (by_tree if (path or "").endswith(".py") else by_braces)(text or ""):
+                    made.append((scan, path, *found))
+                    size += len(found[-1] or b"")
+                    if len(made) >= MOST_ROWS or size >= MOST_BYTES:
+                        yield taken()
+                        made, size = [], 0
+    if made:
+        yield taken()
+
 
-    found = files.select(F.col("scan_id").cast("long"), "path", "text").mapInArrow(go, "scan_id long, path string, name string, kind string, line long, end_line long, segment binary")
-    return found.select(*names[:-1], F.sha2("segment", 256).alias("sha256"), F.octet_length("segment").alias("size"), ctph_hash("segment").alias("ssdeep"), tlsh_hash("segment").alias("tlsh"))
+def function_segments(files: DataFrame) -> DataFrame:
+    """(scan_id, path, name, kind, line, end_line, sha256, size, ssdeep, tlsh) of rows (scan_id, path, text); a null text has no functions."""
+    found = files.select(F.col("scan_id").cast("long"), "path", "text").mapInArrow(segments_of, "scan_id long, path string, name string, kind string, line long, end_line long, segment binary")
+    return found.select(*NAMES[:-1], F.sha2("segment", 256).alias("sha256"), F.octet_length("segment").alias("size"), ctph_hash("segment").alias("ssdeep"), tlsh_hash("segment").alias("tlsh"))
