@@ -143,6 +143,34 @@ def test_trace(spark):
     assert hosts.where(trace.host_matches(F.col("h"), F.col("p")) != F.col("want")).count() == 0
 
 
+def test_piecewise_hash_by_single_steps():
+    """The hash in passes over bytes is that of one step for each byte, also of texts shorter than the window."""
+
+    def pieces(data, block, most):
+        out, h, fresh = "", 0x28021967, True
+        for k, x in enumerate(data):
+            h, fresh, last = h * 0x01000193 & 0xFFFFFFFF ^ x, False, data[max(0, k - 6) : k + 1][::-1]
+            shifted = 0
+            for back, y in enumerate(last):
+                shifted ^= y << 5 * back
+            if (sum(last) + sum((7 - back) * y for back, y in enumerate(last)) + (shifted & 0xFFFFFFFF)) % block == block - 1 and len(out) < most - 1:
+                out, h, fresh = out + fuzzy.ALPHABET[h & 63], 0x28021967, True
+        return out if fresh else out + fuzzy.ALPHABET[h & 63]
+
+    def slow(data):
+        block = 3
+        while block * 64 < len(data):
+            block *= 2
+        while block > 3 and len(pieces(data, block, 64)) < 32:
+            block //= 2
+        return f"{block}:{pieces(data, block, 64)}:{pieces(data, 2 * block, 32)}"
+
+    some = random.Random(5)
+    for size in (*range(9), 63, 64, 65, 191, 192, 193, 1000, 5000):
+        for data in (some.randbytes(size), bytes(size), b"\xff" * size, (b"abc " * size)[:size], bytes(some.choices(b"etaoin shrdlu", k=size))):
+            assert fuzzy.ctph(data) == slow(data), (size, data[:20])
+
+
 def test_fuzzy(spark):
     pick = random.Random(1)
     data = bytes(pick.randrange(97, 123) for _ in range(4000))
