@@ -303,6 +303,32 @@ def test_decoded_and_metadata_findings(spark):
     assert {(r.scan_id, r.rule_id) for r in metadata.download_findings(loads).collect()} == {(1, "fetch.sha256_mismatch"), (3, "fetch.no_release_files")}
 
 
+def test_decoded_findings_read_a_file_once(spark, capsys):
+    """Layers, single runs and calls come from one reading of a file; a call in another row of the same file counts, one without a key doesn't."""
+    import base64
+
+    from vigilake.operators.decoded import FILE_SINK, decoded_findings, runs_something
+
+    hide = lambda x: base64.b64encode(x).decode()
+    binary = "z = '" + hide(b"\x7fELF" + b"\0" * 60) + "'"
+    files = [
+        (1, "a.py", binary), (1, "a.py", "OS.System(x)"), (2, "a.py", binary), (3, "a.py", "os.system(x)"), (None, "a.py", binary + " os.system(x)"), (4, "b.js", "s = '" + "".join(f"\\x{x:02x}" for x in b"go http://c4.odd.dev/x") + "'"),
+        (5, "c.go", "\u00e4" * 9 + hide(b"at 93.184.216.34 now") + "\u00e4"), (6, "d.js", "nothing spawned here"), (7, "e.js", hide(b"go http://c7.odd.dev/x now") + " " + "word" * 9),
+    ]
+    found = decoded_findings(spark.createDataFrame(files, "scan_id long, path string, text string"))
+    found.explain()
+    assert capsys.readouterr().out.count("Scan ") == 1
+    calls = ["exec.Command(", "SYSCALL.ForkExec (", "os/exec", "child_process", "a.execFile(", "Spawn(", "spawnSync\t(", "EXECSYNC", "os.system", "subprocess.run", "CreateProcess", "ShellExecute", "winexec", "exec(x)", "a process", "os.systen", None]
+    sinks = spark.createDataFrame([(x,) for x in calls], "text string").select("text", runs_something("text").alias("is"), F.col("text").rlike(FILE_SINK).alias("want")).collect()
+    assert [r["is"] for r in sinks] == [r.want for r in sinks] == [True] * 13 + [False] * 3 + [None]
+    got = [(r.scan_id, r.rule_id.split(".")[1], r.severity, r.evidence) for r in found.collect()]
+    told = "an executable behind base64"
+    assert sorted(got, key=str) == sorted([
+        (1, "decoded_executable", "critical", told), (2, "decoded_executable", "medium", told), (None, "decoded_executable", "medium", told), (4, "encoded_url", "medium", "decoded: http://c4.odd.dev/x"),
+        (5, "encoded_ip", "high", "decoded: 93.184.216.34"), (7, "encoded_url", "medium", "decoded: http://c7.odd.dev/x"),
+    ], key=str)
+
+
 def test_carry_forward_matches_by_path_and_safe_base_name(spark):
     def files(*some):
         return spark.createDataFrame([("p", path, sha) for path, sha in some], "package string, path string, sha256 string")

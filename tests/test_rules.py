@@ -186,3 +186,37 @@ def test_rotations_are_told_once():
     told = lambda text, last: [x for x, _ in decode.decodings(text, last, turned) if x.startswith("rot")]
     assert len(told(b"Abcd efgh", "")) == 25 and turned == {b"Abcd efgh"}
     assert told(b"Zabc defg", "reverse") == [] and turned == {b"Abcd efgh"} and len(told(b"Zabc defh", "reverse")) == 25
+
+
+def test_words_are_searched_as_wheels(monkeypatch):
+    """A word's rotations and reversals are looked at in one go, and what is found, by which decoders and in which order, is what the search finds layer by layer: for words that meet, too, and budgets that run out."""
+    hide = base64.b64encode
+    url, code = hide(b"get http://c12.odd.dev/x"), hide(b"eval(require('child_process'))")
+    rotated = lambda x, n: x.translate(decode.ROTATIONS[n])
+    word = b"thanonontioniner"
+    files = [
+        word, url, code, word + b"==", url + b" " + word, rotated(url, 3), url[::-1], rotated(hide(b"see http://c1.odd.dev/xyz"), 7)[::-1], hide(b"see http://c1.odd.dev/xy"), b"zLabcdefghijklmnop", b"xabcdefghijklmnop", b"BZhabcdefghijklmno",
+        b" ".join((word, rotated(word, 5))), b" ".join((word, word[::-1])), b" ".join((word, word[:-1] + b"=", word + b"=")), b"abcdefghhgfedcba", b"0641917ea4e9feb9cda83477b57ac2654884f485", b"SubprocessSubprocess", rotated(b"subprocesssubprocess", 9), b"4008562658712669",
+        hide(b"a " + word + b" b " + url), hide(b"Z " + rotated(word, 3)) + b" " + word, hide(rotated(word, 3)) + b" " + word, hide(hide(b"MZ" + bytes(40))), rotated(hide(b"MZ" + bytes(40)), 11), hide(b"x" * 20), b"a_b-" * 6 + b" " + word, b"\\x65\\x76\\x61\\x6c\\x28" + word, b"12, 34,\t56 ,78,90,\n12,13,14,15 " + word,
+    ]
+    words = [bytes(97 + (k * k + j * (k + 3)) % 26 for j in range(17 + k % 5)) for k in range(60)]
+    files += [b" ".join(words[:24]), b" ".join(words), b" ".join([url, *words[:20]]), b" ".join([*words[:37], url]), b" ".join([*words, rotated(code, 2)])]
+    for data in files:
+        some = decode.runs(data, decode.MOST_RUNS)
+        assert decode.recover(data) == decode._search(some, {}), data
+    assert [x for x, _ in decode.recover(url)] == [b"get http://c12.odd.dev/x"] and decode.recover(rotated(url, 3)[::-1])[0][1] == ("rot23", "reverse", "base64")
+    # No word is the start of a stream, by which its wheel would go on.
+    heads = [b"x" + bytes([x]) for x in range(128) if bytes([x]).isalnum()]
+    assert not any((x[0] << 8 | x[1]) % 31 == 0 for x in heads)
+    calls = []
+    monkeypatch.setattr(decode, "decodings", lambda *x, run=decode.decodings: calls.append(x) or run(*x))
+    assert len(decode.recover(b" ".join([url, *words[:8]]))) == 1 and not calls
+
+
+def test_long_stretches_hold_all_runs():
+    """Runs of base64, hex and escapes are those of the long stretches, however long they are and whatever stands between."""
+    data = b"a" * 15 + b" " + b"b" * 16 + "\u00e4".encode() + b"\\x41" * 9 + b"'" + b"0f" * 12 + b"==, " + b"c" * 70_000 + b"_-" + b"d" * 16
+    assert decode.stretches(data) == b" ".join((b"b" * 16, b"\\x41" * 9, b"0f" * 12 + b"==", b"c" * 70_000 + b"_-" + b"d" * 16))
+    for pattern in decode.RUNS[:4]:
+        assert [x for x in pattern.findall(data) if len(x) >= 16] == [x for x in pattern.findall(decode.stretches(data)) if len(x) >= 16]
+    assert decode.stretches(b"") == b"" and decode.runs(b"1, 2,3 ,4\n,5,6,7,8 9", 9) == [b"1, 2,3 ,4\n,5,6,7,8"]
